@@ -11,9 +11,9 @@ from tidemark.session import table
 
 
 def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: doc_id, class_id (smallest id of its near-duplicate class), copies, links."""
+    """Per document: doc_id, class_id (smallest id of its near-duplicate class) and copies (documents of the same words)."""
     found = neardup.near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), "class_id", "copies", "links")
+    return found.select(F.col("id").alias("doc_id"), "class_id", "copies")
 
 
 def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
