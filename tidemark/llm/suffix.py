@@ -8,7 +8,7 @@ earlier in the same one. Equal strings pick equal anchors: the smallest hash amo
    of equal ones are marked. The first ones, with their bytes, go to a bucket that their anchor names; those of very
    frequent anchors go by a hash of their own bytes, so that no bucket holds an unbounded group.
 3. In each bucket suffixes are sorted again, and all but the first of equal ones are marked.
-4. Marks return to their chunk, where the marked bytes leave the documents.
+4. Marks return to their chunk, where the marked bytes leave the documents. The texts are shuffled by chunk once.
 
 Sorting: multikey quicksort by words of eight bytes to SHALLOW bytes; groups that are still equal there are ordered
 by blind tries, whose nodes hold only the depth of the first difference and the words that branch there. Both handle
@@ -25,15 +25,16 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.session import cut_lineage, share_package
+from tidemark.session import share_package
 
 LENGTH, GRAM, SHALLOW = 100, 32, 32
 #: Bytes of text in a chunk and in a bucket's share, about.
 CHUNK_BYTES = 4 << 20
 #: Anchors with more occurrences are dealt by their suffixes' own bytes.
-FREQUENT = 1_000
+FREQUENT = 8_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _NULL = -(1 << 63)
 
@@ -100,9 +101,8 @@ def equal_suffixes(data: np.ndarray, places: np.ndarray, length: int = LENGTH, s
     depths = [*range(0, last, 8), last]
     shallow_depths = [d for d in depths if d < shallow]
     for d in shallow_depths:
-        at, group = _split(words[places[at] + d].astype(np.uint64), at, group)
-        if not len(at):
-            return [at, group]
+        if len(at):
+            at, group = _split(words[places[at] + d].astype(np.uint64), at, group)
     deep = [d for d in depths if d >= shallow]
     done_at, done_group, made = [], [], 0
     while len(at):
@@ -132,34 +132,27 @@ def equal_suffixes(data: np.ndarray, places: np.ndarray, length: int = LENGTH, s
 
 def _split(keys: np.ndarray, at: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order each group by keys, and split it where they differ; groups of one are dropped."""
-    order = np.argsort(keys, kind="stable") if not len(group) or group[0] == group[-1] else np.lexsort((keys, group))
+    order = np.argsort(keys)
+    if group[0] != group[-1]:
+        rank = np.empty(len(keys), np.int64)
+        rank[order] = np.cumsum(_groups(keys[order]))
+        order = np.argsort(group * (len(keys) + 1) + rank)
     keys, at, group = keys[order], at[order], group[order]
-    new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (group[1:] != group[:-1])]) if len(at) else np.zeros(0, bool)
-    number = np.cumsum(new) - 1
-    sizes = np.bincount(number, minlength=0) if len(number) else np.zeros(0, np.int64)
-    kept = sizes[number] > 1 if len(number) else np.zeros(0, bool)
-    return at[kept], number[kept]
+    new = _groups(keys)
+    new[1:] |= group[1:] != group[:-1]
+    more = np.append(~new[1:], False)
+    kept = more | ~new
+    return at[kept], np.cumsum(new & more)[kept]
 
 
-def _not_first(groups: list[np.ndarray], *order: np.ndarray) -> np.ndarray:
-    """Indices of all but each group's first member; order's first array counts most. Members of equal order keep together."""
+def _not_first(groups: list[np.ndarray]) -> np.ndarray:
+    """All but the smallest index of each group."""
     at, group = groups
     if not len(at):
         return at
-    by = np.lexsort((*(o[at] for o in reversed(order)), group))
-    at, group = at[by], group[by]
-    head = np.repeat(np.flatnonzero(_groups(group)), np.diff(np.concatenate([np.flatnonzero(_groups(group)), [len(group)]])))
-    same = np.ones(len(at), bool)
-    for o in order:
-        same &= o[at] == o[at[head]]
-    return at[~same]
-
-
-def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """first[0], first[0] + 1, ... n[0] of them, then those of first[1], ..."""
-    if not len(n):
-        return np.zeros(0, np.int64)
-    return np.arange(int(n.sum())) + np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+    first = np.flatnonzero(_groups(group))
+    least = np.minimum.reduceat(at, first)
+    return at[at != np.repeat(least, np.diff(np.append(first, len(at))))]
 
 
 def _runs(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -170,6 +163,13 @@ def _runs(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return doc[new], start[new], np.diff(np.concatenate([new, [len(doc)]]))
 
 
+def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... n[0] of them, then those of first[1], ..."""
+    if not len(n):
+        return np.zeros(0, np.int64)
+    return np.arange(int(n.sum())) + np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+
+
 def _blob(x: np.ndarray, kind: str) -> bytes:
     return np.ascontiguousarray(x).astype(kind).tobytes()
 
@@ -178,6 +178,14 @@ def _joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
+def _packed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+
+
 _FOUND = "kind int, key bigint, chunk bigint, ids binary, ties binary, starts binary, counts binary, data binary"
 _NAMES = [x.split()[0] for x in _FOUND.split(", ")]
 
@@ -285,12 +293,12 @@ def _sorted_chunks(docs: DataFrame, repeated: DataFrame, buckets: int) -> DataFr
                 doc, start, gram, frequent = (np.concatenate(x) for x in (doc, start, gram, frequent))
                 data = np.concatenate(chunk.texts)
                 places = chunk.offsets[doc] + start
-                again = _not_first(equal_suffixes(data, places), places)
+                again = _not_first(equal_suffixes(data, places))
                 marked = np.zeros(len(places), bool)
                 marked[again] = True
                 d, s, n = _runs(doc[marked], start[marked])
                 if len(d):
-                    rows.append((0, number, number, _blob(chunk.ids[d], "<i8"), _blob(chunk.ties[d], "<i8"), _blob(s, "<i8"), _blob(n, "<i8"), b""))
+                    rows.append((0, number % buckets, number, _blob(chunk.ids[d], "<i8"), _blob(chunk.ties[d], "<i8"), _blob(s, "<i8"), _blob(n, "<i8"), b""))
                 rest = ~marked
                 doc, start, gram, frequent, places = doc[rest], start[rest], gram[rest], frequent[rest], places[rest]
                 bucket = (gram >> np.uint64(20)).astype(np.int64) % buckets
@@ -308,7 +316,7 @@ def _sorted_chunks(docs: DataFrame, repeated: DataFrame, buckets: int) -> DataFr
                     part = order[a:b]
                     d, s, n = _runs(doc[part], start[part])
                     text = data[_ranges(chunk.offsets[d] + s, n + LENGTH - 1)]
-                    rows.append((1, int(bucket[part[0]]), number, _blob(chunk.ids[d], "<i8"), _blob(chunk.ties[d], "<i8"), _blob(s, "<i8"), _blob(n, "<i8"), text.tobytes()))
+                    rows.append((1, int(bucket[part[0]]), number, _blob(chunk.ids[d], "<i8"), _blob(chunk.ties[d], "<i8"), _blob(s, "<i8"), _blob(n, "<i8"), _packed(text.tobytes())))
         return _table(rows)
 
     return docs.groupBy("chunk").cogroup(repeated.groupBy("chunk")).applyInArrow(run, _FOUND)
@@ -320,16 +328,21 @@ def _table(rows: list[tuple]) -> pa.Table:
 
 
 def _sorted_buckets(found: DataFrame) -> DataFrame:
-    """Marks across chunks, for each bucket of suffixes."""
+    """The marks within chunks, and those across chunks for each bucket of suffixes."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(whole: pa.Table) -> pa.Table:
+        marks, table = whole.filter(pc.equal(whole["kind"], 0)), whole.filter(pc.equal(whole["kind"], 1))
+        if not table.num_rows:
+            return marks
         ids, ties, s, n = (_joined(table[c], "<i8") for c in ("ids", "ties", "starts", "counts"))
-        data = _joined(table["data"], "u1")
+        data = np.frombuffer(b"".join(map(_unpacked, table["data"].to_pylist())), "u1")
         runs = np.array([len(x) // 8 for x in table["ids"].to_pylist()])
         chunks = np.repeat(table["chunk"].to_numpy(), runs)
         base = np.concatenate([[0], np.cumsum(n + LENGTH - 1)[:-1]])
+        order = np.lexsort((s, ties, ids))  # smaller indices stand for earlier strings
+        base, chunks, ids, ties, s, n = (x[order] for x in (base, chunks, ids, ties, s, n))
         places, start, of = _ranges(base, n), _ranges(s, n), np.repeat(np.arange(len(n)), n)
-        again = np.sort(_not_first(equal_suffixes(data, places), ids[of], ties[of], start))
+        again = np.sort(_not_first(equal_suffixes(data, places)))
         rows = []
         if len(again):
             r, first, count = _runs(of[again], start[again])
@@ -339,9 +352,9 @@ def _sorted_buckets(found: DataFrame) -> DataFrame:
             for a, b in zip([0, *ends[:-1]], ends):
                 c = int(chunks[r[a]])
                 rows.append((0, c, c, _blob(ids[r[a:b]], "<i8"), _blob(ties[r[a:b]], "<i8"), _blob(first[a:b], "<i8"), _blob(count[a:b], "<i8"), b""))
-        return _table(rows)
+        return pa.concat_tables([marks, _table(rows)])
 
-    return found.where("kind = 1").groupBy("key").applyInArrow(run, _FOUND)
+    return found.groupBy("key").applyInArrow(run, _FOUND)
 
 
 def _removed(docs: DataFrame, marks: DataFrame) -> DataFrame:
@@ -369,7 +382,7 @@ def _removed(docs: DataFrame, marks: DataFrame) -> DataFrame:
         kinds = [*[pa.int64()] * 6, pa.string(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))]
         return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], names=[x.split()[0] for x in out.split(", ")[:8]])
 
-    return docs.groupBy("chunk").cogroup(marks.groupBy("key")).applyInArrow(run, out)
+    return docs.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(run, out)
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -383,8 +396,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", chu
     buckets = max(64, chunks)
     rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("chunk", F.pmod(F.xxhash64("id", "tie"), F.lit(chunks)).cast("long"))
     repeated = _repeated(_grams(rows, buckets))
-    found = cut_lineage(_sorted_chunks(rows, repeated, buckets), "suffixes")
-    marks = found.where("kind = 0").unionByName(_sorted_buckets(found)).select("key", "ids", "ties", "starts", "counts")
+    marks = _sorted_buckets(_sorted_chunks(rows, repeated, buckets)).select("chunk", "ids", "ties", "starts", "counts")
     out = _removed(rows, marks)
     if repeated_ids:
         out = out.withColumn("again", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int"))))
