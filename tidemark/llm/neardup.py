@@ -7,8 +7,8 @@
 4. A pair is a link where the shingle sets' Jaccard similarity reaches SIMILARITY and a banded alignment of the
    words finds an edit similarity of SIMILARITY or more.
 5. The links' connected components are the classes. Buckets that still hold several classes are searched again:
-   all pairs of different classes in buckets of up to SMALL nodes, SMALL further centres in larger ones, until a
-   round finds no new link.
+   all pairs of different classes in buckets of up to SMALL nodes, CENTRES further centres in larger ones, until
+   a round finds no new link.
 
 Defined results: null texts are copies of each other, and so are texts without a word. Texts of fewer than SHINGLE
 words have one shingle. The class id is the smallest id of the class's rows, null where all of them are null; rows
@@ -31,6 +31,8 @@ SIMILARITY = 0.8
 SKETCHES = 32
 PICKED = 4
 SMALL = 64
+#: Nodes of a larger bucket that the others meet in one round.
+CENTRES = 4
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _UNBASE = pow(_BASE, -1, 1 << 64)
@@ -262,7 +264,7 @@ def _across(buckets: DataFrame, roots: DataFrame, seed: int) -> tuple[DataFrame,
     """Pairs of different classes in one bucket.
 
     All of them in buckets of up to SMALL nodes; in larger ones each node outside the bucket's largest class
-    meets SMALL nodes that the seed picks, so that pairs grow with the nodes and not with their square.
+    meets CENTRES nodes that the seed picks, so that pairs grow with the nodes and not with their square.
     """
     rooted = buckets.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     sizes = rooted.groupBy("bucket", "root").agg(F.count("*").alias("n"))
@@ -272,7 +274,7 @@ def _across(buckets: DataFrame, roots: DataFrame, seed: int) -> tuple[DataFrame,
     x, y = small.select("bucket", F.col("node").alias("a"), F.col("root").alias("ra")), small.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"))
     every = x.join(y, (x.bucket == y.bucket) & (x.a < y.b) & (x.ra != y.rb)).select("a", "b")
     place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("node", F.lit(seed)), "node"))
-    centres = large.withColumn("place", place).where(F.col("place") <= SMALL).select("bucket", F.col("node").alias("c"), F.col("root").alias("rc"))
+    centres = large.withColumn("place", place).where(F.col("place") <= CENTRES).select("bucket", F.col("node").alias("c"), F.col("root").alias("rc"))
     met = large.where("root <> largest").join(centres, "bucket").where("root <> rc")
     return every, met.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b"))
 
