@@ -89,3 +89,51 @@ def test_personal_data(spark):
     assert (found[400]["n_email"], found[400]["n_ip"], found[400]["n_card"], found[400]["n_phone"]) == (1, 1, 1, 1)
     assert found[400]["redacted"].startswith("write to <email> or <phone> from <ip>")
     assert found[43]["spans"] == found[44]["spans"] == ""
+
+
+def classes_by_brute_force(texts):
+    words = {k: neardup.word_hashes(t) for k, t in texts.items()}
+    label = {k: k for k in words}
+    for i in sorted(words):
+        for j in sorted(words):
+            if i < j and label[i] != label[j] and neardup.similar(words[i], words[j]):
+                low, old = min(label[i], label[j]), {label[i], label[j]}
+                label = {k: low if v in old else v for k, v in label.items()}
+    return label
+
+
+def test_a_large_bucket_of_many_classes_is_searched_whole(spark):
+    pick = np.random.default_rng(3)
+    shared = [f"s{k}" for k in range(120)]
+    texts = {}
+    for family in range(50):
+        own = [f"f{family}x{k}" for k in range(40)]
+        for copy in range(3):
+            words = own[:20] + shared + own[20:]
+            words[int(pick.integers(0, len(words)))] = f"c{copy}"
+            texts[len(texts)] = " ".join(words)
+    rows = [(k, t) + (None,) * 7 for k, t in texts.items()]
+    found = {r["id"]: r["class_id"] for r in neardup.near_duplicates(frame(spark, rows)).collect()}
+    assert found == classes_by_brute_force(texts) and len(set(found.values())) == 50
+
+
+def test_blocks_find_the_same_pairs(spark):
+    nodes = [(b, bytes([k]), neardup.binned(np.arange(k % 7, 60 + k % 7, dtype=np.uint64))) for b in (1, 2) for k in range(40)]
+    buckets = spark.createDataFrame([n[:2] for n in nodes], "bucket long, node binary")
+    heads = spark.createDataFrame([n[1:] for n in nodes[:40]], "node binary, least binary")
+    roots = spark.createDataFrame([(bytes([k]), b"\0") for k in range(12)], "node binary, root binary")
+    whole, parts = (sorted(map(tuple, neardup._across(buckets, roots, heads, 0.8, False, block).collect())) for block in (4096, 8))
+    wanted = [(bytes([i]), bytes([j])) for i in range(40) for j in range(i + 1, 40) if j >= 12]
+    assert whole == parts == wanted
+
+
+def test_likely_keeps_every_similar_pair():
+    pick = np.random.default_rng(8)
+    for size in (3, 10, 60, 300, 3000):
+        for _ in range(40):
+            pool = pick.integers(0, 1 << 62, size * 2).astype(np.uint64)
+            common = int(np.ceil(0.8 * size))
+            extra = size - common
+            a, b = pool[: common + extra // 2], np.concatenate([pool[:common], pool[size : size + extra - extra // 2]])
+            (x, m), (y, n) = neardup._unbinned([neardup.binned(a)]), neardup._unbinned([neardup.binned(b)])
+            assert neardup.likely(x, y, m, n)[0].all()

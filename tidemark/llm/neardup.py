@@ -6,9 +6,11 @@
 3. In a bucket every node is paired with a few centres (smallest, largest, smallest and largest hash).
 4. A pair is a link where the shingle sets' Jaccard similarity reaches SIMILARITY and a banded alignment of the
    words finds an edit similarity of SIMILARITY or more.
-5. The links' connected components are the classes. Buckets that still hold several classes are searched again:
-   all pairs of different classes in buckets of up to SMALL nodes, CENTRES further centres in larger ones, until
-   a round finds no new link.
+5. The links' connected components are the classes. Buckets that still hold several classes are compared whole:
+   each node outside a bucket's largest class meets every node of another class in that bucket, block by block,
+   and only pairs whose estimated similarity is high enough leave a block. First each node's best partner of every
+   other class is verified, which joins most classes; then all that remain between different classes are. So no
+   pair that shares a bucket is left out, whatever the bucket's size.
 
 Defined results: null texts are copies of each other, and so are texts without a word. Texts of fewer than SHINGLE
 words have one shingle. The class id is the smallest id of the class's rows, null where all of them are null; rows
@@ -19,10 +21,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tidemark.session import cut_lineage, share_package
 
@@ -30,9 +33,14 @@ SHINGLE = 5
 SIMILARITY = 0.8
 SKETCHES = 32
 PICKED = 4
-SMALL = 64
-#: Nodes of a larger bucket that the others meet in one round.
-CENTRES = 4
+#: Bins of the sketch that estimates the similarity of two shingle sets.
+BINS = 256
+#: Standard deviations by which an estimate may fall short.
+SLACK = 4.5
+#: Nodes of a bucket in one block, about.
+BLOCK = 4096
+#: Bytes of a set's size behind its bins.
+_COUNT = 4
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _UNBASE = pow(_BASE, -1, 1 << 64)
@@ -91,15 +99,15 @@ def labelled(grams: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketches(grams: np.ndarray, count: int = SKETCHES, picked: int = PICKED) -> tuple[np.ndarray, np.ndarray]:
-    """Order MinHash: per hash order, one hash of the picked smallest labelled shingles in text order, and one byte of the smallest."""
+def sketches(grams: np.ndarray, count: int = SKETCHES, picked: int = PICKED) -> np.ndarray:
+    """Order MinHash: per hash order, one hash of the picked smallest labelled shingles in text order."""
     grams = labelled(grams)
     n = len(grams)
     picked = min(picked, n)
     bits = np.uint64(max(1, int(n).bit_length()))
     low = (np.uint64(1) << bits) - np.uint64(1)
     place = np.arange(n, dtype=np.uint64)
-    marks, least = np.empty(count, np.uint64), np.empty(count, np.uint8)
+    marks = np.empty(count, np.uint64)
     step = max(1, _CELLS // max(1, n))
     for first in range(0, count, step):
         orders = np.arange(first, min(first + step, count), dtype=np.uint64)
@@ -108,14 +116,40 @@ def sketches(grams: np.ndarray, count: int = SKETCHES, picked: int = PICKED) ->
         value = (value & ~low) | place
         if n > picked:
             value.partition(picked - 1, axis=1)
-        value = value[:, :picked]
-        found = np.sort((value & low).astype(np.int64), axis=1)
-        least[first : first + len(orders)] = _mixed(grams[(value.min(axis=1) & low).astype(np.int64)]) & np.uint64(255)
+        found = np.sort((value[:, :picked] & low).astype(np.int64), axis=1)
         h = orders + np.uint64(1)
         for k in range(picked):
             h = _mixed(h * np.uint64(31) + grams[found[:, k]])
         marks[first : first + len(orders)] = h
-    return marks, least
+    return marks
+
+
+def binned(grams: np.ndarray, bins: int = BINS) -> bytes:
+    """One-permutation MinHash of the shingle set: a byte (1 to 255) of the smallest hash in each bin, 0 where the bin is empty; then the set's size."""
+    h = _mixed(np.unique(grams) ^ _MIX)
+    empty = ~np.uint64(0)
+    least = np.full(bins, empty)
+    np.minimum.at(least, (h % np.uint64(bins)).astype(np.int64), h // np.uint64(bins))
+    return np.where(least == empty, 0, 1 + least % np.uint64(255)).astype(np.uint8).tobytes() + len(h).to_bytes(_COUNT, "little")
+
+
+def _unbinned(sketches_: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Bins and set sizes of binned sketches."""
+    cells = np.frombuffer(b"".join(sketches_), np.uint8).reshape(-1, BINS + _COUNT)
+    return cells[:, :BINS], np.ascontiguousarray(cells[:, BINS:]).view("<u4").ravel().astype(np.float64)
+
+
+def likely(x: np.ndarray, y: np.ndarray, m: np.ndarray, n: np.ndarray, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """Whether bins x and y (last axis) of sets of m and n shingles can be of sets this similar, and the share of bins that agree.
+
+    The used bins are a sample, without replacement, of the union, which has (m + n) / (1 + similarity) shingles at the limit.
+    """
+    agree = ((x == y) & (x != 0)).sum(axis=-1)
+    used = np.maximum(((x | y) != 0).sum(axis=-1), 1)
+    union = np.maximum((m + n) / (1 + similarity), 2)
+    left = np.maximum(union - used, 0) / (union - 1)
+    fits = agree >= similarity * used - SLACK * np.sqrt(similarity * (1 - similarity) * used * left) - 1
+    return fits & (np.minimum(m, n) >= similarity * np.maximum(m, n) - 1e-9), agree / used
 
 
 def aligned_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
@@ -163,10 +197,16 @@ def aligned_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
 
 def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY, size: int = SHINGLE) -> bool:
     """Both similarities of two word sequences reach the limit."""
+    return _alike(a, np.unique(shingles(a, size)), b, np.unique(shingles(b, size)), similarity)
+
+
+def _alike(a: np.ndarray, sa: np.ndarray, b: np.ndarray, sb: np.ndarray, similarity: float) -> bool:
+    """As similar, with the sets of shingles of both."""
     longest = max(len(a), len(b))
     if not longest or min(len(a), len(b)) == 0:
         return len(a) == len(b)
-    sa, sb = np.unique(shingles(a, size)), np.unique(shingles(b, size))
+    if min(len(sa), len(sb)) < similarity * max(len(sa), len(sb)) - 1e-9:
+        return False
     common = len(np.intersect1d(sa, sb, assume_unique=True))
     if common < similarity * (len(sa) + len(sb) - common) - 1e-9:
         return False
@@ -180,7 +220,7 @@ def _node(text: str | None, words: np.ndarray) -> bytes:
 
 
 def _sketched(docs: DataFrame) -> DataFrame:
-    """id, node, sketches and the bytes that estimate similarity, for each row."""
+    """id, node, sketches and the binned sketch, for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,9 +229,9 @@ def _sketched(docs: DataFrame) -> DataFrame:
                 text = texts[i].as_py()
                 own = word_hashes(text) if text is not None else np.zeros(0, np.uint64)
                 nodes.append(_node(text, own))
-                mark, byte = sketches(shingles(own)) if len(own) else (np.zeros(0, np.uint64), np.zeros(0, np.uint8))
-                marks.append(mark.view(np.int64))
-                least.append(byte.tobytes())
+                grams = shingles(own)
+                marks.append((sketches(grams) if len(own) else np.zeros(0, np.uint64)).view(np.int64))
+                least.append(binned(grams))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), pa.array(marks, pa.list_(pa.int64())), pa.array(least, pa.binary())], names=["id", "node", "marks", "least"])
 
     return docs.select("id", "text").mapInArrow(run, "id bigint, node binary, marks array<bigint>, least binary")
@@ -212,9 +252,14 @@ def _with_nodes(docs: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs that are links. texts has one row for each node."""
 
+    def read(text: str) -> tuple[np.ndarray, np.ndarray]:
+        words = word_hashes(text)
+        return words, np.unique(shingles(words))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once = lru_cache(maxsize=16)(read)  # rows of equal b stand together
         for batch in batches:
-            kept = [i for i in range(batch.num_rows) if similar(word_hashes(batch.column(2)[i].as_py()), word_hashes(batch.column(3)[i].as_py()), similarity)]
+            kept = [i for i in range(batch.num_rows) if _alike(*once(batch.column(2)[i].as_py()), *once(batch.column(3)[i].as_py()), similarity)]
             yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
 
     left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
@@ -223,14 +268,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 
 
 def _likely(pairs: DataFrame, heads: DataFrame, similarity: float) -> DataFrame:
-    """Drop pairs whose smallest shingles agree so rarely that they cannot well be similar (over four standard deviations below)."""
-    deviation = (similarity * (1 - similarity) / SKETCHES) ** 0.5
-    least = int((similarity - 4.5 * deviation) * SKETCHES)
+    """Drop pairs whose binned sketches differ too much."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SKETCHES) for k in (2, 3))
-            yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= least))
+            (x, m), (y, n) = (_unbinned(batch.column(k).to_pylist()) for k in (2, 3))
+            yield batch.select(["a", "b"]).filter(pa.array(likely(x, y, m, n, similarity)[0]))
 
     left = pairs.join(heads.select(F.col("node").alias("a"), F.col("least").alias("least_a")), "a")
     both = left.join(heads.select(F.col("node").alias("b"), F.col("least").alias("least_b")), "b")
@@ -251,32 +294,86 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _centred(buckets: DataFrame, seed: int) -> DataFrame:
-    """(a, b), a < b: each member of a bucket with its four centres, by node and by a seeded hash. buckets(bucket, node, ...)."""
-    order = F.xxhash64("node", F.lit(seed))
-    ends = [F.min("node"), F.max("node")] if seed == 0 else []
-    stats = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.array(*ends, F.min_by("node", order), F.max_by("node", order)).alias("centres")).where("n > 1")
+def _centred(buckets: DataFrame) -> DataFrame:
+    """(a, b), a < b: each member of a bucket with its four centres, by node and by a hash. buckets(bucket, node, ...)."""
+    order = F.xxhash64("node")
+    stats = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.array(F.min("node"), F.max("node"), F.min_by("node", order), F.max_by("node", order)).alias("centres")).where("n > 1")
     met = buckets.select("bucket", "node").join(stats, "bucket").select("node", F.explode(F.array_distinct("centres")).alias("c")).where("node <> c")
     return met.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
 
 
-def _across(buckets: DataFrame, roots: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs of different classes in one bucket.
+def _best(rows: np.ndarray, columns: np.ndarray, share: np.ndarray, roots: np.ndarray) -> np.ndarray:
+    """Of the pairs (rows, columns), the place of each row's best one for every class of its columns."""
+    kinds = np.unique(roots, return_inverse=True)[1][columns]
+    order = np.lexsort((columns, -share, kinds, rows))
+    first = np.ones(len(order), bool)
+    first[1:] = (np.diff(rows[order]) != 0) | (np.diff(kinds[order]) != 0)
+    return order[first]
+
 
-    All of them in buckets of up to SMALL nodes; in larger ones each node outside the bucket's largest class
-    meets CENTRES nodes that the seed picks, so that pairs grow with the nodes and not with their square.
+def _across(buckets: DataFrame, roots: DataFrame, heads: DataFrame, similarity: float, best: bool, block: int = BLOCK) -> DataFrame:
+    """(a, b), a < b: likely pairs of different classes that share a bucket; with best, only each node's best one of every class in a block.
+
+    Nodes outside the largest class of a bucket are asked against all its nodes, in blocks that a hash of the node deals.
     """
+
+    def compared(nodes: list, found: list, sketch: list, asks: np.ndarray) -> tuple[list, list]:
+        asked = np.flatnonzero(~asks)
+        asking = np.flatnonzero(asks)
+        kinds = np.unique(np.array(found, object), return_inverse=True)[1]
+        cells, sizes = _unbinned(sketch)
+        a, b, step = [], [], max(1, (_CELLS * 16) // (BINS * max(1, len(asked))))
+        for at in range(0, len(asking), step):
+            some = asking[at : at + step]
+            fits, share = likely(cells[some][:, None, :], cells[asked][None, :, :], sizes[some][:, None], sizes[asked][None, :], similarity)
+            x, y = np.nonzero(fits & (kinds[some][:, None] != kinds[asked][None, :]))
+            if best and len(x):
+                kept = _best(x, y, share[x, y], kinds[asked])
+                x, y = x[kept], y[kept]
+            for i, j in zip(some[x], asked[y]):
+                a.append(min(nodes[i], nodes[j]))
+                b.append(max(nodes[i], nodes[j]))
+        return a, b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done(rows: pa.Table) -> pa.RecordBatch:
+            """Pairs of all groups in rows, which are whole and in order."""
+            keys = np.stack([rows.column(k).to_numpy() for k in range(3)])
+            edges = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1), rows.num_rows]
+            nodes, found, sketch = (rows.column(k).to_pylist() for k in (3, 4, 5))
+            asks = rows.column(6).to_numpy()
+            a, b = [], []
+            for low, high in zip(edges[:-1], edges[1:]):
+                more = compared(nodes[low:high], found[low:high], sketch[low:high], asks[low:high])
+                a += more[0]
+                b += more[1]
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)])
+            last = int(np.flatnonzero((keys != keys[:, -1:]).any(axis=0)).max(initial=-1)) + 1
+            # rows from last on are of one group that may go on in the next batch
+            whole = last > 0 or (bool(held) and any(held[-1].column(k)[-1].as_py() != batch.column(k)[0].as_py() for k in range(3)))
+            if whole:
+                yield done(pa.Table.from_batches([*held, batch.slice(0, last)]))
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield done(pa.Table.from_batches(held))
+
     rooted = buckets.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     sizes = rooted.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("classes"), F.max_by("root", F.struct("n", "root")).alias("largest")).where("classes > 1")
-    held = cut_lineage(rooted.join(mixed.select("bucket", "n", "largest"), "bucket"), "mixed")
-    small, large = held.where(F.col("n") <= SMALL), held.where(F.col("n") > SMALL)
-    x, y = small.select("bucket", F.col("node").alias("a"), F.col("root").alias("ra")), small.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"))
-    every = x.join(y, (x.bucket == y.bucket) & (x.a < y.b) & (x.ra != y.rb)).select("a", "b")
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("node", F.lit(seed)), "node"))
-    centres = large.withColumn("place", place).where(F.col("place") <= CENTRES).select("bucket", F.col("node").alias("c"), F.col("root").alias("rc"))
-    met = large.where("root <> largest").join(centres, "bucket").where("root <> rc")
-    return every, met.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b"))
+    mixed = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("classes"), F.max_by("root", F.struct("n", "root")).alias("largest"), F.max("n").alias("most")).where("classes > 1")
+    counted = mixed.select("bucket", "largest", F.ceil(F.col("n") / block).alias("n_all"), F.ceil((F.col("n") - F.col("most")) / block).alias("n_asking"))
+    drawn = rooted.join(counted, "bucket").join(heads.select("node", "least"), "node").withColumn("h", F.xxhash64("node"))
+    asked = drawn.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_asking") - 1)).alias("i"), F.expr("pmod(h, n_all)").alias("j"), "node", "root", "least", F.lit(False).alias("asks"))
+    asking = drawn.where("root <> largest").select("bucket", F.expr("pmod(h, n_asking)").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_all") - 1)).alias("j"), "node", "root", "least", F.lit(True).alias("asks"))
+    dealt = asked.union(asking).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return dealt.mapInArrow(run, "a binary, b binary").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -287,19 +384,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     exact = rows.groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     heads = cut_lineage(rows.select("node", "marks", "least").dropDuplicates(["node"]).where(F.size("marks") > 0), "heads")
     buckets = heads.select("node", F.explode("marks").alias("bucket"))
-    tested = pairs = cut_lineage(_centred(buckets, 0), "pairs")
+    tested = pairs = cut_lineage(_centred(buckets), "pairs")
     met = cut_lineage(buckets.join(buckets.groupBy("bucket").count().where("count > 1").select("bucket"), "bucket"), "met")
     wanted = met.select("node").distinct().join(exact.select("node", "rep"), "node").select(F.coalesce("rep", F.lit(_NO_ID)).alias("id"))
     named = source.withColumn("id", F.coalesce("id", F.lit(_NO_ID)))
     texts = cut_lineage(_with_nodes(named.join(wanted.distinct(), "id", "left_semi")).dropDuplicates(["node"]), "texts")
     links = cut_lineage(_verified(_likely(pairs, heads, similarity), texts, similarity), "links")
     roots = components(links)
-    for seed in range(1, 1 << 30):
-        every, centred = _across(met, roots, seed)
-        pairs = cut_lineage(every.union(centred).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        more = cut_lineage(_verified(_likely(pairs, heads, similarity), texts, similarity), "links")
-        if not more.limit(1).count():
-            break
+    for best in (True, False):
+        pairs = cut_lineage(_across(met, roots, heads, similarity, best).join(tested, ["a", "b"], "left_anti"), "pairs")
+        more = cut_lineage(_verified(pairs, texts, similarity), "links")
         tested, links = tested.union(pairs), links.union(more)
         roots = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
