@@ -315,9 +315,17 @@ def _across(buckets: DataFrame, roots: DataFrame, heads: DataFrame, similarity:
     """(a, b), a < b: likely pairs of different classes that share a bucket; with best, only each node's best one of every class in a block.
 
     Nodes outside the largest class of a bucket are asked against all its nodes, in blocks that a hash of the node deals.
+    A pair comes from the smallest bucket that both share: they are of different classes, so it is compared too.
     """
 
-    def compared(nodes: list, found: list, sketch: list, asks: np.ndarray) -> tuple[list, list]:
+    def padded(earlier: pa.Array, bucket: int) -> np.ndarray:
+        """A row of buckets for each node, filled up with bucket."""
+        lengths = np.diff(earlier.offsets.to_numpy())
+        cells = np.full((len(lengths), lengths.max(initial=0)), bucket, np.int64)
+        cells[np.arange(cells.shape[1])[None, :] < lengths[:, None]] = earlier.flatten().to_numpy()
+        return cells
+
+    def compared(bucket: int, nodes: list, found: list, sketch: list, asks: np.ndarray, earlier: np.ndarray) -> tuple[list, list]:
         asked = np.flatnonzero(~asks)
         asking = np.flatnonzero(asks)
         kinds = np.unique(np.array(found, object), return_inverse=True)[1]
@@ -327,6 +335,9 @@ def _across(buckets: DataFrame, roots: DataFrame, heads: DataFrame, similarity:
             some = asking[at : at + step]
             fits, share = likely(cells[some][:, None, :], cells[asked][None, :, :], sizes[some][:, None], sizes[asked][None, :], similarity)
             x, y = np.nonzero(fits & (kinds[some][:, None] != kinds[asked][None, :]))
+            left, right = earlier[some[x]], earlier[asked[y]]
+            met = ((left[:, :, None] == right[:, None, :]) & (left != bucket)[:, :, None]).any(axis=(1, 2))
+            x, y = x[~met], y[~met]
             if best and len(x):
                 kept = _best(x, y, share[x, y], kinds[asked])
                 x, y = x[kept], y[kept]
@@ -344,9 +355,10 @@ def _across(buckets: DataFrame, roots: DataFrame, heads: DataFrame, similarity:
             edges = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1), rows.num_rows]
             nodes, found, sketch = (rows.column(k).to_pylist() for k in (3, 4, 5))
             asks = rows.column(6).to_numpy()
+            earlier = pa.concat_arrays(rows.column(7).chunks)
             a, b = [], []
             for low, high in zip(edges[:-1], edges[1:]):
-                more = compared(nodes[low:high], found[low:high], sketch[low:high], asks[low:high])
+                more = compared(keys[0, low], nodes[low:high], found[low:high], sketch[low:high], asks[low:high], padded(earlier[low:high], keys[0, low]))
                 a += more[0]
                 b += more[1]
             return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
@@ -369,9 +381,10 @@ def _across(buckets: DataFrame, roots: DataFrame, heads: DataFrame, similarity:
     sizes = rooted.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("classes"), F.max_by("root", F.struct("n", "root")).alias("largest"), F.max("n").alias("most")).where("classes > 1")
     counted = mixed.select("bucket", "largest", F.ceil(F.col("n") / block).alias("n_all"), F.ceil((F.col("n") - F.col("most")) / block).alias("n_asking"))
-    drawn = rooted.join(counted, "bucket").join(heads.select("node", "least"), "node").withColumn("h", F.xxhash64("node"))
-    asked = drawn.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_asking") - 1)).alias("i"), F.expr("pmod(h, n_all)").alias("j"), "node", "root", "least", F.lit(False).alias("asks"))
-    asking = drawn.where("root <> largest").select("bucket", F.expr("pmod(h, n_asking)").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_all") - 1)).alias("j"), "node", "root", "least", F.lit(True).alias("asks"))
+    shared = buckets.groupBy("node").agg(F.collect_list("bucket").alias("shared"))
+    drawn = rooted.join(counted, "bucket").join(heads.select("node", "least"), "node").join(shared, "node").withColumn("h", F.xxhash64("node")).withColumn("earlier", F.expr("filter(shared, s -> s < bucket)"))
+    asked = drawn.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_asking") - 1)).alias("i"), F.expr("pmod(h, n_all)").alias("j"), "node", "root", "least", F.lit(False).alias("asks"), "earlier")
+    asking = drawn.where("root <> largest").select("bucket", F.expr("pmod(h, n_asking)").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_all") - 1)).alias("j"), "node", "root", "least", F.lit(True).alias("asks"), "earlier")
     dealt = asked.union(asking).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     return dealt.mapInArrow(run, "a binary, b binary").distinct()
 
