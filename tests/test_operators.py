@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidemark.operators import aggregate, intervals, merge, pricing, ranking, series, trees
+from tidemark.plans import catalogue
 from tidemark.sources import logs
 
 
@@ -81,3 +82,11 @@ def test_streams(spark, tmp_path):
         query = frame.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
         query.awaitTermination(120)
         assert spark.table(name).count() == n and spark.table(name).first()["tokens"] == 10
+
+
+def test_day_series_cover_every_event(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    users, tokens = events.agg(F.count_distinct("user_id"), F.sum(F.col("k") + F.col("k") % 50 + F.col("k") * 3 % 40 + F.col("k") % 4 + F.col("k") % 5)).first()
+    for name in ("dense_days_by_user", "trailing_average_by_user"):
+        found = catalogue.QUERIES[name](spark, sf_dir)
+        assert found.agg(F.count_distinct("user_id"), F.sum("tokens")).first() == (users, tokens)

@@ -136,6 +136,11 @@ _one = lambda e: e.where("client = 'purchase' and user_id < 20").groupBy("date")
 _ONE = "g as (select date, cast(sum(tokens) as bigint) as tokens from e where client = 'purchase' and user_id < 20 group by date)"
 _events("dense_days", lambda e: sr.dense(_one(e)), f", {_ONE}, {_CAL} select cal.date, coalesce(tokens, 0) as tokens from cal left join g using (date)")
 _events("trailing_average", lambda e: sr.trailing_average(sr.dense(_one(e)), 7), f", {_ONE}, {_CAL}, f as (select cal.date, coalesce(tokens, 0) as tokens from cal left join g using (date)) select date, tokens, round(avg(tokens) over (order by date rows between 6 preceding and current row), 6) as average from f")
+_user_days = lambda e: e.groupBy("user_id", "date").agg(F.sum("tokens").alias("tokens"))
+_USER_DAYS = "g as (select user_id, date, cast(sum(tokens) as bigint) as tokens from e group by 1, 2)"
+_GRID = "grid as (select user_id, cal.date from (select distinct user_id from g) cross join cal)"
+_events("dense_days_by_user", lambda e: sr.dense(_user_days(e), "user_id"), f", {_USER_DAYS}, {_CAL}, {_GRID} select user_id, date, coalesce(tokens, 0) as tokens from grid left join g using (user_id, date)")
+_events("trailing_average_by_user", lambda e: sr.trailing_average(sr.dense(_user_days(e), "user_id"), 7, "user_id"), f", {_USER_DAYS}, {_CAL}, {_GRID}, f as (select user_id, date, coalesce(tokens, 0) as tokens from grid left join g using (user_id, date)) select *, round(avg(tokens) over (partition by user_id order by date rows between 6 preceding and current row), 6) as average from f")
 _events("topk_other", lambda e: sr.top_with_other(e, "user_id", 12), ", g as (select user_id, cast(sum(tokens) as bigint) as tokens from e group by 1), p as (select *, row_number() over (order by tokens desc, user_id) as n, count(*) over () as c from g) select case when c <= 12 or n < 12 then cast(user_id as varchar) else 'other' end as series, cast(sum(tokens) as bigint) as tokens from p group by 1")
 _STREAK = ", a as (select distinct user_id, cast(date as date) as d from e where cost > 0), i as (select *, d - cast(row_number() over (partition by user_id order by d) as integer) as g from a), s as (select user_id, max(d) as hi, count(*) as n from i group by user_id, g)"
 _events("streak_longest", lambda e: sr.longest_streak(e, "user_id"), f"{_STREAK} select user_id, max(n) as longest from s group by 1")
