@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidemark.llm import decontaminate, langid, neardup, packing, pii
 from tidemark.session import cut_lineage, table
 
-#: Iterative classes, a learned field and packing are beyond SQL; tests compare the stages with brute force.
+#: Iterative classes, a learned field and packing are beyond SQL; a test compares near_dedup with brute force.
 ORACLE_SQL = None
 
 
@@ -31,13 +31,13 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the smallest doc_id stays, once. Rows without doc_id stay."""
-    found = neardup.near_duplicates(docs)
-    out = found.where("id <> class_id").select(F.col("id").alias("doc_id")).distinct()
-    again = found.groupBy("id").count().where("id is not null and count > 1").select(F.col("id").alias("doc_id"))
-    left = docs.join(out, "doc_id", "left_anti")
-    repeated = again.limit(1).count() > 0
-    return (left.dropDuplicates(["doc_id", "text"]) if repeated else left).select(docs.columns)
+    """Of each class of near duplicates one row stays: that of the smallest doc_id, a null one last; of equal ids that of the smallest hash of its text."""
+    rows = cut_lineage(_carried(docs).withColumn("number", F.monotonically_increasing_id()), "rows")
+    classes = neardup.near_duplicates(rows, "number").select(F.col("id").alias("number"), "class_id")
+    keys = rows.select("number", F.col("row.doc_id").alias("doc_id"), F.xxhash64("text").alias("hash"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "hash", "number")
+    first = classes.join(keys, "number").groupBy("class_id").agg(F.min(order).alias("first")).select("first.number")
+    return _restored(rows.join(first, "number", "left_semi"), docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
