@@ -27,6 +27,39 @@ def test_main_text():
         assert html.main_text(page) == text
 
 
+PROSE = "A para, with some words in it. And more, quite long as it is."
+ASIDES = '<div class="sidebar"><p>Side, with text.</p></div><div class="comments"><p>I, for one, say: no.</p></div>'
+
+
+def test_names_of_wrappers_around_the_article():
+    inside = {
+        "main": (f"<main><h1>Head</h1><p>{PROSE}</p></main>", f"Head {PROSE}"),
+        "article": (f"<article><h2>Head</h2><p>{PROSE}</p></article>", f"Head {PROSE}"),
+        "h1": (f"<h1>Head</h1><p>{PROSE}</p>", f"Head {PROSE}"),
+        "text": (f"<p>{PROSE}</p><p>{PROSE}</p>", f"{PROSE} {PROSE}"),
+    }
+    for name in ("site has-sidebar", "no-sidebar", "post with-comments", "hasSidebar", "search-results", "page-banner-layout", "widget", "site"):
+        for body, text in inside.values():
+            for tag in ("div", "section"):
+                for attribute in ("class", "id"):
+                    page = f'<body><nav>menu</nav><{tag} {attribute}="{name}"><div>{body}</div>{ASIDES}</{tag}><footer>us</footer></body>'
+                    assert html.main_text(page) == text, page
+                    assert html.main_text(f'<{tag} {attribute}="{name}"><div class="no-ads">{body}</div></{tag}>{ASIDES}') == text
+
+
+def test_names_still_mark_what_is_beside_the_article():
+    long = "I, for one, say: what a long and winding comment this is, you know. " * 9
+    for name in ("comments", "comment-list", "comments-area", "sidebar", "related-posts", "ad-slot", "site-header"):
+        for text in (f"<p>{long}</p>", f"<article><p>{long}</p></article>"):
+            aside = f'<div class="{name}">{text}</div>'
+            assert html.main_text(f"<body><article><h1>Head</h1><p>{PROSE}</p></article>{aside}</body>") == f"Head {PROSE}", name
+            assert html.main_text(f'<body>{aside}<div class="has-sidebar"><main><h1>Head</h1><p>{PROSE}</p></main></div></body>') == f"Head {PROSE}", name
+    for name in ("comments", "comment-list", "comments-area", "sidebar"):
+        assert html.main_text(f'<article><h1>Head</h1><p>{PROSE}</p><div class="{name}"><p>{long}</p></div></article>') == f"Head {PROSE}", name
+    assert html.main_text(f'<main><p>{PROSE}</p><div class="comments"><article><p>{long}</p></article></div></main>') == PROSE
+    assert html.main_text(f'<body role="document"><div role="search"><p>{long}</p></div><p>{PROSE}</p></body>') == PROSE
+
+
 def test_extract(spark):
     rows = [(k, None, p, "clash") for k, (p, _) in enumerate(PAGES)] + [(0, None, PAGES[0][0], "clash"), (None, "u", "<p>" + "long text, " * 50_000 + "</p>", "x")]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string, text string")

@@ -8,6 +8,10 @@
    is the article. All of its blocks stay but for those that tags, roles or class names give as menus, headers,
    footers, sidebars, notices, adverts, forms or reader comments. Where only the page's body holds them all,
    just content paths, headings and blocks beside content stay.
+4. A class name or id gives nothing away where it says what a wrapper has or lacks (has-sidebar, no-ads), or where
+   its element holds the main element, the article, the h1 or most of the content paths' text. Where a name is no
+   more than such words (comments), the article or h1 must come with most of that text. Where all blocks would go,
+   the elements with most of that text stay.
 
 Defined results: a null or empty page, or one without any text, gives the empty text. Character references are
 decoded once; white space inside a block becomes one space; blocks are joined by one space in page order. An
@@ -20,7 +24,7 @@ import html
 import math
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -57,6 +61,10 @@ _NAMES = frozenset(
     "sidebar aside complementary footer contentinfo masthead topbar toolbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe "
     "subscription signup login share sharing social comment comments commentlist disqus respond replies related recommended recommendations widget pagination pager search".split()
 )
+#: Before such a word, what a wrapper has or lacks; not what it is.
+_HAS = frozenset("has have with without no not".split())
+#: Names of readers' comments, which can be longer than the article.
+_REPLIES = frozenset("comment comments commentlist disqus respond replies".split())
 _WHOLE = frozenset(("header", "site-header", "page-header", "siteheader", "pageheader", "banner", "site-notice"))
 
 
@@ -69,6 +77,10 @@ class Element:
     depth: int
     form: "Element | None" = None
     holds_article: bool = False
+    #: 1 where a class name or id has a word of _NAMES, 2 where it is no more than that
+    named: int = 0
+    #: elements around it, and it, that such a name marks
+    marks: int = 0
 
 
 @dataclass
@@ -80,23 +92,34 @@ class Block:
 @dataclass
 class Page:
     blocks: list[Block] = field(default_factory=list)
+    elements: list[Element] = field(default_factory=list)
     paths: dict[tuple[int, str], int] = field(default_factory=dict)
 
 
-def _is_aside(tag: str, attrs: str) -> bool:
+def _named(part: str) -> int:
+    """Whether a class name or id is a word of _NAMES (2), or has one (1) that does not follow a word of _HAS."""
+    if part.lower() in _WHOLE:
+        return 2
+    words = _WORD.findall(_CAMEL.sub(" ", part).lower())
+    if _NAMES.isdisjoint(words) or not _HAS.isdisjoint(words[:-1]):
+        return 0
+    return 2 if _NAMES.issuperset(words) or not _REPLIES.isdisjoint(words) else 1
+
+
+def _is_aside(tag: str, attrs: str) -> tuple[bool, int]:
+    """Whether tag, role or hiding make an element aside, and how far its class names and id do."""
     if tag in _ASIDE and tag != "form":
-        return True
-    if not attrs:
-        return False
-    for name, value in _ATTR.findall(attrs):
+        return True, 0
+    named = 0
+    for name, value in _ATTR.findall(attrs) if attrs else ():
         name, value = name.lower(), html.unescape(value.strip("\"'"))
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if tag in ("html", "body", "main", "article") and name != "role":
-            continue
-        if name in ("class", "id", "role") and any(part.lower() in _WHOLE or not _NAMES.isdisjoint(_WORD.findall(_CAMEL.sub(" ", part).lower())) for part in value.split()):
-            return True
-    return False
+            return True, 0
+        if name == "role" and any(_named(part) for part in value.split()):
+            return True, 0
+        if name in ("class", "id") and tag not in ("html", "body", "main", "article"):
+            named = max([named, *(_named(part) for part in value.split())])
+    return False, named
 
 
 def parse(page: str) -> Page:
@@ -158,7 +181,9 @@ def parse(page: str) -> Page:
                 f.holds_article = True
                 f = f.parent.form if f.parent else None
         path = out.paths.setdefault((top.path, tag), len(out.paths) + 1)
-        new = Element(tag, top, path, top.aside or _is_aside(tag, attrs), top.depth + 1, form)
+        aside, named = _is_aside(tag, attrs)
+        new = Element(tag, top, path, top.aside or aside, top.depth + 1, form, named=named, marks=top.marks + (named > 0))
+        out.elements.append(new)
         if tag == "form":
             new.form = new
         if not attrs.rstrip().endswith("/") or tag in _CLOSES_P:
@@ -211,10 +236,80 @@ def content_paths(blocks: list[Block]) -> set[int]:
     return {p for p, s in sums.items() if s / count[p] >= SHARE * mean}
 
 
+def _held(elements: list[Element], blocks: list[Block]) -> dict[int, int]:
+    """Characters of blocks in each element."""
+    chars = defaultdict(int)
+    for b in blocks:
+        chars[id(b.at)] += len(b.text)
+    for e in reversed(elements):
+        if chars[id(e)]:
+            chars[id(e.parent)] += chars[id(e)]
+    return chars
+
+
+def _with_most(elements: list[Element], blocks: list[Block]) -> set[int]:
+    """Elements that hold more than half of the content paths' text."""
+    chosen = content_paths(blocks) if blocks else ()
+    content = [b for b in blocks if b.at.path in chosen]
+    half = sum(len(b.text) for b in content) / 2
+    return {e for e, n in _held(elements, content).items() if n > half}
+
+
+def _below(elements: list[Element], top: Callable[[Element], bool]) -> set[int]:
+    """Elements for which top holds, and all in them; parents come before their children."""
+    out: set[int] = set()
+    for e in elements:
+        if id(e.parent) in out or top(e):
+            out.add(id(e))
+    return out
+
+
+def _judge_names(page: Page) -> None:
+    """Drop the names of elements that hold the article; what the others hold is aside."""
+    elements = page.elements
+    if not any(e.named for e in elements):
+        return
+    blocks = [b for b in page.blocks if not b.at.aside and not _in_form(b.at)]
+    marked = [e for e in elements if e.named and not e.aside]
+    found = {t: [e for e in elements if e.tag == t and not e.aside] for t in ("main", "article", "h1")}
+    kind = next((t for t in found if found[t]), None)
+    best, around = None, set()
+    if kind:
+        chars = _held(elements, blocks)
+        e = best = min(found[kind], key=lambda e: (e.marks, -chars[id(e)]))
+        while e is not None:
+            around.add(id(e))
+            e = e.parent
+    holders = [e for e in marked if id(e) in around]
+    most = _with_most(elements, blocks) if any(e.named == 2 for e in holders) and kind != "main" else set()
+    for e in holders:
+        if kind == "main" or e.named == 1 or id(e) in most:
+            e.named = 0
+    if any(e.named == 1 for e in marked):
+        # whole names, and what is beside the main element or the article, are not the article, however long
+        out = _below(elements, lambda e: e.named == 2)
+        most = _with_most(elements, [b for b in blocks if id(b.at) not in out])
+        if kind in ("main", "article"):
+            most &= _below(elements, lambda e: e is best)
+        for e in marked:
+            if e.named == 1 and id(e) in most:
+                e.named = 0
+    out = _below(elements, lambda e: e.named > 0)
+    if all(id(b.at) in out for b in blocks):
+        most = _with_most(elements, blocks)
+        for e in marked:
+            if id(e) in most:
+                e.named = 0
+    for e in elements:
+        e.aside = e.aside or e.named > 0 or e.parent.aside
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    blocks = [b for b in parse(page).blocks if not b.at.aside and not _in_form(b.at)]
+    parsed = parse(page)
+    _judge_names(parsed)
+    blocks = [b for b in parsed.blocks if not b.at.aside and not _in_form(b.at)]
     if not blocks:
         return ""
     chosen = content_paths(blocks)
