@@ -20,8 +20,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.session import extended, share_package
 
-#: Labelled rows that the fit may use at most (a bounded sample, chosen by a hash of the row's key).
+#: Labelled rows that the fit uses, about (a bounded sample, chosen by a hash of the row's key and text), dealt evenly to the languages.
 FIT_ROWS = 4_000
+#: Rows of each language that may be drawn in any case, however many languages there are; of a smaller language all are.
+LANG_ROWS = 500
 EM_ROUNDS = 3
 MAX_RUN = 40
 MAX_PIECE = 12
@@ -200,8 +202,19 @@ def _normalised(total: np.ndarray, n: int) -> np.ndarray:
     return total / total.sum(axis=0, keepdims=True)
 
 
+def drawn(rows: DataFrame, key: str, text: str, lang: str, fit_rows: int, lang_rows: int = LANG_ROWS) -> tuple[list[str], DataFrame]:
+    """All languages of rows, and of each language all rows or a sample of about max(lang_rows, fit_rows / languages), as lang and text."""
+    sizes = dict(rows.groupBy(lang).count().collect())
+    most = max(lang_rows, fit_rows // max(1, len(sizes)))
+    limits = {x: int(most / n * (1 << 62)) for x, n in sizes.items() if n > most}
+    if limits:
+        below = F.create_map(*[F.lit(v) for pair in limits.items() for v in pair])[F.col(lang)]
+        rows = rows.where(below.isNull() | (F.pmod(F.xxhash64(F.col(key).cast("string"), F.col(text)), F.lit(1 << 62)) < below))
+    return sorted(sizes), rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+
+
 def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", vocabulary: str | None = None, fit_rows: int = FIT_ROWS) -> LanguageModel:
-    """Fit by expectation maximisation over at most about fit_rows labelled rows; each round is one Spark job.
+    """Fit by expectation maximisation over a sample of every language's labelled rows; each round is one Spark job.
 
     Tasks return expected piece counts (vocabulary times languages), which the driver adds up.
     """
@@ -209,9 +222,7 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     share_package(spark)
     pieces = load_pieces(vocabulary or default_vocabulary())
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    share = min(1.0, fit_rows / max(1, rows.count()))
-    picked = rows.where(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 20)) < int(share * (1 << 20)) + (share >= 1)).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    langs = sorted(r[0] for r in picked.select("lang").distinct().collect())
+    langs, picked = drawn(rows, key, text, lang, fit_rows)
     if not langs:
         return LanguageModel(pieces, [], np.zeros((len(pieces) + 2, 0)))
     index = Pieces(pieces)
