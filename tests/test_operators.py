@@ -90,3 +90,10 @@ def test_day_series_cover_every_event(spark, sf_dir):
     for name in ("dense_days_by_user", "trailing_average_by_user"):
         found = catalogue.QUERIES[name](spark, sf_dir)
         assert found.agg(F.count_distinct("user_id"), F.sum("tokens")).first() == (users, tokens)
+
+
+def test_merged_sides_cover_every_event(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id")
+    for name in ("window_union_by_date", "ledger_append_by_date"):
+        found = catalogue.QUERIES[name](spark, sf_dir).select("event_id")
+        assert found.exceptAll(events).count() == events.exceptAll(found).count() == 0

@@ -155,6 +155,10 @@ _events("window_union_replace", lambda e: mg.window_union(_half(e, True).select(
 _events("source_precedence_cutoff", lambda e: mg.precedence_cutoff(e.where("client = 'purchase' and date >= '2024-01-10'").select("event_id", "timestamp_ms"), e.where("client = 'view'").select("event_id", "timestamp_ms")), ", a as (select event_id, timestamp_ms from e where client = 'purchase' and date >= '2024-01-10') select * from a union all select event_id, timestamp_ms from e where client = 'view' and timestamp_ms < (select min(timestamp_ms) - 3600000 from a)")
 _events("ledger_append", lambda e: mg.ledger_append(_half(e, True).select("event_id", "tokens"), _half(e, False).select("event_id", F.lit(-1).cast("long").alias("tokens")), "event_id"), "select event_id, case when event_id % 3 <> 0 then tokens else -1 end as tokens from e where event_id % 3 <> 0 or event_id % 2 = 0")
 
+_side = lambda e, low: e.where("coalesce(date, '') <= '2024-01-20'" if low else "date >= '2024-01-10'")
+_events("window_union_by_date", lambda e: mg.window_union(_side(e, True).select("event_id", "tokens"), _side(e, False).select("event_id", (F.col("tokens") * 2).alias("tokens")), "event_id", ["tokens"]), "select event_id, case when date >= '2024-01-10' then tokens * 2 else tokens end as tokens from e")
+_events("ledger_append_by_date", lambda e: mg.ledger_append(_side(e, True).select("event_id", "tokens"), _side(e, False).select("event_id", F.lit(-1).cast("long").alias("tokens")), "event_id"), "select event_id, case when coalesce(date, '') <= '2024-01-20' then tokens else -1 end as tokens from e")
+
 
 def _stored(d: DataFrame) -> DataFrame:
     return d.groupBy("user_id", "date", "client").agg(F.sum("tokens").alias("tokens")).withColumn("revision", F.col("user_id") % 3)
