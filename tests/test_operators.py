@@ -97,3 +97,12 @@ def test_merged_sides_cover_every_event(spark, sf_dir):
     for name in ("window_union_by_date", "ledger_append_by_date"):
         found = catalogue.QUERIES[name](spark, sf_dir).select("event_id")
         assert found.exceptAll(events).count() == events.exceptAll(found).count() == 0
+
+
+def test_top_with_other_sorts_no_more_than_the_top(spark):
+    frame = spark.createDataFrame([(None, 9), (1, 5), (1, 2), (2, 6), (3, 1), (4, 1)], "k int, tokens long")
+    for most, wanted in ((2, {(None, 9), ("other", 15)}), (3, {(None, 9), ("1", 7), ("other", 8)}), (5, {(None, 9), ("1", 7), ("2", 6), ("3", 1), ("4", 1)})):
+        found = series.top_with_other(frame, "k", most)
+        assert {tuple(r) for r in found.collect()} == wanted
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Window") < plan.index("GlobalLimit")

@@ -22,9 +22,11 @@ def trailing_average(days: DataFrame, n: int, *keys: str) -> DataFrame:
 def top_with_other(rows: DataFrame, key: str, most: int, value: str = "tokens") -> DataFrame:
     """The most - 1 largest keys, and all others as one, where there are more than most keys."""
     totals = rows.groupBy(key).agg(F.sum(value).alias(value))
-    placed = totals.withColumns({"place": F.row_number().over(Window.orderBy(F.desc(value), key)), "keys": F.count("*").over(Window.partitionBy())})
-    label = F.when((F.col("keys") <= most) | (F.col("place") < most), F.col(key).cast("string")).otherwise("other")
-    return placed.groupBy(label.alias("series")).agg(F.sum(value).alias(value))
+    first = totals.orderBy(F.desc(value), key).limit(most + 1)
+    placed = first.withColumns({"place": F.row_number().over(Window.orderBy(F.desc(value), key)), "keys": F.count("*").over(Window.partitionBy())})
+    named = placed.where((F.col("keys") <= most) | (F.col("place") < most)).select(F.col(key).alias("__key"), F.lit(True).alias("__named"))
+    label = F.when(F.col("__named"), F.col(key).cast("string")).otherwise("other")
+    return totals.join(F.broadcast(named), F.col(key).eqNullSafe(F.col("__key")), "left").groupBy(label.alias("series")).agg(F.sum(value).alias(value))
 
 
 def streaks(days: DataFrame, *keys: str) -> DataFrame:
