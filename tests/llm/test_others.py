@@ -117,23 +117,105 @@ def test_a_large_bucket_of_many_classes_is_searched_whole(spark):
     assert found == classes_by_brute_force(texts) and len(set(found.values())) == 50
 
 
-def test_blocks_find_the_same_pairs(spark):
-    nodes = [(b, bytes([k]), neardup.binned(np.arange(k % 7, 60 + k % 7, dtype=np.uint64))) for b in (1, 2) for k in range(40)]
-    buckets = spark.createDataFrame([n[:2] for n in nodes], "bucket long, node binary")
-    heads = spark.createDataFrame([n[1:] for n in nodes[:40]], "node binary, least binary")
-    roots = spark.createDataFrame([(bytes([k]), b"\0") for k in range(12)], "node binary, root binary")
-    whole, parts = (sorted(map(tuple, neardup._across(buckets, roots, heads, 0.8, False, block).collect())) for block in (4096, 8))
-    wanted = [(bytes([i]), bytes([j])) for i in range(40) for j in range(i + 1, 40) if j >= 12]
-    assert whole == parts == wanted
-
-
-def test_likely_keeps_every_similar_pair():
+def test_blocks_join_the_same_classes(spark):
+    pick = np.random.default_rng(5)
+    base = [[f"w{f}x{k}" for k in range(60)] for f in range(4)]
+    texts = {}
+    for k in range(40):
+        words = list(base[k % 4])
+        for at in pick.choice(60, 6, replace=False):
+            words[at] = f"e{k}x{at}"
+        texts[bytes([k])] = " ".join(words)
+    words = {k: neardup.word_hashes(t) for k, t in texts.items()}
+    buckets = spark.createDataFrame([(b, k) for b in (1, 2) for k in texts], "bucket long, node binary")
+    heads = spark.createDataFrame([(k, neardup.binned(neardup.grams_of(w))) for k, w in words.items()], "node binary, least binary")
+    roots = spark.createDataFrame([(bytes([k]), bytes([k % 4])) for k in range(12)], "node binary, root binary")
+    held = spark.createDataFrame(list(texts.items()), "node binary, text string")
+    start = {k: bytes([k[0] % 4]) if k[0] < 12 else k for k in texts}
+
+    def classes(links):
+        label = dict(start)
+        for a, b in links:
+            low, old = min(label[a], label[b]), {label[a], label[b]}
+            label = {k: low if v in old else v for k, v in label.items()}
+        return label
+
+    wanted = classes([(a, b) for a in texts for b in texts if a < b and neardup.similar(words[a], words[b])])
+    for block in (512, 8):
+        links = [tuple(r) for r in neardup._across(buckets, roots, heads, held, 0.8, block).collect()]
+        assert all(neardup.similar(words[a], words[b]) for a, b in links) and classes(links) == wanted
+    assert 4 <= len(set(wanted.values())) < 40
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        new = [i + 1]
+        for j, y in enumerate(b):
+            new.append(min(row[j] + (x != y), row[j + 1] + 1, new[-1] + 1))
+        row = new
+    return row[-1]
+
+
+def test_banded_alignment_against_the_whole_table():
+    pick = np.random.default_rng(1)
+    for _ in range(400):
+        a, b = (neardup._mixed(pick.integers(0, 4, pick.integers(0, 16)).astype(np.uint64)) for _ in range(2))
+        true = edits(a, b)
+        for most in (0, 1, 2, 5, 20):
+            assert neardup.within(a, b, most) == (true <= most)
+
+
+def test_bounds_keep_every_similar_pair():
     pick = np.random.default_rng(8)
-    for size in (3, 10, 60, 300, 3000):
-        for _ in range(40):
-            pool = pick.integers(0, 1 << 62, size * 2).astype(np.uint64)
-            common = int(np.ceil(0.8 * size))
-            extra = size - common
-            a, b = pool[: common + extra // 2], np.concatenate([pool[:common], pool[size : size + extra - extra // 2]])
-            (x, m), (y, n) = neardup._unbinned([neardup.binned(a)]), neardup._unbinned([neardup.binned(b)])
+    for size in (1, 2, 3, 10, 60, 300, 3000):
+        for _ in range(30):
+            a = neardup._mixed(pick.integers(0, max(2, size // 2), size).astype(np.uint64))
+            b = list(a)
+            for _ in range(int(0.2 * size)):
+                at = int(pick.integers(0, len(b)))
+                if pick.random() < 0.6:
+                    b[at] = np.uint64(pick.integers(1, 1 << 60))
+                elif pick.random() < 0.5:
+                    del b[at]
+                else:
+                    b.insert(at, np.uint64(pick.integers(1, 1 << 60)))
+            b = np.array(b, np.uint64)
+            if size < 100 and edits(a, b) > 0.2 * max(len(a), len(b)):
+                continue
+            if size >= 100 and not neardup.within(a, b, int(0.2 * max(len(a), len(b)) + 1e-9)):
+                continue
+            assert neardup.similar(a, b)
+            (x, m), (y, n) = (neardup._unbinned([neardup.binned(neardup.grams_of(w))]) for w in (a, b))
             assert neardup.likely(x, y, m, n)[0].all()
+
+
+def test_repeats_leave_first_occurrences_alone():
+    grams = np.arange(20, dtype=np.uint64)
+    assert set(grams) <= set(neardup.labelled(np.concatenate([grams, grams[:3]])))
+
+
+def test_recall_of_near_copies_by_edit_similarity(spark):
+    """Copies with up to a tenth of their words changed: at least nine of ten pairs of all edit-similar ones end in one class."""
+    pick = np.random.default_rng(11)
+    texts = []
+    for family in range(60):
+        words = [f"f{family}x{int(k)}" for k in pick.integers(0, 90, int(pick.integers(40, 300)))]
+        texts.append(words)
+        for _ in range(2):
+            copy = list(words)
+            for at in pick.integers(0, len(copy), int(len(copy) * pick.uniform(0, 0.1))):
+                copy[at] = f"e{int(pick.integers(0, 1 << 30))}"
+            texts.append(copy)
+    rows = [(k, " ".join(t)) + (None,) * 7 for k, t in enumerate(texts)]
+    found = {r["id"]: r["class_id"] for r in neardup.near_duplicates(frame(spark, rows)).collect()}
+    words = [neardup.word_hashes(" ".join(t)) for t in texts]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if neardup.similar(words[i], words[j])]
+    assert len(near) > 100 and sum(found[i] == found[j] for i, j in near) >= 0.9 * len(near)
+
+
+def test_near_duplicates_of_null_ids_repeats_and_nothing(spark):
+    rows = [(None, "one two three four five six"), (None, "one two three four five six"), (7, "one two three four five six"), (7, "quite another text under this id"), (None, None), (None, "alone under no id at all here")]
+    found = neardup.near_duplicates(frame(spark, [r + (None,) * 7 for r in rows])).collect()
+    assert sorted(map(repr, ((r["id"], r["class_id"], r["copies"]) for r in found))) == sorted(map(repr, [(None, 7, 3), (None, 7, 3), (7, 7, 3), (7, 7, 1), (None, None, 1), (None, None, 1)]))
+    assert neardup.near_duplicates(frame(spark, [])).collect() == []

@@ -3,14 +3,16 @@
 1. Texts of equal words are one node (exact copies).
 2. Each node's shingles of SHINGLE words get an occurrence number. For each of SKETCHES hash orders the PICKED
    smallest ones, in the order in which they stand in the text, are a sketch; equal sketches share a bucket.
-3. In a bucket every node is paired with a few centres (smallest, largest, smallest and largest hash).
-4. A pair is a link where the shingle sets' Jaccard similarity reaches SIMILARITY and a banded alignment of the
-   words finds an edit similarity of SIMILARITY or more.
+3. In a bucket every node could be paired with four centres (smallest, largest, smallest and largest hash). Each
+   node takes the CENTRES ones of them with which it shares most buckets.
+4. A pair is a link where a banded alignment of the words finds an edit similarity (one less the edits' share of
+   the longer text's words) of SIMILARITY or more. Before it, a bound that every link meets is asked: the number of
+   common pairs of neighbouring words.
 5. The links' connected components are the classes. Buckets that still hold several classes are compared whole:
-   each node outside a bucket's largest class meets every node of another class in that bucket, block by block,
-   and only pairs whose estimated similarity is high enough leave a block. First each node's best partner of every
-   other class is verified, which joins most classes; then all that remain between different classes are. So no
-   pair that shares a bucket is left out, whatever the bucket's size.
+   each node outside a bucket's largest class meets every node of another class in that bucket, block by block.
+   A block estimates the bound from sketches, takes the likeliest pairs first, aligns each pair whose classes no
+   link of the block has joined so far, and gives only links that join classes, so what leaves it is linear in its
+   nodes. No pair that shares a bucket is left out, whatever the bucket's size.
 
 Defined results: null texts are copies of each other, and so are texts without a word. Texts of fewer than SHINGLE
 words have one shingle. The class id is the smallest id of the class's rows, null where all of them are null; rows
@@ -20,7 +22,7 @@ of one id with different texts are judged apart. Empty tables give empty results
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -32,13 +34,17 @@ from tidemark.session import cut_lineage, share_package
 SHINGLE = 5
 SIMILARITY = 0.8
 SKETCHES = 32
-PICKED = 4
-#: Bins of the sketch that estimates the similarity of two shingle sets.
+PICKED = 3
+#: Words in a gram of the bound: an edit takes at most so many grams from either text.
+GRAM = 2
+#: Bins of the sketch that estimates how many grams two texts share.
 BINS = 256
 #: Standard deviations by which an estimate may fall short.
 SLACK = 4.5
-#: Nodes of a bucket in one block, about.
-BLOCK = 4096
+#: Centres with which each node is compared first.
+CENTRES = 3
+#: Nodes of a bucket, and bytes of their texts, in one side of a block, about.
+BLOCK, BLOCK_BYTES = 512, 4 << 20
 #: Bytes of a set's size behind its bins.
 _COUNT = 4
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -92,10 +98,8 @@ def labelled(grams: np.ndarray) -> np.ndarray:
     first = np.concatenate([[True], ranked[1:] != ranked[:-1]]) if len(ranked) else np.zeros(0, bool)
     starts = np.flatnonzero(first)
     occurrence = np.arange(len(ranked)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(ranked)]])))
-    if not occurrence.any():
-        return grams
     out = np.empty_like(grams)
-    out[order] = _mixed(ranked + occurrence.astype(np.uint64) * _MIX)
+    out[order] = np.where(occurrence > 0, _mixed(ranked + occurrence.astype(np.uint64) * _MIX), ranked)
     return out
 
 
@@ -124,9 +128,14 @@ def sketches(grams: np.ndarray, count: int = SKETCHES, picked: int = PICKED) ->
     return marks
 
 
+def grams_of(words: np.ndarray) -> np.ndarray:
+    """Labelled grams of GRAM words, in order of their hashes: a set in which repeats count."""
+    return np.sort(labelled(shingles(words, GRAM)))
+
+
 def binned(grams: np.ndarray, bins: int = BINS) -> bytes:
-    """One-permutation MinHash of the shingle set: a byte (1 to 255) of the smallest hash in each bin, 0 where the bin is empty; then the set's size."""
-    h = _mixed(np.unique(grams) ^ _MIX)
+    """One-permutation MinHash of a set of grams: a byte (1 to 255) of the smallest hash in each bin, 0 where the bin is empty; then the set's size."""
+    h = _mixed(grams ^ _MIX)
     empty = ~np.uint64(0)
     least = np.full(bins, empty)
     np.minimum.at(least, (h % np.uint64(bins)).astype(np.int64), h // np.uint64(bins))
@@ -139,79 +148,87 @@ def _unbinned(sketches_: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return cells[:, :BINS], np.ascontiguousarray(cells[:, BINS:]).view("<u4").ravel().astype(np.float64)
 
 
+def least_common(m: np.ndarray, n: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """Grams that texts of m and n grams must share if their edit similarity is at least this."""
+    longer = np.maximum(m, n)
+    return np.maximum(longer - GRAM * (1 - similarity) * (longer + GRAM - 1) - 1e-6, 0)
+
+
 def likely(x: np.ndarray, y: np.ndarray, m: np.ndarray, n: np.ndarray, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
-    """Whether bins x and y (last axis) of sets of m and n shingles can be of sets this similar, and the share of bins that agree.
+    """Whether bins x and y (last axis) of texts of m and n grams can be of texts this similar, and the share of bins that agree.
 
-    The used bins are a sample, without replacement, of the union, which has (m + n) / (1 + similarity) shingles at the limit.
+    The used bins are a sample, without replacement, of the union.
     """
     agree = ((x == y) & (x != 0)).sum(axis=-1)
     used = np.maximum(((x | y) != 0).sum(axis=-1), 1)
-    union = np.maximum((m + n) / (1 + similarity), 2)
+    common = least_common(m, n, similarity)
+    union = np.maximum(m + n - common, 2)
+    share = common / union
     left = np.maximum(union - used, 0) / (union - 1)
-    fits = agree >= similarity * used - SLACK * np.sqrt(similarity * (1 - similarity) * used * left) - 1
-    return fits & (np.minimum(m, n) >= similarity * np.maximum(m, n) - 1e-9), agree / used
+    fits = agree >= share * used - SLACK * np.sqrt(share * (1 - share) * used * left) - 1
+    short = GRAM - 1
+    return fits & (np.minimum(m, n) + short >= similarity * (np.maximum(m, n) + short) - 1e-9), agree / used
+
 
+def within(a: np.ndarray, b: np.ndarray, most: int) -> bool:
+    """Whether the edit distance of two word sequences is at most most.
 
-def aligned_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
-    """Edit distance of two word sequences if it is at most most, else most + 1: a band of diagonals, walked by furthest reach."""
-    same = 0
-    short = min(len(a), len(b))
-    diff = np.flatnonzero(a[:short] != b[:short])
-    same = int(diff[0]) if len(diff) else short
+    A banded alignment: only the 2 * most + 1 diagonals that such a distance can use are filled, column by column, the
+    differences of neighbouring cells held as the bits of whole numbers.
+    """
+    if len(a) < len(b):
+        a, b = b, a
+    if len(a) - len(b) > most:
+        return False
+    diff = np.flatnonzero(a[: len(b)] != b)
+    same = int(diff[0]) if len(diff) else len(b)
     a, b = a[same:], b[same:]
-    short = min(len(a), len(b))
-    if short:
-        diff = np.flatnonzero(a[::-1][:short] != b[::-1][:short])
-        cut = int(diff[0]) if len(diff) else short
+    if len(b):
+        diff = np.flatnonzero(a[: -len(b) - 1 : -1] != b[::-1])
+        cut = int(diff[0]) if len(diff) else len(b)
         a, b = a[: len(a) - cut], b[: len(b) - cut]
-    n, m = len(a), len(b)
-    if abs(n - m) > most:
-        return most + 1
-    if not n or not m:
-        return max(n, m)
-    breaks: dict[int, np.ndarray] = {}
-
-    def slide(x: int, d: int) -> int:
-        """First x' >= x with a[x'] != b[x' + d], or the end of the diagonal."""
-        if d not in breaks:
-            low, high = max(0, -d), min(n, m - d)
-            breaks[d] = np.append(low + np.flatnonzero(a[low:high] != b[low + d : high + d]), high) if high > low else np.array([high])
-        stops = breaks[d]
-        at = int(np.searchsorted(stops, x))
-        return int(stops[at]) if at < len(stops) else x
-
-    reach = {0: slide(0, 0)}
-    goal = m - n
-    for edits in range(most + 1):
-        if reach.get(goal, -1) >= n:
-            return edits
-        new: dict[int, int] = {}
-        for d in range(-edits - 1, edits + 2):
-            best = max(reach.get(d, -2) + 1, reach.get(d - 1, -2), reach.get(d + 1, -2) + 1)
-            best = min(best, n, m - d)
-            if best >= max(0, -d):
-                new[d] = slide(best, d)
-        reach = new
-    return most + 1
-
-
-def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY, size: int = SHINGLE) -> bool:
-    """Both similarities of two word sequences reach the limit."""
-    return _alike(a, np.unique(shingles(a, size)), b, np.unique(shingles(b, size)), similarity)
-
-
-def _alike(a: np.ndarray, sa: np.ndarray, b: np.ndarray, sb: np.ndarray, similarity: float) -> bool:
-    """As similar, with the sets of shingles of both."""
+    n, bottom = len(a), len(a) - most
+    if bottom <= 0:
+        return True
+    places: dict[int, int] = {}
+    for k, word in enumerate(a.tolist()):
+        places[word] = places.get(word, 0) | 1 << k
+    full, top = (1 << 2 * most + 1) - 1, 1 << 2 * most
+    up, down = ((1 << most + 1) - 1) << most, 0
+    # the distance at the band's lowest diagonal, then, past the last row, along that row
+    distance = most
+    for k, word in enumerate(b.tolist()):
+        bits = places.get(word, 0)
+        match = (bits >> k - most if k >= most else bits << most - k) & full
+        level = ((match & up) + up ^ up | match | down) & full
+        right, left = (down | ~(level | up)) & full, level & up
+        if k < bottom:
+            distance += not level & top
+            if distance > most + len(b) - bottom:
+                return False
+        else:
+            row = top >> k - bottom + 1
+            distance += bool(right & row) - bool(left & row)
+        up, down = (left | ~(level >> 1 | right)) & full, level >> 1 & right
+    return distance <= most
+
+
+def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
+    """Whether the edit similarity of two word sequences reaches the limit."""
+    return _alike(a, grams_of(a), b, grams_of(b), similarity)
+
+
+def _alike(a: np.ndarray, ga: np.ndarray, b: np.ndarray, gb: np.ndarray, similarity: float) -> bool:
+    """As similar, with the grams of both."""
     longest = max(len(a), len(b))
     if not longest or min(len(a), len(b)) == 0:
         return len(a) == len(b)
-    if min(len(sa), len(sb)) < similarity * max(len(sa), len(sb)) - 1e-9:
+    if min(len(a), len(b)) < similarity * longest - 1e-9:
         return False
-    common = len(np.intersect1d(sa, sb, assume_unique=True))
-    if common < similarity * (len(sa) + len(sb) - common) - 1e-9:
+    if len(np.intersect1d(ga, gb, assume_unique=True)) < least_common(np.float64(len(ga)), np.float64(len(gb)), similarity):
         return False
     most = int((1 - similarity) * longest + 1e-9)
-    return aligned_distance(a, b, most) <= most
+    return within(a, b, most)
 
 
 def _node(text: str | None, words: np.ndarray) -> bytes:
@@ -231,7 +248,7 @@ def _sketched(docs: DataFrame) -> DataFrame:
                 nodes.append(_node(text, own))
                 grams = shingles(own)
                 marks.append((sketches(grams) if len(own) else np.zeros(0, np.uint64)).view(np.int64))
-                least.append(binned(grams))
+                least.append(binned(grams_of(own)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), pa.array(marks, pa.list_(pa.int64())), pa.array(least, pa.binary())], names=["id", "node", "marks", "least"])
 
     return docs.select("id", "text").mapInArrow(run, "id bigint, node binary, marks array<bigint>, least binary")
@@ -254,7 +271,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 
     def read(text: str) -> tuple[np.ndarray, np.ndarray]:
         words = word_hashes(text)
-        return words, np.unique(shingles(words))
+        return words, grams_of(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once = lru_cache(maxsize=16)(read)  # rows of equal b stand together
@@ -267,19 +284,6 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
-def _likely(pairs: DataFrame, heads: DataFrame, similarity: float) -> DataFrame:
-    """Drop pairs whose binned sketches differ too much."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            (x, m), (y, n) = (_unbinned(batch.column(k).to_pylist()) for k in (2, 3))
-            yield batch.select(["a", "b"]).filter(pa.array(likely(x, y, m, n, similarity)[0]))
-
-    left = pairs.join(heads.select(F.col("node").alias("a"), F.col("least").alias("least_a")), "a")
-    both = left.join(heads.select(F.col("node").alias("b"), F.col("least").alias("least_b")), "b")
-    return both.select("a", "b", "least_a", "least_b").mapInArrow(run, "a binary, b binary")
-
-
 def components(links: DataFrame) -> DataFrame:
     """node and root (smallest node of its component) of every node in links(a, b): smallest neighbour, then pointer jumping."""
     both = cut_lineage(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "edges")
@@ -294,28 +298,37 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _centred(buckets: DataFrame) -> DataFrame:
-    """(a, b), a < b: each member of a bucket with its four centres, by node and by a hash. buckets(bucket, node, ...)."""
+def _centred(buckets: DataFrame, most: int = CENTRES) -> DataFrame:
+    """(a, b), a < b: each node with those of its buckets' centres with which it shares most buckets. buckets(bucket, node)."""
     order = F.xxhash64("node")
     stats = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.array(F.min("node"), F.max("node"), F.min_by("node", order), F.max_by("node", order)).alias("centres")).where("n > 1")
-    met = buckets.select("bucket", "node").join(stats, "bucket").select("node", F.explode(F.array_distinct("centres")).alias("c")).where("node <> c")
-    return met.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
+    met = buckets.join(stats, "bucket").select("node", F.explode(F.array_distinct("centres")).alias("c")).where("node <> c")
+    counted = met.groupBy("node", "c").agg(F.count("*").alias("n"))
+    best = counted.groupBy("node").agg(F.expr(f"slice(array_sort(collect_list(struct(-n as n, c))), 1, {most})").alias("best")).select("node", F.explode("best.c").alias("c"))
+    return best.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
 
 
-def _best(rows: np.ndarray, columns: np.ndarray, share: np.ndarray, roots: np.ndarray) -> np.ndarray:
-    """Of the pairs (rows, columns), the place of each row's best one for every class of its columns."""
-    kinds = np.unique(roots, return_inverse=True)[1][columns]
-    order = np.lexsort((columns, -share, kinds, rows))
-    first = np.ones(len(order), bool)
-    first[1:] = (np.diff(rows[order]) != 0) | (np.diff(kinds[order]) != 0)
-    return order[first]
+def _joined(names: np.ndarray, pairs: Iterator[tuple[int, int]], linked: Callable[[int, int], bool]) -> Iterator[tuple[int, int]]:
+    """Of the pairs of places in names, the links that join what no earlier one has joined."""
+    above = {x: x for x in names.tolist()}
 
+    def top(x: int) -> int:
+        while above[x] != x:
+            above[x] = x = above[above[x]]
+        return x
 
-def _across(buckets: DataFrame, roots: DataFrame, heads: DataFrame, similarity: float, best: bool, block: int = BLOCK) -> DataFrame:
-    """(a, b), a < b: likely pairs of different classes that share a bucket; with best, only each node's best one of every class in a block.
+    for i, j in pairs:
+        x, y = top(int(names[i])), top(int(names[j]))
+        if x != y and linked(i, j):
+            above[max(x, y)] = min(x, y)
+            yield i, j
+
+
+def _across(buckets: DataFrame, roots: DataFrame, heads: DataFrame, texts: DataFrame, similarity: float, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(a, b), a < b: links that join all classes which a chain of links within buckets can join.
 
     Nodes outside the largest class of a bucket are asked against all its nodes, in blocks that a hash of the node deals.
-    A pair comes from the smallest bucket that both share: they are of different classes, so it is compared too.
+    A pair is compared in the smallest bucket that both share: they are of different classes, so it is compared too.
     """
 
     def padded(earlier: pa.Array, bucket: int) -> np.ndarray:
@@ -325,32 +338,38 @@ def _across(buckets: DataFrame, roots: DataFrame, heads: DataFrame, similarity:
         cells[np.arange(cells.shape[1])[None, :] < lengths[:, None]] = earlier.flatten().to_numpy()
         return cells
 
-    def compared(bucket: int, nodes: list, found: list, sketch: list, asks: np.ndarray, earlier: np.ndarray) -> tuple[list, list]:
-        asked = np.flatnonzero(~asks)
-        asking = np.flatnonzero(asks)
+    def compared(bucket: int, found: list, sketch: list, asks: np.ndarray, earlier: np.ndarray, text: pa.ChunkedArray) -> Iterator[tuple[int, int]]:
+        asked, asking = np.flatnonzero(~asks), np.flatnonzero(asks)
         kinds = np.unique(np.array(found, object), return_inverse=True)[1]
         cells, sizes = _unbinned(sketch)
-        a, b, step = [], [], max(1, (_CELLS * 16) // (BINS * max(1, len(asked))))
+        rows, columns, shares = [], [], []
+        step = max(1, (_CELLS * 16) // (BINS * max(1, len(asked))))
         for at in range(0, len(asking), step):
             some = asking[at : at + step]
             fits, share = likely(cells[some][:, None, :], cells[asked][None, :, :], sizes[some][:, None], sizes[asked][None, :], similarity)
             x, y = np.nonzero(fits & (kinds[some][:, None] != kinds[asked][None, :]))
             left, right = earlier[some[x]], earlier[asked[y]]
             met = ((left[:, :, None] == right[:, None, :]) & (left != bucket)[:, :, None]).any(axis=(1, 2))
-            x, y = x[~met], y[~met]
-            if best and len(x):
-                kept = _best(x, y, share[x, y], kinds[asked])
-                x, y = x[kept], y[kept]
-            for i, j in zip(some[x], asked[y]):
-                a.append(min(nodes[i], nodes[j]))
-                b.append(max(nodes[i], nodes[j]))
-        return a, b
+            rows.append(some[x[~met]])
+            columns.append(asked[y[~met]])
+            shares.append(share[x[~met], y[~met]])
+        if not rows:
+            return iter(())
+        order = np.argsort(-np.concatenate(shares), kind="stable")
+        likeliest = zip(*(np.concatenate(x)[order].tolist() for x in (rows, columns)))
+
+        @lru_cache(maxsize=None)
+        def read(i: int) -> tuple[np.ndarray, np.ndarray]:
+            words = word_hashes(text[i].as_py())
+            return words, grams_of(words)
+
+        return _joined(kinds, likeliest, lambda i, j: _alike(*read(i), *read(j), similarity))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def done(rows: pa.Table) -> pa.RecordBatch:
-            """Pairs of all groups in rows, which are whole and in order."""
+            """Links of all groups in rows, which are whole and in order."""
             keys = np.stack([rows.column(k).to_numpy() for k in range(3)])
             edges = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1), rows.num_rows]
             nodes, found, sketch = (rows.column(k).to_pylist() for k in (3, 4, 5))
@@ -358,9 +377,9 @@ def _across(buckets: DataFrame, roots: DataFrame, heads: DataFrame, similarity:
             earlier = pa.concat_arrays(rows.column(7).chunks)
             a, b = [], []
             for low, high in zip(edges[:-1], edges[1:]):
-                more = compared(keys[0, low], nodes[low:high], found[low:high], sketch[low:high], asks[low:high], padded(earlier[low:high], keys[0, low]))
-                a += more[0]
-                b += more[1]
+                for i, j in compared(keys[0, low], found[low:high], sketch[low:high], asks[low:high], padded(earlier[low:high], keys[0, low]), rows.column(8)[low:high]):
+                    a.append(min(nodes[low + i], nodes[low + j]))
+                    b.append(max(nodes[low + i], nodes[low + j]))
             return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
         for batch in batches:
@@ -380,39 +399,38 @@ def _across(buckets: DataFrame, roots: DataFrame, heads: DataFrame, similarity:
     rooted = buckets.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     sizes = rooted.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("classes"), F.max_by("root", F.struct("n", "root")).alias("largest"), F.max("n").alias("most")).where("classes > 1")
-    counted = mixed.select("bucket", "largest", F.ceil(F.col("n") / block).alias("n_all"), F.ceil((F.col("n") - F.col("most")) / block).alias("n_asking"))
-    shared = buckets.groupBy("node").agg(F.collect_list("bucket").alias("shared"))
-    drawn = rooted.join(counted, "bucket").join(heads.select("node", "least"), "node").join(shared, "node").withColumn("h", F.xxhash64("node")).withColumn("earlier", F.expr("filter(shared, s -> s < bucket)"))
-    asked = drawn.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_asking") - 1)).alias("i"), F.expr("pmod(h, n_all)").alias("j"), "node", "root", "least", F.lit(False).alias("asks"), "earlier")
-    asking = drawn.where("root <> largest").select("bucket", F.expr("pmod(h, n_asking)").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_all") - 1)).alias("j"), "node", "root", "least", F.lit(True).alias("asks"), "earlier")
+    members = cut_lineage(rooted.join(mixed, "bucket"), "members")
+    shared = members.groupBy("node").agg(F.sort_array(F.collect_list("bucket")).alias("shared"))
+    held = shared.join(heads.select("node", "least"), "node").join(texts, "node")
+    drawn = cut_lineage(members.join(held, "node").withColumn("h", F.xxhash64("node")).withColumn("size", F.octet_length("text")), "drawn")
+    bytes_ = drawn.groupBy("bucket").agg(F.sum("size").alias("bytes"), F.sum(F.when(F.col("root") != F.col("largest"), F.col("size"))).alias("bytes_asking"))
+    parts = lambda n, size: F.greatest(F.ceil(n / block), F.ceil(F.col(size) / block_bytes))
+    cut = drawn.join(bytes_, "bucket").withColumn("n_all", parts(F.col("n"), "bytes")).withColumn("n_asking", parts(F.col("n") - F.col("most"), "bytes_asking")).withColumn("earlier", F.expr("filter(shared, s -> s < bucket)"))
+    asked = cut.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_asking") - 1)).alias("i"), F.expr("pmod(h, n_all)").alias("j"), "node", "root", "least", F.lit(False).alias("asks"), "earlier", "text")
+    asking = cut.where("root <> largest").select("bucket", F.expr("pmod(h, n_asking)").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_all") - 1)).alias("j"), "node", "root", "least", F.lit(True).alias("asks"), "earlier", "text")
     dealt = asked.union(asking).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     return dealt.mapInArrow(run, "a binary, b binary").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """id, class_id, copies (rows of the same words) and links (of the row's text) for each row of docs; key must be an integer."""
+    """id, class_id and copies (rows of the same words) for each row of docs; key must be an integer."""
     share_package(docs.sparkSession)
     source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     rows = cut_lineage(_sketched(source), "sketches")
     exact = rows.groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     heads = cut_lineage(rows.select("node", "marks", "least").dropDuplicates(["node"]).where(F.size("marks") > 0), "heads")
     buckets = heads.select("node", F.explode("marks").alias("bucket"))
-    tested = pairs = cut_lineage(_centred(buckets), "pairs")
     met = cut_lineage(buckets.join(buckets.groupBy("bucket").count().where("count > 1").select("bucket"), "bucket"), "met")
+    pairs = cut_lineage(_centred(met), "pairs")
     wanted = met.select("node").distinct().join(exact.select("node", "rep"), "node").select(F.coalesce("rep", F.lit(_NO_ID)).alias("id"))
     named = source.withColumn("id", F.coalesce("id", F.lit(_NO_ID)))
     texts = cut_lineage(_with_nodes(named.join(wanted.distinct(), "id", "left_semi")).dropDuplicates(["node"]), "texts")
-    links = cut_lineage(_verified(_likely(pairs, heads, similarity), texts, similarity), "links")
-    roots = components(links)
-    for best in (True, False):
-        pairs = cut_lineage(_across(met, roots, heads, similarity, best).join(tested, ["a", "b"], "left_anti"), "pairs")
-        more = cut_lineage(_verified(pairs, texts, similarity), "links")
-        tested, links = tested.union(pairs), links.union(more)
-        roots = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-    classes = exact.join(roots, "node", "left").join(degree, "node", "left").select("node", "rep", "copies", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
-    named = classes.join(classes.groupBy("root").agg(F.min("rep").alias("class_id")), "root").select("node", "class_id", "copies", "links")
-    return rows.select("id", "node").join(named, "node").select("id", "class_id", "copies", "links")
+    links = cut_lineage(_verified(pairs, texts, similarity), "links")
+    more = cut_lineage(_across(met, components(links), heads, texts, similarity), "links")
+    roots = components(links.union(more))
+    classes = exact.join(roots, "node", "left").select("node", "rep", "copies", F.coalesce("root", "node").alias("root"))
+    named = classes.join(classes.groupBy("root").agg(F.min("rep").alias("class_id")), "root").select("node", "class_id", "copies")
+    return rows.select("id", "node").join(named, "node").select("id", "class_id", "copies")
 
 
 #: Stands for a null id while texts are looked up.
