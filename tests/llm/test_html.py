@@ -81,3 +81,34 @@ def test_every_synthetic_page_gives_its_article(spark, sf_dir):
         if inside:
             text = references.unescape(re.sub(r"<[^>]*>", lambda m: "" if m[0] in ("<b>", "</b>") else "\n", inside[1]))
             assert r["text"] == " ".join(text.split()), r["page_id"]
+
+
+def test_ratios_choose_where_no_name_does(monkeypatch):
+    menu = "".join(f"<li><a href=x>word{k}</a></li>" for k in range(12))
+    prose = f"<p>{PROSE}</p>" * 4
+    for body in (f"<div><ul>{menu}</ul><div><h2>Head</h2>{prose}</div><table><tr><td>a</td><td>b</td><td>c</td><td>d</td></tr></table></div>", f"<ul>{menu}</ul><h2>Head</h2>{prose}<ol>{menu}</ol>", f"<div><h2>Head</h2>{prose}<ul>{menu}</ul></div>"):
+        page = f"<body>{body}</body>"
+        assert html.main_text(page) == " ".join(["Head", *[PROSE] * 4])
+        with monkeypatch.context() as patch:
+            patch.setattr(html, "SHARE", 0.0)
+            assert "word" in html.main_text(page)
+    kept = f"<div>{prose}<ul><li>one</li><li>two</li></ul>{prose}</div>"
+    assert html.main_text(kept) == " ".join([*[PROSE] * 4, "one two", *[PROSE] * 4])
+
+
+def test_equal_paths_are_kept_or_left_together():
+    page = f"<div><p>{PROSE}</p></div><div><p>{PROSE}</p></div>"
+    assert html.main_text(page) == f"{PROSE} {PROSE}"
+
+
+def test_long_broken_pages_take_linear_time():
+    import time
+
+    for piece in ("<script ", "<a ", '<p x="', "<div>", "<div></p>", "</div>", "<!--", "<p", '<a ">"', "<x><li>", "<", "&"):
+        for tail in ("", ">", '">"'):
+            began = time.time()
+            html.main_text(piece * ((1 << 20) // len(piece)) + tail)
+            assert time.time() - began < 20, piece
+    began = time.time()
+    html.main_text("<script " * (1 << 17))
+    assert time.time() - began < 2

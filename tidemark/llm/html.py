@@ -2,12 +2,13 @@
 
 1. A page becomes blocks of text; each has the path of its block-level tags from the root.
 2. Text length and punctuation are summed for each path and divided by the number of its blocks. Both ratios are
-   smoothed along the page with a Gaussian and fused (their product). Paths whose mean fused value reaches a share
+   smoothed along the page with a Gaussian and fused (their product). Paths whose mean fused value reaches SHARE
    of the page's length-weighted mean are content paths.
 3. The smallest element that holds the blocks of content paths, widened to the article or main element around it,
-   is the article. All of its blocks stay but for those that tags, roles or class names give as menus, headers,
-   footers, sidebars, notices, adverts, forms or reader comments. Where only the page's body holds them all,
-   just content paths, headings and blocks beside content stay.
+   is the holder. Of its blocks those of content paths stay, so do headings and runs of at most GAP other blocks
+   between two that stay. Where the page names the holder as its article or main element, paths need WEAK of the
+   mean only. Blocks that tags, roles or class names give as menus, headers, footers, sidebars, notices, adverts,
+   forms or reader comments, which can be as long as the article, are left out before.
 4. A class name or id gives nothing away where it says what a wrapper has or lacks (has-sidebar, no-ads), or where
    its element holds the main element, the article, the h1 or most of the content paths' text. Where a name is no
    more than such words (comments), the article or h1 must come with most of that text. Where all blocks would go,
@@ -23,7 +24,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -34,14 +35,15 @@ from tidemark.session import extended, share_package
 
 #: Share of the page's weighted mean that a path's fused ratio must reach.
 SHARE = 0.1
+#: The same inside an article or main element.
+WEAK = 0.01
+#: Other blocks in a row that stay between content.
+GAP = 3
 SIGMA = 1.0
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|iframe|title|textarea|svg|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|</?[a-zA-Z][^>]*>|<[!?/][^>]*>",
-    re.S | re.I,
-)
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_STOP = re.compile("[>\"']")
+# Tags whose content is no markup, or no text of the page.
+_RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in "script style noscript template iframe title textarea svg math".split()}
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?…、。，！？]")
 _WORD = re.compile(r"[a-z0-9]+")
@@ -122,10 +124,53 @@ def _is_aside(tag: str, attrs: str) -> tuple[bool, int]:
     return False, named
 
 
+def markup(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, slash, tag, attributes) of each piece of markup, in time linear in the page; comments have no tag, a raw element is one piece.
+
+    A tag ends at the first > outside quotes. Once a quote is never closed, tags end at the first > from there on.
+    """
+    last, quoted, at = page.rfind(">"), True, 0
+    while (start := page.find("<", at)) >= 0:
+        at = start + 1
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = len(page) if end < 0 else end + 3
+            yield start, at, "", "", ""
+            continue
+        if at > last:
+            return
+        found = _TAG.match(page, start)
+        if not found:
+            if page[at] in "!?/":
+                at = page.index(">", at) + 1
+                yield start, at, "", "", ""
+            continue
+        end = found.end()
+        while quoted:
+            stop = _STOP.search(page, end)
+            if stop and stop[0] == ">":
+                end = stop.start()
+                break
+            closed = page.find(stop[0], stop.end()) if stop else -1
+            if closed < 0:
+                quoted, end = False, found.end()
+            else:
+                end = closed + 1
+        if not quoted:
+            end = page.index(">", end)
+        at = end + 1
+        slash, tag = found[1], found[2].lower()
+        if not slash and tag in _RAW:
+            closing = _RAW[tag].search(page, at)
+            at = closing.end() if closing else len(page)
+        yield start, at, slash, tag, page[found.end() : end]
+
+
 def parse(page: str) -> Page:
     """Blocks in page order, each with the element that holds it."""
     out = Page()
-    root = top = Element("", None, 0, False, 0)
+    top = Element("", None, 0, False, 0)
+    opened: Counter[str] = Counter()
     held: list[str] = []
     at = 0
 
@@ -136,36 +181,37 @@ def parse(page: str) -> Page:
             if text:
                 out.blocks.append(Block(text, top))
 
-    def pop_to(tags: set[str] | frozenset[str], stop: frozenset[str]) -> None:
+    def leave(to: Element) -> None:
         nonlocal top
-        e = top
-        while e.parent is not None and e.tag not in stop:
+        while top is not to:
+            opened[top.tag] -= 1
+            top = top.parent
+
+    def pop_to(tags: set[str] | frozenset[str], stop: frozenset[str]) -> None:
+        e = top if any(opened[t] for t in tags) else None
+        while e is not None and e.parent is not None and e.tag not in stop:
             if e.tag in tags:
-                top = e.parent
+                leave(e.parent)
                 return
             e = e.parent
 
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            held.append(page[at : m.start()])
-        at = m.end()
-        tag = m["tag"]
-        if m["raw"]:
-            if m["raw"].lower() not in ("svg", "math"):
+    for start, end, slash, tag, attrs in markup(page):
+        if start > at:
+            held.append(page[at:start])
+        at = end
+        if not slash and tag in _RAW:
+            if tag not in ("svg", "math"):
                 close()
             continue
-        if not tag:
-            continue
-        tag = tag.lower()
-        if tag in _INLINE:
+        if not tag or tag in _INLINE:
             continue
         close()
-        if m["end"]:
-            e = top
-            while e.parent is not None and e.tag != tag:
-                e = e.parent
-            if e.parent is not None:
-                top = e.parent
+        if slash:
+            if opened[tag]:
+                e = top
+                while e.tag != tag:
+                    e = e.parent
+                leave(e.parent)
             continue
         if tag in _VOID:
             continue
@@ -173,7 +219,6 @@ def parse(page: str) -> Page:
             pop_to({"p"}, frozenset(("div", "article", "section", "td", "th", "li", "body", "main", "form", "blockquote", "aside", "nav", "header", "footer")))
         if tag in _SIBLINGS:
             pop_to(_SIBLINGS[tag], _LISTS)
-        attrs = m["attrs"] or ""
         form = top.form
         if tag in ("article", "main", "h1"):
             f = form
@@ -188,6 +233,7 @@ def parse(page: str) -> Page:
             new.form = new
         if not attrs.rstrip().endswith("/") or tag in _CLOSES_P:
             top = new
+            opened[tag] += 1
     if at < len(page):
         held.append(page[at:])
     close()
@@ -217,8 +263,8 @@ def _smoothed(values: list[float]) -> list[float]:
     return out
 
 
-def content_paths(blocks: list[Block]) -> set[int]:
-    """Paths whose smoothed and fused ratios reach the threshold."""
+def path_ratios(blocks: list[Block]) -> dict[int, float]:
+    """For each path its mean smoothed and fused ratio, as a share of the page's mean."""
     length, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
     for b in blocks:
         p = b.at.path
@@ -233,7 +279,12 @@ def content_paths(blocks: list[Block]) -> set[int]:
         sums[b.at.path] += f
     chars = sum(len(b.text) for b in blocks)
     mean = sum(f * len(b.text) for f, b in zip(fused, blocks)) / chars
-    return {p for p, s in sums.items() if s / count[p] >= SHARE * mean}
+    return {p: s / count[p] / mean for p, s in sums.items()}
+
+
+def content_paths(blocks: list[Block]) -> set[int]:
+    """Paths whose ratio reaches the threshold."""
+    return {p for p, ratio in path_ratios(blocks).items() if ratio >= SHARE}
 
 
 def _held(elements: list[Element], blocks: list[Block]) -> dict[int, int]:
@@ -312,40 +363,37 @@ def main_text(page: str | None) -> str:
     blocks = [b for b in parsed.blocks if not b.at.aside and not _in_form(b.at)]
     if not blocks:
         return ""
-    chosen = content_paths(blocks)
-    holder = None
-    for b in blocks:
-        if b.at.path in chosen:
-            holder = b.at if holder is None else _common(holder, b.at)
+    ratios = path_ratios(blocks)
+    content = [b for b in blocks if ratios[b.at.path] >= SHARE]
+    chars, every = _held(parsed.elements, content), sum(len(b.text) for b in content)
+    # the elements that hold all content stand in each other, the smallest one last
+    holder = next((e for e in reversed(parsed.elements) if chars[id(e)] == every), None)
     e = holder
     while e is not None:
         if e.tag in ("article", "main"):
             holder = e
         e = e.parent
-    if holder.tag in ("p", *_HEADINGS) and holder.parent is not None:
+    if holder is not None and holder.tag in ("p", *_HEADINGS):
         holder = holder.parent
-    if holder.tag in ("", "html", "body"):
-        beside = {id(b.at.parent) for b in blocks if b.at.path in chosen and b.at.parent is not None and b.at.parent.tag not in ("", "html", "body")}
-        kept = [b for b in blocks if b.at.path in chosen or b.at.tag in _HEADINGS or b.at.tag == "p" or id(b.at.parent) in beside]
-    else:
-        kept = [b for b in blocks if _within(b.at, holder)]
-    return " ".join(b.text for b in kept)
-
-
-def _common(a: Element, b: Element) -> Element:
-    while a.depth > b.depth:
-        a = a.parent
-    while b.depth > a.depth:
-        b = b.parent
-    while a is not b:
-        a, b = a.parent, b.parent
-    return a
-
-
-def _within(e: Element, holder: Element) -> bool:
-    while e.depth > holder.depth:
-        e = e.parent
-    return e is holder
+    if holder is not None and holder.parent is not None:
+        inside = _below(parsed.elements, lambda e: e is holder)
+        blocks = [b for b in blocks if id(b.at) in inside]
+    least = WEAK if holder is not None and holder.tag in ("article", "main") else SHARE
+    return " ".join(b.text for b in _chosen(blocks, [ratios[b.at.path] >= least for b in blocks]))
+
+
+def _chosen(blocks: list[Block], good: list[bool]) -> Iterator[Block]:
+    """Good blocks, headings, and runs of at most GAP others between good ones."""
+    waiting: list[Block] = []
+    begun = False
+    for b, fine in zip(blocks, good):
+        if fine:
+            yield from waiting if begun and len(waiting) <= GAP else (w for w in waiting if w.at.tag in _HEADINGS)
+            yield b
+            waiting, begun = [], True
+        else:
+            waiting.append(b)
+    yield from (w for w in waiting if w.at.tag in _HEADINGS)
 
 
 def extract(pages: DataFrame, keep: list[str], markup: str = "html") -> DataFrame:
