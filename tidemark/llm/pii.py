@@ -1,9 +1,14 @@
 """Personal data: fixed base patterns, and more spans from a skip-chain conditional random field.
 
 The field's nodes are the tokens with a digit or an at sign; all other tokens are plainly outside. Neighbouring
-nodes share chain potentials; equal tokens, and tokens of the same shape, share skip potentials with their
-previous occurrence in the document. Loopy message passing gives each node's label probabilities.
-Weights are learned from the base patterns' own labels on a bounded sample of documents.
+nodes share chain potentials. A token of at least DISTINCT characters shares skip potentials with its previous
+occurrence in the document, or else with the last token of its shape. Labels of base spans are known; loopy message
+passing gives the label probabilities of all other nodes, so a token that a base pattern finds in one place can be
+found in others where the pattern does not fit.
+
+Weights are learned from the base patterns' labels on a bounded sample of documents, by maximum pseudo-likelihood:
+each node's label given its features and its neighbours' labels, and once more with its features held back, so that
+the potentials must tell the label alone.
 
 Defined results: a null or empty text has no spans. Spans are in code points, end exclusive; base spans always
 stay, and an added span never overlaps a base one. Without any base span to learn from, nothing is added.
@@ -27,9 +32,15 @@ KINDS = ["email", "ip", "card", "phone"]
 LABELS = ["O", *KINDS]
 #: Documents that the fit may use at most, about.
 FIT_ROWS = 20_000
+#: Characters that a token with skip potentials has at least; shorter ones repeat by chance.
+DISTINCT = 5
+#: Digits that an added run of tokens of a kind may have.
+MOST_DIGITS = {"card": 19, "phone": 15}
 #: An added token's probability must reach this.
 CERTAIN = 0.9
 PASSES = 10
+#: Weight of a node whose features are held back, rounds of the fit, and the decay of weights.
+HELD_BACK, ROUNDS, DECAY = 1.0, 1_500, 1e-5
 _ANY = re.compile("[0-9@]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _NOT_LOCAL = re.compile(r"[^A-Za-z0-9._%+-]")
@@ -146,6 +157,8 @@ def chain_of(text: str) -> Chain:
             chain.edges.append((node - 1, node, 0))
         previous = k
         key = token.lower()
+        if len(key) < DISTINCT:
+            continue
         if key in equal:
             chain.edges.append((equal[key], node, 1))
         elif (form := shape(key)) in alike:
@@ -173,9 +186,12 @@ class SkipChainField:
     def scores(self, names: tuple[str, ...]) -> np.ndarray:
         return np.sum([self.weights.get(f, _NONE) for f in ("bias", *names)], axis=0)
 
-    def marginals(self, chain: Chain) -> np.ndarray:
-        """Label probabilities of each node by loopy message passing, damped, PASSES times over all edges."""
+    def marginals(self, chain: Chain, known: list[int] | None = None) -> np.ndarray:
+        """Label probabilities of each node by loopy message passing, damped, PASSES times over all edges; labels known but 0 are given."""
         node = np.array([self.scores(f) for f in chain.features])
+        for i, label in enumerate(known or ()):
+            if label:
+                node[i] = np.where(np.arange(len(LABELS)) == label, 0.0, -50.0)
         if not chain.edges:
             return _softmax(node)
         left, right, kind = (np.array(x) for x in zip(*chain.edges))
@@ -195,19 +211,19 @@ class SkipChainField:
         return _softmax(node)
 
     def added_spans(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """Runs of neighbouring nodes of one certain label that touch no base span."""
+        """Runs of neighbouring nodes of one certain label that touch no base span; a run ends where it would have too many digits, and no two mails or addresses are one."""
         chain = chain_of(text)
         if not chain.starts:
             return []
         taken, free = silver(chain, base), []
-        prob = self.marginals(chain)
+        prob = self.marginals(chain, taken)
         label, sure = prob.argmax(axis=1), prob.max(axis=1)
         near = {b for a, b, kind in chain.edges if kind == 0}
         for i in range(len(taken)):
             if taken[i] or not label[i] or sure[i] < CERTAIN:
                 continue
             kind = int(label[i]) - 1
-            if free and free[-1][2] == kind and i in near and free[-1][3] == i - 1:
+            if free and free[-1][2] == kind and i in near and free[-1][3] == i - 1 and len(_DIGITS.findall(text[free[-1][0] : chain.ends[i]])) <= MOST_DIGITS.get(KINDS[kind], 0):
                 free[-1] = (free[-1][0], chain.ends[i], kind, i)
             else:
                 free.append((chain.starts[i], chain.ends[i], kind, i))
@@ -222,15 +238,29 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+#: What a node's neighbours are to it, each with the kind of edge and whether the node is the edge's right end.
+_SIDES = {"before": (0, True), "after": (0, False), "equal_before": (1, True), "equal_after": (1, False), "alike_before": (2, True), "alike_after": (2, False)}
+
+
+def contexts(chain: Chain, labels: list[int]) -> list[tuple[str, ...]]:
+    """For each node its neighbours' labels, by what they are to it."""
+    found: list[list[str]] = [[] for _ in labels]
+    names = {v: k for k, v in _SIDES.items()}
+    for a, b, kind in chain.edges:
+        found[b].append(f"{names[kind, True]}={labels[a]}")
+        found[a].append(f"{names[kind, False]}={labels[b]}")
+    return [tuple(sorted(x)) for x in found]
+
+
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", fit_rows: int = FIT_ROWS) -> SkipChainField:
-    """Piecewise fit: node weights by multinomial logistic regression, edge potentials from pair counts.
+    """Maximum pseudo-likelihood. Tasks return counts of (features, neighbours' labels, label), whose number does not grow with the rows.
 
-    Tasks return counts of (features, label) and (edge kind, label, label), whose number does not grow with the rows.
+    Rows are drawn by a hash of key, text and place, so that neither one key nor one text is drawn as a whole.
     """
     share_package(docs.sparkSession)
-    rows = docs.where(F.col(text).rlike("[0-9@]"))
     share = min(1.0, fit_rows / max(1, docs.where(F.col(text).isNotNull()).count()))
-    picked = rows.where(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 20)) < int(share * (1 << 20)) + (share >= 1)).select(F.col(text).alias("text"))
+    placed = docs.select(F.col(text).alias("text"), F.xxhash64(F.col(key).cast("string"), F.col(text), F.monotonically_increasing_id()).alias("h"))
+    picked = placed.where(F.col("text").rlike("[0-9@]") & (F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20)) + (share >= 1))).select("text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -238,36 +268,35 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", fit_rows: int
             for value in batch.column(0).to_pylist():
                 chain = chain_of(value)
                 labels = silver(chain, base_spans(value))
-                counts.update(("node", " ".join(f), y, 0) for f, y in zip(chain.features, labels))
-                counts.update(("edge", str(kind), labels[a], labels[b]) for a, b, kind in chain.edges)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array([k[2] for k in counts], pa.int32()), pa.array([k[3] for k in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["what", "key", "y", "z", "n"])
+                counts.update((" ".join(f), " ".join(c), y) for f, c, y in zip(chain.features, contexts(chain, labels), labels))
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array([k[2] for k in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["features", "context", "y", "n"])
 
-    found = sorted(tuple(r) for r in picked.mapInArrow(count, "what string, key string, y int, z int, n bigint").groupBy("what", "key", "y", "z").agg(F.sum("n")).collect())
-    nodes = [(k.split(), y, n) for what, k, y, _, n in found if what == "node"]
-    names = ["bias", *sorted({f for fs, _, _ in nodes for f in fs})]
+    found = sorted(tuple(r) for r in picked.mapInArrow(count, "features string, context string, y int, n bigint").groupBy("features", "context", "y").agg(F.sum("n")).collect())
+    rows = [(["bias", *f.split(), *c.split()], y, float(n)) for f, c, y, n in found] + [(["bias", *c.split()], y, HELD_BACK * n) for f, c, y, n in found if c]
+    names = ["bias", *sorted({f for fs, _, _ in rows for f in fs} - {"bias"})]
     place = {f: i for i, f in enumerate(names)}
-    x = np.zeros((len(nodes), len(names)))
-    for i, (fs, _, _) in enumerate(nodes):
-        x[i, [0, *(place[f] for f in fs)]] = 1
-    y = np.array([y for _, y, _ in nodes], dtype=int)
-    n = np.array([n for _, _, n in nodes], dtype=float)
+    x = np.zeros((len(rows), len(names)))
+    for i, (fs, _, _) in enumerate(rows):
+        for f in fs:
+            x[i, place[f]] += 1
     w = np.zeros((len(names), len(LABELS)))
     w[0, 0] = 4.0  # outside unless the features say otherwise
-    if len(nodes):
-        share_of = n / n.sum()
-        for _ in range(400):
+    if rows:
+        y, n = np.array([y for _, y, _ in rows]), np.array([n for _, _, n in rows])
+        # rare labels weigh more than their number, so that they count
+        n = n / np.sqrt(np.bincount(y, n, len(LABELS))[y])
+        n /= n.sum()
+        for _ in range(ROUNDS):
             wrong = _softmax(x @ w)
             wrong[np.arange(len(y)), y] -= 1
-            w -= 2.0 * (x.T @ (wrong * share_of[:, None]) + 1e-5 * w)
+            w -= x.T @ (wrong * n[:, None]) + DECAY * w
     pair = np.zeros((3, len(LABELS), len(LABELS)))
-    for kind in range(3):
-        seen = np.full((len(LABELS), len(LABELS)), 0.5)
-        for what, k, a, b, m in found:
-            if what == "edge" and k == str(kind):
-                seen[a, b] += m
-        # how much more often two labels meet than chance would have it
-        pair[kind] = np.clip(np.log(seen * seen.sum() / (seen.sum(axis=1, keepdims=True) * seen.sum(axis=0, keepdims=True))), -1, 1)
-    return SkipChainField({f: w[i].tolist() for f, i in place.items()}, pair)
+    for side, (kind, is_right) in _SIDES.items():
+        for label in range(len(LABELS)):
+            told = w[place[f"{side}={label}"]] if f"{side}={label}" in place else _NONE
+            # a potential is the mean of what both ends learned
+            pair[kind, *((label, slice(None)) if is_right else (slice(None), label))] += (told - told.mean()) / 2
+    return SkipChainField({f: w[i].tolist() for f, i in place.items() if "=" not in f}, pair)
 
 
 def find_spans(docs: DataFrame, model: SkipChainField, keep: list[str], text: str = "text") -> DataFrame:
