@@ -5,7 +5,8 @@ sum over all ways to cut it into pieces (the forward algorithm); a text's is the
 
 Defined results: a null text, or one without a letter, gives ``und`` with score 0. Equal scores go to the
 language that sorts first. Empty tables give empty results; without any labelled row every text is ``und``.
-Runs of more than MAX_RUN letters are cut every MAX_RUN letters before they are scored.
+A run of letters is one word, however long: all its segmentations are summed. Only the fit cuts runs, every
+FIT_RUN letters.
 """
 
 from __future__ import annotations
@@ -20,16 +21,19 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.session import extended, share_package
 
-#: Labelled rows that the fit uses, about (a bounded sample, chosen by a hash of the row's key and text), dealt evenly to the languages.
+#: Labelled rows that the fit uses, about (a bounded sample, chosen by a hash of the row's key, text and place), dealt evenly to the languages.
 FIT_ROWS = 4_000
 #: Rows of each language that may be drawn in any case, however many languages there are; of a smaller language all are.
 LANG_ROWS = 500
 EM_ROUNDS = 3
-MAX_RUN = 40
-MAX_PIECE = 12
+#: Letters of a run that the fit takes as one word; longer runs are cut there, by the fit alone.
+FIT_RUN = 40
 SMOOTHING = 0.05
 CACHE_WORDS = 300_000
-CHUNK = 8_192
+#: Cells (words times letters) of one lattice, and words in it at most.
+CELLS, CHUNK = 1 << 19, 8_192
+#: A forward sum below the first is multiplied by the second, and the word's count of such steps goes up.
+_SMALL, _LIFT = 1e-140, 1e140
 UNDETERMINED = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -49,19 +53,31 @@ def load_pieces(path: str) -> list[str]:
     found = set()
     for i in range(model.get_piece_size()):
         piece = model.id_to_piece(i).replace("▁", "_").lower()
-        if 0 < len(piece) <= MAX_PIECE and (piece == "_" or _LETTERS.fullmatch(piece.removeprefix("_"))):
+        if piece and (piece == "_" or _LETTERS.fullmatch(piece.removeprefix("_"))):
             found.add(piece)
     return sorted(found)
 
 
-def words_of(text: str) -> list[str]:
-    """Letter runs in lower case; over-long runs in parts."""
+def words_of(text: str, most: int | None = None) -> list[str]:
+    """Letter runs in lower case; those of more than most letters in parts."""
     words = _LETTERS.findall(text.lower())
-    if any(len(w) > MAX_RUN for w in words):
-        words = [w[i : i + MAX_RUN] for w in words for i in range(0, len(w), MAX_RUN)]
+    if most and any(len(w) > most for w in words):
+        words = [w[i : i + most] for w in words for i in range(0, len(w), most)]
     return words
 
 
+def in_chunks(words: list[str]) -> Iterator[list[str]]:
+    """Words of a lattice's size each time, the shortest first."""
+    chunk: list[str] = []
+    for w in sorted(words, key=len):
+        if chunk and (len(chunk) >= CHUNK or (len(w) + 1) * (len(chunk) + 1) > CELLS):
+            yield chunk
+            chunk = []
+        chunk.append(w)
+    if chunk:
+        yield chunk
+
+
 class Pieces:
     """Piece ids by a hash of their characters; the last two ids stand for no piece and for an unknown character."""
 
@@ -69,6 +85,7 @@ class Pieces:
         keys = np.array([self.hash(p) for p in pieces], dtype=np.uint64)
         order = np.argsort(keys)
         self.keys, self.ids, self.n = keys[order], order.astype(np.int64), len(pieces)
+        self.longest = max(map(len, pieces), default=1)
 
     @staticmethod
     def hash(piece: str) -> int:
@@ -89,28 +106,58 @@ class Pieces:
         order = np.argsort(-lengths, kind="stable")
         chars, lengths = chars[order], lengths[order]
         width = int(lengths[0])
-        reach = [int(np.searchsorted(-lengths, -j, side="right")) for j in range(width + 1)]
+        reach = np.searchsorted(-lengths, -np.arange(width + 1), side="right").tolist()
         edges = {}
-        for i in range(width):
-            h = np.zeros(reach[i + 1], dtype=np.uint64)
-            for size in range(1, min(MAX_PIECE, width - i) + 1):
-                n = reach[i + size]
-                h = h[:n] * _BASE + chars[:n, i + size - 1] + np.uint64(1)
-                ids = self.find(h)
-                if size == 1:
-                    ids = np.where(ids == self.n, self.n + 1, ids)
-                edges[i, size] = ids
+        h = np.zeros((width, len(words)), dtype=np.uint64)
+        for size in range(1, min(self.longest, width) + 1):
+            # row i: the letters from i on
+            h = h[: width - size + 1] * _BASE + chars.T[size - 1 :] + np.uint64(1)
+            ids = self.find(h)
+            if size == 1:
+                ids = np.where(ids == self.n, self.n + 1, ids)
+            for i in np.flatnonzero((ids != self.n).any(axis=1)).tolist():
+                edges[i, size] = ids[i, : reach[i + size]]
         return order, lengths, edges
 
+    def log_likelihood(self, words: list[str], prob: np.ndarray) -> np.ndarray:
+        """log of the summed probability of all segmentations, for each word and language; words of any length."""
+        order, lengths, edges = self.lattice(words)
+        width, n, langs = int(lengths[0]), len(lengths), prob.shape[1]
+        # the last sums only: row j stands at j modulo the ring's size
+        ring = np.zeros((self.longest + 1, n, langs))
+        ring[0] = 1
+        lifts = np.zeros((n, langs))
+        out = np.empty((n, langs))
+        logs = np.log(_LIFT)
+        ends = np.searchsorted(-lengths, -np.arange(width + 2), side="right")  # words that reach a position
+        for j in range(1, width + 1):
+            live = ends[j]
+            row = ring[j % len(ring)]
+            row[:live] = 0
+            for size in range(1, min(self.longest, j) + 1):
+                ids = edges.get((j - size, size))
+                if ids is not None:
+                    row[: len(ids)] += ring[(j - size) % len(ring), : len(ids)] * prob[ids]
+            low = row[:live] < _SMALL
+            if low.any():
+                ring[:, :live][:, low] *= _LIFT
+                lifts[:live][low] += 1
+            done = ends[j + 1]  # words from here to live end at j
+            out[done:live] = np.log(np.maximum(row[done:live], 1e-300)) - lifts[done:live] * logs
+        back = np.empty_like(out)
+        back[order] = out
+        return back
+
     def forward(self, lengths: np.ndarray, edges: dict, prob: np.ndarray) -> np.ndarray:
-        """alpha[position, word, language]: the summed probability of all segmentations up to there."""
+        """alpha[position, word, language]: the summed probability of all segmentations up to there; for words of the fit."""
         width = int(lengths[0])
         alpha = np.zeros((width + 1, len(lengths), prob.shape[1]))
         alpha[0] = 1
         for j in range(1, width + 1):
-            for size in range(1, min(MAX_PIECE, j) + 1):
-                ids = edges[j - size, size]
-                alpha[j, : len(ids)] += alpha[j - size, : len(ids)] * prob[ids]
+            for size in range(1, min(self.longest, j) + 1):
+                ids = edges.get((j - size, size))
+                if ids is not None:
+                    alpha[j, : len(ids)] += alpha[j - size, : len(ids)] * prob[ids]
         return alpha
 
     def backward(self, lengths: np.ndarray, edges: dict, prob: np.ndarray) -> np.ndarray:
@@ -118,9 +165,10 @@ class Pieces:
         beta = np.zeros((width + 1, len(lengths), prob.shape[1]))
         beta[lengths, np.arange(len(lengths))] = 1
         for j in range(width - 1, -1, -1):
-            for size in range(1, min(MAX_PIECE, width - j) + 1):
-                ids = edges[j, size]
-                beta[j, : len(ids)] += beta[j + size, : len(ids)] * prob[ids]
+            for size in range(1, min(self.longest, width - j) + 1):
+                ids = edges.get((j, size))
+                if ids is not None:
+                    beta[j, : len(ids)] += beta[j + size, : len(ids)] * prob[ids]
         return beta
 
 
@@ -140,12 +188,10 @@ class LanguageModel:
         """log P(word) for each word and language."""
         index = self.__dict__.setdefault("_index", None) or Pieces(self.pieces)
         self._index = index
-        out = np.empty((len(words), len(self.langs)))
-        for k in range(0, len(words), CHUNK):
-            order, lengths, edges = index.lattice(words[k : k + CHUNK])
-            alpha = index.forward(lengths, edges, self.prob)
-            out[k + order] = np.log(np.maximum(alpha[lengths, np.arange(len(lengths))], 1e-300))
-        return out
+        found = {}
+        for chunk in in_chunks(words):
+            found.update(zip(chunk, index.log_likelihood(chunk, self.prob)))
+        return np.array([found[w] for w in words]).reshape(len(words), len(self.langs))
 
     def predict(self, texts: Iterable[str | None], cache: dict[str, int], table: list[np.ndarray]) -> Iterator[tuple[str, float]]:
         """(language, posterior) of each text. cache and table keep the scores of words seen before, up to CACHE_WORDS."""
@@ -205,11 +251,12 @@ def _normalised(total: np.ndarray, n: int) -> np.ndarray:
 def drawn(rows: DataFrame, key: str, text: str, lang: str, fit_rows: int, lang_rows: int = LANG_ROWS) -> tuple[list[str], DataFrame]:
     """All languages of rows, and of each language all rows or a sample of about max(lang_rows, fit_rows / languages), as lang and text."""
     sizes = dict(rows.groupBy(lang).count().collect())
+    rows = rows.withColumn("__draw", F.xxhash64(F.col(key).cast("string"), F.col(text), F.monotonically_increasing_id()))
     most = max(lang_rows, fit_rows // max(1, len(sizes)))
     limits = {x: int(most / n * (1 << 62)) for x, n in sizes.items() if n > most}
     if limits:
         below = F.create_map(*[F.lit(v) for pair in limits.items() for v in pair])[F.col(lang)]
-        rows = rows.where(below.isNull() | (F.pmod(F.xxhash64(F.col(key).cast("string"), F.col(text)), F.lit(1 << 62)) < below))
+        rows = rows.where(below.isNull() | (F.pmod("__draw", F.lit(1 << 62)) < below))
     return sorted(sizes), rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
 
@@ -236,7 +283,7 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
             total = np.zeros((index.n + 2, len(known)))
             for batch in batches:
                 for lang_, text_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    counts[lang_].update(words_of(text_))
+                    counts[lang_].update(words_of(text_, FIT_RUN))
                 if sum(map(len, counts.values())) > CACHE_WORDS:
                     total += _expected_counts(counts, known, index, current)
                     counts.clear()
