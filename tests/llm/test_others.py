@@ -4,22 +4,22 @@ import numpy as np
 
 from tests.llm.fixtures import documents, frame
 from tests.oracle import compare
-from tidemark.llm import decontaminate, langid, neardup, packing, pii, queries, tokens
+from tidemark.llm import counting, decontaminate, langid, neardup, packing, pii, queries
 
 
 def library():
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(tokens.vocabulary_path("byte_bpe_50k.json"))
+    return Tokenizer.from_file(counting.vocabulary_path("byte_bpe_50k.json"))
 
 
 def test_token_counts_are_the_library_s(spark):
     rows = documents() + [(300, "a<|endoftext|>b " * 3) + (None,) * 7]
-    found = tokens.count_tokens(frame(spark, rows), ["doc_id"]).collect()
+    found = counting.count_tokens(frame(spark, rows), ["doc_id"]).collect()
     encode = library()
     wanted = [(str(r[0]), len((r[1] or "").encode()), len(encode.encode(r[1] or "", add_special_tokens=False).ids)) for r in rows]
     assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_tokens"]) for r in found) == sorted(wanted)
-    assert tokens.count_tokens(frame(spark, []), ["doc_id"]).collect() == []
+    assert counting.count_tokens(frame(spark, []), ["doc_id"]).collect() == []
 
 
 def test_pieces_fill_sequences_without_gaps(spark):

@@ -5,7 +5,7 @@ single space that follows a non-space and precedes one, where the vocabulary's o
 Parts that the rank file of the same vocabulary is known to treat alike (characters below U+0250, no special
 string, no very long run without a space) go through its faster encoder; all others through tokenizers.
 
-Defined results: a null text counts as empty (0 bytes, 0 tokens). Lone surrogates cannot occur in Spark strings.
+Defined results: a null text counts as empty (0 bytes, no ids). Lone surrogates cannot occur in Spark strings.
 """
 
 from __future__ import annotations

@@ -19,7 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.tokens import encoder_for, vocabulary_path
+from tidemark.llm.counting import encoder_for, vocabulary_path
 from tidemark.session import cut_lineage, extended, share_package
 
 CAPACITY = 2048

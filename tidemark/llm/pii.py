@@ -1,6 +1,6 @@
 """Personal data: fixed base patterns, and more spans from a skip-chain conditional random field.
 
-The field's nodes are the tokens with a digit or an at sign; all other tokens are plainly outside. Neighbouring
+The field's nodes are the words with a digit or an at sign; all other words are plainly outside. Neighbouring
 nodes share chain potentials. A token of at least DISTINCT characters shares skip potentials with its previous
 occurrence in the document, or else with the last token of its shape. Labels of base spans are known; loopy message
 passing gives the label probabilities of all other nodes, so a token that a base pattern finds in one place can be
@@ -34,7 +34,7 @@ LABELS = ["O", *KINDS]
 FIT_ROWS = 20_000
 #: Characters that a token with skip potentials has at least; shorter ones repeat by chance.
 DISTINCT = 5
-#: Digits that an added run of tokens of a kind may have.
+#: Digits that an added run of words of a kind may have.
 MOST_DIGITS = {"card": 19, "phone": 15}
 #: An added token's probability must reach this.
 CERTAIN = 0.9
@@ -99,7 +99,7 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 @dataclass
 class Chain:
-    """Nodes of one document and their edges: (left, right, kind), kind 0 neighbours, 1 equal tokens, 2 tokens of equal shape."""
+    """Nodes of one document and their edges: (left, right, kind), kind 0 neighbours, 1 equal words, 2 words of equal shape."""
 
     starts: list[int]
     ends: list[int]
@@ -108,7 +108,7 @@ class Chain:
 
 
 def shape(token: str) -> str:
-    """Digits as 9, letters as a, repeats of letters once: what makes two tokens similar."""
+    """Digits as 9, letters as a, repeats of letters once: what makes two words similar."""
     return re.sub(r"a+", "a", re.sub(r"[^\W\d_]", "a", _DIGITS.sub("9", token)))
 
 
@@ -140,9 +140,9 @@ def chain_of(text: str) -> Chain:
     chain = Chain([], [], [], [])
     equal: dict[str, int] = {}
     alike: dict[str, int] = {}
-    tokens = [(m.start(), m[0]) for m in _TOKEN.finditer(text)]
+    words = [(m.start(), m[0]) for m in _TOKEN.finditer(text)]
     previous = -2
-    for k, (at, raw) in enumerate(tokens):
+    for k, (at, raw) in enumerate(words):
         if not _ANY.search(raw):
             continue
         token = raw.rstrip(".,;:!?\"'").lstrip("\"'")
@@ -152,7 +152,7 @@ def chain_of(text: str) -> Chain:
         node = len(chain.starts)
         chain.starts.append(at)
         chain.ends.append(at + len(token))
-        chain.features.append(features(token, tokens[k - 1][1] if k else "", tokens[k + 1][1] if k + 1 < len(tokens) else ""))
+        chain.features.append(features(token, words[k - 1][1] if k else "", words[k + 1][1] if k + 1 < len(words) else ""))
         if previous == k - 1:
             chain.edges.append((node - 1, node, 0))
         previous = k

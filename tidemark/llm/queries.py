@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import decontaminate, html, langid, neardup, packing, pii, secrets, suffix, tokens, topk
+from tidemark.llm import counting, decontaminate, html, langid, neardup, packing, pii, secrets, suffix, topk
 from tidemark.session import table
 
 
@@ -55,7 +55,7 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+    return counting.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
