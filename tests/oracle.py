@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -11,7 +12,7 @@ def rows_of(frame):
     frame = frame[sorted(frame.columns)]
 
     def plain(x):
-        if x is None or x != x:
+        if x is None or x is pd.NA or x != x:
             return None
         if hasattr(x, "item"):
             x = x.item()

@@ -1 +1 @@
-"""Functions of the usage-analytics library."""
+"""Column functions of the usage reports: names, numbers and dates."""

@@ -12,7 +12,7 @@ def money(total: Column) -> Column:
 
 
 def measures() -> list[Column]:
-    return [F.sum("tokens").alias("tokens"), money(F.sum("cost")).alias("cost"), F.count("*").alias("messages")]
+    return [F.sum("units").alias("units"), money(F.sum("cost")).alias("cost"), F.count("*").alias("messages")]
 
 
 def saturating_sum(name: str) -> Column:
@@ -21,7 +21,7 @@ def saturating_sum(name: str) -> Column:
 
 
 def rollup(facts: DataFrame, *keys: str) -> DataFrame:
-    """Sums of tokens, cost and messages, and of each token bucket where the facts have them."""
+    """Sums of units, cost and messages, and of each token bucket where the facts have them."""
     own = [F.sum(b).alias(b) for b in BUCKETS if b in facts.columns]
     return facts.groupBy(*keys).agg(*measures(), *own)
 
@@ -32,45 +32,45 @@ def providers_by_day(facts: DataFrame) -> DataFrame:
 
 def nested_days(facts: DataFrame) -> DataFrame:
     """Day rows that hold their client and model subtotals as a sorted array."""
-    inner = rollup(facts.select("date", "client", "model_id", "tokens", "cost"), "date", "client", "model_id")
-    return inner.groupBy("date").agg(F.sum("tokens").alias("tokens"), F.sort_array(F.collect_list(F.struct("client", "model_id", "tokens", "cost", "messages"))).alias("clients"))
+    inner = rollup(facts.select("date", "client", "model_id", "units", "cost"), "date", "client", "model_id")
+    return inner.groupBy("date").agg(F.sum("units").alias("units"), F.sort_array(F.collect_list(F.struct("client", "model_id", "units", "cost", "messages"))).alias("clients"))
 
 
 def sessions(facts: DataFrame) -> DataFrame:
     """Session totals with first and last second and the client, provider and model of the highest cost."""
-    inner = facts.groupBy("session_id", "client", "provider_id", "model_id").agg(F.sum("tokens").alias("tokens"), F.sum("cost").alias("cost"), F.count("*").alias("messages"), F.min("timestamp_ms").alias("lo"), F.max("timestamp_ms").alias("hi"))
+    inner = facts.groupBy("session_id", "client", "provider_id", "model_id").agg(F.sum("units").alias("units"), F.sum("cost").alias("cost"), F.count("*").alias("messages"), F.min("timestamp_ms").alias("lo"), F.max("timestamp_ms").alias("hi"))
     top = F.min_by(F.struct("client", "provider_id", "model_id"), F.struct(-F.col("cost"), "client", "provider_id", "model_id"))
-    out = inner.groupBy("session_id").agg(F.sum("tokens").alias("tokens"), money(F.sum("cost")).alias("cost"), F.sum("messages").alias("messages"), F.floor(F.min("lo") / 1000).alias("first_seen"), F.floor(F.max("hi") / 1000).alias("last_seen"), top.alias("top"))
-    return out.select("session_id", "tokens", "cost", "messages", "first_seen", "last_seen", F.col("top.client").alias("top_client"), F.col("top.provider_id").alias("top_provider"), F.col("top.model_id").alias("top_model"))
+    out = inner.groupBy("session_id").agg(F.sum("units").alias("units"), money(F.sum("cost")).alias("cost"), F.sum("messages").alias("messages"), F.floor(F.min("lo") / 1000).alias("first_seen"), F.floor(F.max("hi") / 1000).alias("last_seen"), top.alias("top"))
+    return out.select("session_id", "units", "cost", "messages", "first_seen", "last_seen", F.col("top.client").alias("top_client"), F.col("top.provider_id").alias("top_provider"), F.col("top.model_id").alias("top_model"))
 
 
 def summary(facts: DataFrame) -> DataFrame:
-    """Totals over all days; the average is over active days (any tokens, cost or messages)."""
-    days = facts.groupBy("date").agg(F.sum("tokens").alias("tokens"), F.sum("cost").alias("cost"), F.count("*").alias("messages"))
-    active = F.sum(F.when((F.col("tokens") > 0) | (F.col("cost") > 0) | (F.col("messages") > 0), 1).otherwise(0))
-    totals = days.agg(saturating_sum("tokens").alias("tokens"), money(F.sum("cost")).alias("cost"), F.count("*").alias("days"), active.alias("active_days"), money(F.max("cost")).alias("max_day_cost"))
+    """Totals over all days; the average is over active days (any units, cost or messages)."""
+    days = facts.groupBy("date").agg(F.sum("units").alias("units"), F.sum("cost").alias("cost"), F.count("*").alias("messages"))
+    active = F.sum(F.when((F.col("units") > 0) | (F.col("cost") > 0) | (F.col("messages") > 0), 1).otherwise(0))
+    totals = days.agg(saturating_sum("units").alias("units"), money(F.sum("cost")).alias("cost"), F.count("*").alias("days"), active.alias("active_days"), money(F.max("cost")).alias("max_day_cost"))
     sets = facts.agg(F.array_join(F.sort_array(F.collect_set("client")), ",").alias("clients"), F.array_join(F.sort_array(F.collect_set("model_id")), ",").alias("models"))
     return totals.join(sets).withColumn("average", F.round(F.col("cost") / F.greatest("active_days", F.lit(1)), 6))
 
 
 def years(facts: DataFrame) -> DataFrame:
     """By year of the date; dates of fewer than four characters are skipped."""
-    return facts.where(F.length("date") >= 4).groupBy(F.substring("date", 1, 4).alias("year")).agg(F.sum("tokens").alias("tokens"), money(F.sum("cost")).alias("cost"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+    return facts.where(F.length("date") >= 4).groupBy(F.substring("date", 1, 4).alias("year")).agg(F.sum("units").alias("units"), money(F.sum("cost")).alias("cost"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
 
 
 def model_report(facts: DataFrame) -> DataFrame:
     """By client, provider and model, with coverage and pace of the timed rows."""
-    timed = F.when(F.col("duration_ms") > 0, F.col("tokens")).otherwise(0)
+    timed = F.when(F.col("duration_ms") > 0, F.col("units")).otherwise(0)
     out = facts.groupBy("client", "provider_id", "model_id").agg(
-        *[F.sum(b).alias(b) for b in BUCKETS], F.count("*").alias("messages"), F.sum("duration_ms").alias("duration_ms"), F.sum(timed).alias("timed_tokens"), F.sum(F.when(F.col("duration_ms") > 0, 1).otherwise(0)).alias("samples"), F.sum("tokens").alias("tokens")
+        *[F.sum(b).alias(b) for b in BUCKETS], F.count("*").alias("messages"), F.sum("duration_ms").alias("duration_ms"), F.sum(timed).alias("timed_units"), F.sum(F.when(F.col("duration_ms") > 0, 1).otherwise(0)).alias("samples"), F.sum("units").alias("units")
     )
-    pace = F.when(F.col("timed_tokens") > 0, F.round(F.col("duration_ms") * 1000 / F.col("timed_tokens"), 6))
-    return out.withColumn("coverage", F.when(F.col("tokens") > 0, F.round(F.col("timed_tokens") / F.col("tokens"), 6))).withColumn("ms_per_1k", pace)
+    pace = F.when(F.col("timed_units") > 0, F.round(F.col("duration_ms") * 1000 / F.col("timed_units"), 6))
+    return out.withColumn("coverage", F.when(F.col("units") > 0, F.round(F.col("timed_units") / F.col("units"), 6))).withColumn("ms_per_1k", pace)
 
 
 def share(facts: DataFrame, key: str) -> DataFrame:
     """Cost of each key and its percentage of all cost."""
-    by = facts.groupBy(key).agg(F.sum("tokens").alias("tokens"), money(F.sum("cost")).alias("cost"))
+    by = facts.groupBy(key).agg(F.sum("units").alias("units"), money(F.sum("cost")).alias("cost"))
     total = F.sum("cost").over(Window.partitionBy())
     return by.withColumn("percent", F.round(F.col("cost") * 100 / total, 6))
 
@@ -86,13 +86,13 @@ def intensity(days: DataFrame, measure: str, inclusive_from_below: bool = False)
 
 
 def weekdays(days: DataFrame) -> DataFrame:
-    """Tokens by weekday (Sunday is 0) over days with tokens."""
-    return days.where("tokens > 0").groupBy((F.dayofweek(F.col("date").cast("date")) - 1).alias("weekday")).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("days"))
+    """Tokens by weekday (Sunday is 0) over days with units."""
+    return days.where("units > 0").groupBy((F.dayofweek(F.col("date").cast("date")) - 1).alias("weekday")).agg(F.sum("units").alias("units"), F.count("*").alias("days"))
 
 
 def devices(rows: DataFrame) -> DataFrame:
-    """Totals of each device and its days with tokens."""
-    return rows.groupBy("device").agg(*measures(), F.count_distinct(F.when(F.col("tokens") > 0, F.col("date"))).alias("active_days"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+    """Totals of each device and its days with units."""
+    return rows.groupBy("device").agg(*measures(), F.count_distinct(F.when(F.col("units") > 0, F.col("date"))).alias("active_days"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
 
 
 def whole_percents(values: DataFrame, key: str, value: str) -> DataFrame:

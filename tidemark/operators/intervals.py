@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tidemark.session import cut_lineage
+
 GAP_MS = 180_000
 DAY_MS = 86_400_000
+#: Time by which intervals of all sessions are dealt: a cell holds few windows once merged, and a bounded number of times.
+CELL_MS = 600_000
 
 
 def spans(facts: DataFrame) -> DataFrame:
     """start and end of each message; rows without a time are left out."""
-    return facts.where("timestamp_ms > 0").select("client", "session_id", F.col("timestamp_ms").alias("start"), (F.col("timestamp_ms") + F.greatest("duration_ms", F.lit(0))).alias("end"), "tokens", "cost", F.lit(1).alias("n"))
+    return facts.where("timestamp_ms > 0").select("client", "session_id", F.col("timestamp_ms").alias("start"), (F.col("timestamp_ms") + F.greatest("duration_ms", F.lit(0))).alias("end"), "units", "cost", F.lit(1).alias("n"))
 
 
 def sessionize(parts: DataFrame, gap_ms: int = GAP_MS, keys: tuple[str, ...] = ("client", "session_id")) -> DataFrame:
@@ -21,33 +25,34 @@ def sessionize(parts: DataFrame, gap_ms: int = GAP_MS, keys: tuple[str, ...] = (
     marked = parts.withColumn("new", F.when(last.isNull() | (F.col("start") > last + gap_ms), 1).otherwise(0))
     # both frames have one order, so the second needs no further shuffle or sort
     blocks = marked.withColumn("block", F.sum("new").over(upto))
-    out = blocks.groupBy(*keys, "block").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("tokens").alias("tokens"), F.sum("cost").cast("double").alias("cost"), F.sum("n").alias("messages"))
+    out = blocks.groupBy(*keys, "block").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("units").alias("units"), F.sum("cost").cast("double").alias("cost"), F.sum("n").alias("messages"))
     return out.withColumn("active_ms", F.col("end") - F.col("start")).drop("block")
 
 
 def merged(intervals: DataFrame, gap_ms: int = GAP_MS) -> DataFrame:
-    """Windows of all sessions together; days are merged apart first, so that no task holds all intervals."""
-    by_day = intervals.withColumn("day", F.floor(F.col("start") / DAY_MS)).withColumns({"tokens": F.lit(0), "cost": F.lit(0), "n": F.lit(1)})
-    local = sessionize(by_day, gap_ms, ("day",)).select("start", "end", F.lit(0).alias("tokens"), F.lit(0).alias("cost"), F.lit(1).alias("n"), F.lit(0).alias("all"))
+    """Windows of all sessions together; cells of time are merged apart first, so that what one task holds grows with the time that they span, not with their number."""
+    by_cell = intervals.withColumn("cell", F.floor(F.col("start") / CELL_MS)).withColumns({"units": F.lit(0), "cost": F.lit(0), "n": F.lit(1)})
+    local = sessionize(by_cell, gap_ms, ("cell",)).select("start", "end", F.lit(0).alias("units"), F.lit(0).alias("cost"), F.lit(1).alias("n"), F.lit(0).alias("all"))
     return sessionize(local, gap_ms, ("all",)).select("start", "end", "active_ms")
 
 
 def max_concurrent(intervals: DataFrame) -> DataFrame:
     """The most intervals at one time; touching ones overlap, and empty ones last a millisecond.
 
-    Running sums are taken within days, on top of the number of intervals open when the day begins.
+    Running sums are taken within cells of time, on top of the number of intervals open when the cell begins.
     """
     ends = F.when(F.col("end") <= F.col("start"), F.col("start") + 1).otherwise(F.col("end"))
     events = intervals.select(F.explode(F.array(F.struct(F.col("start").alias("t"), F.lit(1).alias("delta")), F.struct(ends.alias("t"), F.lit(-1).alias("delta")))).alias("e")).select("e.t", "e.delta")
-    events = events.withColumn("day", F.floor(F.col("t") / DAY_MS)).groupBy("day", "t", "delta").agg(F.sum("delta").alias("change"))
-    days = events.groupBy("day").agg(F.sum("change").alias("net"))
-    opened = days.withColumn("open", F.coalesce(F.sum("net").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("day", "open")
-    running = F.sum("change").over(Window.partitionBy("day").orderBy("t", F.desc("delta")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return events.withColumn("running", running).join(opened, "day").agg(F.coalesce(F.max(F.col("running") + F.col("open")), F.lit(0)).alias("max_concurrent"))
+    events = events.withColumn("cell", F.floor(F.col("t") / CELL_MS)).groupBy("cell", "t", "delta").agg(F.sum("delta").alias("change"))
+    cells = events.groupBy("cell").agg(F.sum("change").alias("net"))
+    opened = cells.withColumn("open", F.coalesce(F.sum("net").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("cell", "open")
+    running = F.sum("change").over(Window.partitionBy("cell").orderBy("t", F.desc("delta")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return events.withColumn("running", running).join(opened, "cell").agg(F.coalesce(F.max(F.col("running") + F.col("open")), F.lit(0)).alias("max_concurrent"))
 
 
 def time_metrics(intervals: DataFrame, gap_ms: int = GAP_MS) -> DataFrame:
     """Total active time, session count, longest continuous window and most concurrent sessions, as one row."""
+    intervals = cut_lineage(intervals, "intervals")
     totals = intervals.agg(F.coalesce(F.sum("active_ms"), F.lit(0)).alias("active_ms"), F.sum(F.when(F.col("messages") > 0, 1).otherwise(0)).alias("sessions"))
     longest = merged(intervals.select("start", "end"), gap_ms).agg(F.coalesce(F.max("active_ms"), F.lit(0)).alias("longest_ms"))
     return totals.join(longest).join(max_concurrent(intervals))

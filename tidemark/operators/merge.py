@@ -43,15 +43,15 @@ def ledger_append(ledger: DataFrame, incoming: DataFrame, key: str) -> DataFrame
 
 
 def guarded_merge(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """Stored day rows against incoming ones, both with tokens and revision.
+    """Stored day rows against incoming ones, both with units and revision.
 
-    Missing rows stay if they have tokens; a lower revision, or the same with fewer tokens, never replaces a row.
+    Missing rows stay if they have units; a lower revision, or the same with fewer units, never replaces a row.
     """
-    s, i = stored.select(*keys, F.col("tokens").alias("s_tokens"), F.col("revision").alias("s_revision")), incoming.select(*keys, F.col("tokens").alias("i_tokens"), F.col("revision").alias("i_revision"))
+    s, i = stored.select(*keys, F.col("units").alias("s_units"), F.col("revision").alias("s_revision")), incoming.select(*keys, F.col("units").alias("i_units"), F.col("revision").alias("i_revision"))
     both = s.join(i, keys, "full")
-    keep = F.col("s_revision").isNotNull() & (F.col("i_revision").isNull() | (F.col("i_revision") < F.col("s_revision")) | ((F.col("i_revision") == F.col("s_revision")) & (F.col("i_tokens") < F.col("s_tokens"))))
-    merged = both.select(*keys, F.when(keep, F.col("s_tokens")).otherwise(F.col("i_tokens")).alias("tokens"), F.when(keep, F.col("s_revision")).otherwise(F.col("i_revision")).alias("revision"), F.col("i_revision").isNull().alias("missing"))
-    return merged.where("not missing or tokens > 0").drop("missing")
+    keep = F.col("s_revision").isNotNull() & (F.col("i_revision").isNull() | (F.col("i_revision") < F.col("s_revision")) | ((F.col("i_revision") == F.col("s_revision")) & (F.col("i_units") < F.col("s_units"))))
+    merged = both.select(*keys, F.when(keep, F.col("s_units")).otherwise(F.col("i_units")).alias("units"), F.when(keep, F.col("s_revision")).otherwise(F.col("i_revision")).alias("revision"), F.col("i_revision").isNull().alias("missing"))
+    return merged.where("not missing or units > 0").drop("missing")
 
 
 def revision_floor(stored: DataFrame, incoming: DataFrame, client: str = "client") -> DataFrame:
@@ -81,10 +81,10 @@ def apportion(rows: DataFrame, key: str, order: str, total: str, weight: str) ->
 
 
 def twins(rows: DataFrame, least: int) -> DataFrame:
-    """Pairs of rows of different devices that agree in user, date, client and tokens, from least tokens on."""
-    large = rows.where(F.col("tokens") >= least)
-    a, b = large.select("user_id", "date", "client", "tokens", F.col("device").alias("device_a")), large.select("user_id", "date", "client", "tokens", F.col("device").alias("device_b"))
-    return a.join(b, ["user_id", "date", "client", "tokens"]).where("device_a < device_b")
+    """Pairs of rows of different devices that agree in user, date, client and units, from least units on."""
+    large = rows.where(F.col("units") >= least)
+    a, b = large.select("user_id", "date", "client", "units", F.col("device").alias("device_a")), large.select("user_id", "date", "client", "units", F.col("device").alias("device_b"))
+    return a.join(b, ["user_id", "date", "client", "units"]).where("device_a < device_b")
 
 
 def monotonic(new: Column, old: Column) -> Column:
@@ -93,3 +93,60 @@ def monotonic(new: Column, old: Column) -> Column:
 
 def content_hash(columns: list[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*sorted(columns))), 256)
+
+
+def complete(rows: DataFrame, key: str, largest: list[str], flags: list[str], firsts: list[str], order: str, reported: str) -> DataFrame:
+    """Reports of one message in several files: largest of each measure, any of each flag, first known of each text, and the cost that the source itself reported before any other."""
+    cost = F.max_by("cost", F.struct((F.col("cost_source") == reported).cast("int"), -F.col(order)))
+    texts = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in firsts]
+    return rows.groupBy(key).agg(*[F.max(c).alias(c) for c in largest], *[F.bool_or(c).alias(c) for c in flags], *texts, cost.alias("cost"))
+
+
+def scoped_key(key: Column, path: Column, local_mark: str = ":tool_result:") -> Column:
+    """A key that holds across files, but for those with the mark of keys that hold in their own file only."""
+    return F.when(F.contains(key, F.lit(local_mark)), F.concat(path, F.lit("#"), key)).otherwise(key)
+
+
+def incoming_fold(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of one client and day as one: sums, the least schema and the largest counts of where they come from."""
+    return rows.groupBy(*keys).agg(F.sum("units").alias("units"), F.sum("cost").cast("double").alias("cost"), F.min("schema").alias("schema"), F.max("n_models").alias("n_models"), F.array_join(F.sort_array(F.collect_set("model_id")), ",").alias("models"))
+
+
+def folded_aliases(rows: DataFrame, aliases: dict[str, str], keys: list[str]) -> DataFrame:
+    """Rows of a client's other names count as its own; sums of each key."""
+    named = rows.replace(aliases, subset=["client"])
+    return named.groupBy(*keys).agg(F.sum("units").alias("units"), F.sum("cost").cast("double").alias("cost"))
+
+
+def reclaimed(rows: DataFrame, device: int, least: int) -> DataFrame:
+    """Rows of other devices that equal one of the device's, from least units on, become the device's: they go, as it has them."""
+    own = rows.where((F.col("device") == device) & (F.col("units") >= least)).select("user_id", "date", "client", "units").distinct()
+    theirs = rows.where((F.col("device") != device) | F.col("device").isNull()).join(own, ["user_id", "date", "client", "units"], "left_anti")
+    return rows.where(F.col("device") == device).unionByName(theirs)
+
+
+def adopted(rows: DataFrame, legacy: int, device: int) -> DataFrame:
+    """A user's rows of the legacy device become the device's where the user has no rows of any other device."""
+    modern = rows.where(F.col("device") != legacy).select("user_id").distinct().withColumn("modern", F.lit(True))
+    take = (F.col("device") == legacy) & F.col("modern").isNull()
+    return rows.join(modern, "user_id", "left").withColumn("device", F.when(take, device).otherwise(F.col("device"))).drop("modern")
+
+
+def unduplicated(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows that share a key: of each client the larger units, then totals, the earliest time and the longest activity."""
+    clients = rows.groupBy(*keys, "client").agg(F.max("units").alias("units"), F.min("timestamp_ms").alias("timestamp_ms"), F.max("active_ms").alias("active_ms"))
+    return clients.groupBy(*keys).agg(F.sum("units").alias("units"), F.count("*").alias("clients"), F.min("timestamp_ms").alias("timestamp_ms"), F.max("active_ms").alias("active_ms"))
+
+
+def upserted(stored: DataFrame, incoming: DataFrame, key: str, texts: list[str], measures: list[str]) -> DataFrame:
+    """All keys of both: a new text stands where it is known, measures of incoming rows replace stored ones."""
+    both = stored.alias("s").join(incoming.alias("i"), F.col(f"s.{key}") == F.col(f"i.{key}"), "full")
+    new = F.col(f"i.{key}").isNotNull()
+    return both.select(F.coalesce(f"i.{key}", f"s.{key}").alias(key), *[F.coalesce(f"i.{c}", f"s.{c}").alias(c) for c in texts], *[F.when(new, F.col(f"i.{c}")).otherwise(F.col(f"s.{c}")).alias(c) for c in measures])
+
+
+def uncovered(snapshots: DataFrame, executions: DataFrame, keys: list[str]) -> DataFrame:
+    """Snapshots that no execution covers by any of the keys; a null key covers nothing."""
+    for key in keys:
+        snapshots = snapshots.join(executions.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
+    return snapshots

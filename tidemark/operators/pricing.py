@@ -1,34 +1,154 @@
-"""Cost of token buckets from rate rows (per token), with tiers for long prompts."""
+"""Cost of usage from a catalogue of rates: which row prices a model, and what its tiers and surcharges come to."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.functions import names
 
-def tiered(tokens: Column, base: Column, above: Column, threshold: int) -> Column:
-    """Tokens beyond the threshold cost the upper rate, where there is one."""
-    over = F.greatest(tokens - threshold, F.lit(0))
-    return (tokens - over) * base + over * F.coalesce(above, base)
+# Thresholds of progressive tiers by kind of use, and of requests that are priced as a whole.
+TIERS = {"input": (128_000, 200_000, 256_000, 272_000), "output": (128_000, 200_000, 256_000, 272_000), "cache_read": (200_000, 272_000), "cache_write": (200_000,)}
+WHOLE_OPENAI, WHOLE_XAI = 272_000, 200_000
+# Labels that name no model, providers that resell others' models, and tier words in brackets.
+ROUTING = ["auto", "agent_review"]
+RESELLERS = ["azure_ai", "bedrock", "openrouter", "together_ai", "fireworks_ai"]
+LEVELS = "low|medium|high|xhigh|minimal|none"
+MOST_SUFFIX, MOST_PREFIX, LEAST_NAME, LEAST_INSIDE = 4, 2, 2, 5
+#: Largest catalogue that is broadcast, in rows; a larger one is joined by shuffle.
+BROADCAST_ROWS = 100_000
 
 
-def whole_request(tokens: Column, prompt: Column, base: Column, above: Column, threshold: int) -> Column:
-    """A prompt beyond the threshold prices all of its request's tokens at the upper rate."""
-    return tokens * F.when((prompt > threshold) & above.isNotNull(), above).otherwise(base)
+def tiered(units: Column, base: Column, above: Column, threshold: int) -> Column:
+    """Units beyond the threshold cost the upper rate, where there is one."""
+    return progressive(units, base, [(threshold, above)])
 
 
-def cache_surcharge(cache_write: Column, one_hour: Column, rate: Column, factor: float = 1.6) -> Column:
-    """Cache writes kept for an hour cost a factor more than the others."""
-    hour = F.least(one_hour, cache_write)
-    return (cache_write - hour) * rate + hour * rate * factor
+def progressive(units: Column, base: Column, tiers: list[tuple[int, Column]]) -> Column:
+    """Each unit at the rate of the highest tier that it lies beyond; absent rates are skipped, negative units cost nothing."""
+    units = F.greatest(units.cast("double"), F.lit(0.0))
+    rate = _rate(base)
+    cost = units * F.coalesce(rate, F.lit(0.0))
+    below = F.coalesce(rate, F.lit(0.0))
+    for threshold, above in tiers:
+        own = _rate(above)
+        cost = cost + F.when(own.isNotNull(), F.greatest(units - threshold, F.lit(0.0)) * (own - below)).otherwise(0.0)
+        below = F.coalesce(own, below)
+    return cost
+
+
+def _rate(rate: Column) -> Column:
+    """A rate that is a finite number from 0 on, else null."""
+    value = rate.cast("double")
+    return F.when((value >= 0) & (value < float("inf")) & ~F.isnan(value), value)
+
+
+def whole_request(units: Column, prompt: Column, base: Column, above: Column, threshold: int, inclusive: bool = False) -> Column:
+    """A prompt beyond the threshold (from it on, where inclusive) prices all of its request's units at the upper rate."""
+    beyond = prompt >= threshold if inclusive else prompt > threshold
+    return units * F.when(beyond & above.isNotNull(), above).otherwise(base)
+
+
+def cache_surcharge(cache_write: Column, one_hour: Column, input_rate: Column, write_rate: Column) -> Column:
+    """What cache writes kept for an hour cost beyond their rate: twice the input rate less that rate, if more."""
+    hour = F.greatest(F.least(one_hour, cache_write), F.lit(0))
+    return F.coalesce(hour * F.greatest(2.0 * _rate(input_rate) - F.coalesce(_rate(write_rate), F.lit(0.0)), F.lit(0.0)), F.lit(0.0))
+
+
+def request_cost(usage: dict[str, Column], rates: dict[str, Column], vendor: Column) -> Column:
+    """Cost of one request. usage: input, output, reasoning (billed as output), cache_read, cache_write; rates: the same with _128 ... _272 for tiers.
+
+    Of OpenAI's models more than 272,000 units of prompt price the whole request at the upper rates, of xAI's 200,000 or more;
+    all others are priced progressively.
+    """
+    kinds = {"input": usage["input"], "output": F.greatest(usage["output"], F.lit(0)) + F.greatest(usage["reasoning"], F.lit(0)), "cache_read": usage["cache_read"], "cache_write": usage["cache_write"]}
+    prompt = sum((F.greatest(usage[k], F.lit(0)) for k in ("cache_read", "cache_write")), F.greatest(usage["input"], F.lit(0)))
+    nothing = F.lit(None).cast("double")
+    get = lambda k, t: rates.get(f"{k}_{t // 1000}", nothing)
+    steps = sum((progressive(n, rates[k], [(t, get(k, t)) for t in TIERS[k]]) for k, n in kinds.items()), F.lit(0.0))
+    flat = lambda t: sum((F.greatest(n.cast("double"), F.lit(0.0)) * F.coalesce(_rate(get(k, t)), _rate(rates[k]), F.lit(0.0)) for k, n in kinds.items()), F.lit(0.0))
+    base = sum((F.greatest(n.cast("double"), F.lit(0.0)) * F.coalesce(_rate(rates[k]), F.lit(0.0)) for k, n in kinds.items()), F.lit(0.0))
+    openai, xai = (vendor == "openai") & _rate(get("input", WHOLE_OPENAI)).isNotNull(), (vendor == "xai") & _rate(get("input", WHOLE_XAI)).isNotNull()
+    return F.when(openai, F.when(prompt > WHOLE_OPENAI, flat(WHOLE_OPENAI)).otherwise(base)).when(xai, F.when(prompt >= WHOLE_XAI, flat(WHOLE_XAI)).otherwise(base)).otherwise(steps)
+
+
+def covers(usage: dict[str, Column], rates: dict[str, Column]) -> Column:
+    """Whether every kind that is used has a base rate, or all rates that are told are zero."""
+    told = F.array(*rates.values())
+    zero = _rate(rates["input"]).isNotNull() & _rate(rates["output"]).isNotNull() & ~F.exists(told, lambda r: r.isNotNull() & (r != 0))
+    each = F.lit(True)
+    for kind, n in usage.items():
+        each = each & ((n <= 0) | _rate(rates["output" if kind == "reasoning" else kind]).isNotNull())
+    return F.coalesce(zero, F.lit(False)) | each
+
+
+def precedence(reported: Column, priced: Column, conflicted: Column) -> Column:
+    """A cost that the source reports stands; rows with conflicting evidence of their model stay without one."""
+    return F.when(reported.isNotNull(), reported).when(conflicted, None).otherwise(priced)
+
+
+def refused(model: Column, provider: Column) -> Column:
+    """Whether no rate may be looked up: routing labels, unknown brackets and providers without prices."""
+    name, by = F.lower(F.trim(model)), F.lower(F.trim(F.coalesce(provider, F.lit(""))))
+    return name.isin(ROUTING) | (by == "unpriced") | F.startswith(by, F.lit("unpriced:")) | (name.rlike(r"\([^()]*\)$") & ~name.rlike(rf"\(({LEVELS})\)$"))
+
+
+def candidates(models: DataFrame) -> DataFrame:
+    """model_id, hint, key and stage of each name under which a distinct model may stand in the catalogue: linear in its parts.
+
+    Stages: 0 as written, 1 canonical, 2 separators alike, 3 without its path, 4 and on without up to four last parts,
+    then without up to two first ones.
+    """
+    ids = models.select("model_id", "hint").distinct().where(~refused(F.col("model_id"), F.col("hint")))
+    name = F.lower(F.trim("model_id"))
+    plain = names.canonical_model(F.col("model_id"))
+    last = F.element_at(F.split(plain, "/"), -1)
+    parts = F.split(last, "-")
+    n = F.size(parts)
+    # the number of parts that may go leaves one at least
+    shorter = F.transform(F.sequence(F.lit(1), F.lit(MOST_SUFFIX)), lambda k: F.struct(F.when(k < n, F.array_join(F.slice(parts, 1, F.greatest(n - k, F.lit(0))), "-")).alias("key"), (k + 3).alias("stage")))
+    later = F.transform(F.sequence(F.lit(1), F.lit(MOST_PREFIX)), lambda k: F.struct(F.when(k < n, F.array_join(F.slice(parts, k + 1, n), "-")).alias("key"), (k + 3 + MOST_SUFFIX).alias("stage")))
+    first = F.array(*[F.struct(k.alias("key"), F.lit(i).alias("stage")) for i, k in enumerate((name, plain, names.alias_key(plain), last))])
+    found = ids.select("model_id", "hint", F.explode(F.concat(first, shorter, later)).alias("c")).select("model_id", "hint", "c.key", "c.stage")
+    found = found.withColumn("key", F.explode(F.array_distinct(F.array("key", names.alias_key(F.col("key"))))))
+    return found.where(F.length("key") >= LEAST_NAME).groupBy("model_id", "hint", "key").agg(F.min("stage").alias("stage"))
 
 
 def look_up(models: DataFrame, rates: DataFrame) -> DataFrame:
-    """The rate row of each distinct model id: by equal id, else by the longest rate key that the id contains.
+    """The catalogue row (key, and all its other columns) of each distinct model_id and hint; models without one are absent.
 
-    rates is a catalogue of some thousand rows (its publisher's size), which Spark broadcasts by its measured size.
+    rates: key, and any columns; a column provider is used where it is there. All candidate names meet the catalogue in
+    one equi-join. Of the rows found the earliest stage counts, then the hinted provider, the vendor of the model's
+    family, no reseller, the longest and the first key.
     """
-    ids = models.select("model_id").distinct()
-    exact = ids.join(rates, ids.model_id == rates.key).select("model_id", "key")
-    rest = ids.join(exact.select("model_id"), "model_id", "left_anti")
-    inside = rest.join(rates.select("key"), F.contains("model_id", "key")).groupBy("model_id").agg(F.max_by("key", F.struct(F.length("key"), "key")).alias("key"))
-    return exact.unionByName(inside).join(rates, "key")
+    wanted = models if "hint" in models.columns else models.withColumn("hint", F.lit(None).cast("string"))
+    catalogue = rates.withColumn("__name", F.lower("key"))
+    paths = catalogue.withColumn("__name", F.explode(F.array_distinct(F.array(F.col("__name"), names.alias_key(F.col("__name")), F.element_at(F.split("__name", "/"), -1)))))
+    if rates.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        paths = F.broadcast(paths)
+    names_ = candidates(wanted)
+    found = names_.withColumnRenamed("key", "__name").join(paths, "__name")
+    by = names.canonical_provider(F.col("provider")) if "provider" in rates.columns else names.canonical_provider(F.when(F.contains("key", F.lit("/")), F.element_at(F.split("key", "/"), 1)))
+    ranked = found.withColumn("__by", by)
+    order = [F.col("stage"), F.coalesce((F.col("__by") == names.canonical_provider(F.col("hint"))).cast("int"), F.lit(0)).desc(), F.coalesce((F.col("__by") == names.inferred_provider(F.col("model_id"))).cast("int"), F.lit(0)).desc(), F.coalesce(F.col("__by").isin(RESELLERS).cast("int"), F.lit(0)), F.length("key").desc(), F.col("key")]
+    first = ranked.withColumn("__place", F.row_number().over(Window.partitionBy("model_id", "hint").orderBy(*order))).where("__place = 1")
+    kept = first.drop("__place", "__by", "__name")
+    return kept if "hint" in models.columns else kept.drop("hint")
+
+
+def evidence(models: DataFrame, rates: DataFrame) -> DataFrame:
+    """Of each distinct model: rows of its earliest stage, whether all have the same input and output rates, and whether the name stood as written."""
+    wanted = models if "hint" in models.columns else models.withColumn("hint", F.lit(None).cast("string"))
+    found = candidates(wanted).join(rates.withColumnRenamed("key", "__key"), F.col("key") == F.lower("__key"))
+    best = found.withColumn("__first", F.min("stage").over(Window.partitionBy("model_id", "hint"))).where("stage = __first")
+    return best.groupBy("model_id").agg(F.count("*").alias("n_candidates"), (F.count_distinct("input", "output") == 1).alias("consensus"), (F.min("stage") == 0).alias("exact"))
+
+
+def borrowed(hinted: DataFrame, canonical: DataFrame, key: str, base: tuple[str, ...], more: tuple[str, ...], tolerance: float = 1e-9) -> DataFrame:
+    """Rates that a row lacks come from the canonical row of its key if all base rates that both have agree."""
+    other = canonical.select(key, *[F.col(c).alias(f"__{c}") for c in (*base, *more)])
+    agree = F.lit(True)
+    for c in base:
+        a, b = F.col(c), F.col(f"__{c}")
+        agree = agree & (a.isNull() | b.isNull() | (F.abs(a - b) <= tolerance * F.greatest(F.abs(a), F.abs(b))))
+    joined = hinted.join(other, key, "left").withColumn("__agree", F.coalesce(agree, F.lit(False)))
+    return joined.select(key, *base, *[F.coalesce(F.col(c), F.when(F.col("__agree"), F.col(f"__{c}"))).alias(c) for c in more])

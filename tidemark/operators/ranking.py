@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-_DIRECTIVE = re.compile(r"\b(client|model):([\w.:\-/]+)", re.I)
+#: The kinds of directives, and marks that end a sentence and not a value.
+KINDS, CLOSING = ("client", "model"), ".,;)"
 
 
 def totals(rows: DataFrame, since: str | None = None, until: str | None = None) -> DataFrame:
@@ -15,31 +14,58 @@ def totals(rows: DataFrame, since: str | None = None, until: str | None = None)
         rows = rows.where(F.col("date") >= since)
     if until:
         rows = rows.where(F.col("date") <= until)
-    return rows.groupBy("user_id").agg(F.sum("tokens").alias("tokens"), F.sum("cost").cast("double").alias("cost"))
+    return rows.groupBy("user_id").agg(F.sum("units").alias("units"), F.sum("cost").cast("double").alias("cost"))
+
+
+#: Ranges of totals by which users are dealt, for each doubling of the total.
+RANGES = 32
+
+
+def _placed(users: DataFrame, order: list[Column], kind: Column) -> DataFrame:
+    """kind (rank or row number) of each row, the largest first value of order first, without one task for all rows.
+
+    Rows are dealt to ranges of the first value, a few thousand at most whatever the rows, so equal ones share a range;
+    a range counts from the number of rows in the higher ranges.
+    """
+    key = order[0].cast("double")
+    ranged = users.withColumn("__range", F.coalesce(F.floor(F.signum(key) * F.log2(F.abs(key) + 1) * RANGES), F.lit(-(1 << 20))))
+    sizes = ranged.groupBy("__range").agg(F.count("*").alias("__n"))
+    higher = Window.orderBy(F.desc("__range")).rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("__range", F.coalesce(F.sum("__n").over(higher), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy("__range").orderBy(order[0].desc(), *order[1:])
+    placed = ranged.withColumn("__at", kind.over(inside)).join(F.broadcast(before), "__range")
+    return placed.withColumn("rank", (F.col("__at") + F.col("__before")).cast("int")).drop("__range", "__at", "__before")
 
 
-def competition_rank(users: DataFrame, by: str = "tokens") -> DataFrame:
-    """Equal totals share a rank, and leave a gap. Ranks need all users in order: one total of each, never their rows."""
-    return users.withColumn("rank", F.rank().over(Window.orderBy(F.desc(by))))
+def competition_rank(users: DataFrame, by: str = "units") -> DataFrame:
+    """Equal totals share a rank, and leave a gap."""
+    return _placed(users, [F.col(by)], F.rank())
 
 
-def ordinal_rank(users: DataFrame, by: str = "tokens", then: str = "cost", name: str = "user_id") -> DataFrame:
-    return users.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(by), F.desc(then), name)))
+def ordinal_rank(users: DataFrame, by: str = "units", then: str = "cost", name: str = "user_id") -> DataFrame:
+    return _placed(users, [F.col(by), F.desc(then), F.col(name)], F.row_number())
 
 
-def rank_of(users: DataFrame, user: Column, by: str = "tokens") -> DataFrame:
-    """The user's total and rank (one more than the number of higher totals); no row for an unknown user."""
+def rank_of(users: DataFrame, user: Column, by: str = "units") -> DataFrame:
+    """The total and rank (one more than the number of higher totals) of the users that the condition names, a few; no row for an unknown one."""
     own = users.where(user).select("user_id", F.col(by).alias("own"))
-    return own.join(users.select(F.col(by).alias("other")), F.col("other") > F.col("own"), "left").groupBy("user_id", "own").agg((F.count("other") + 1).alias("rank")).withColumnRenamed("own", by)
+    higher = users.select(F.col(by).alias("other")).join(F.broadcast(own), F.col("other") > F.col("own")).groupBy("user_id").agg(F.count("*").alias("n"))
+    return own.join(F.broadcast(higher), "user_id", "left").select("user_id", F.col("own").alias(by), (F.coalesce("n", F.lit(0)) + 1).alias("rank"))
 
 
 def directives(search: str) -> tuple[dict[str, list[str]], str]:
-    """client: and model: parts of a search, in lower case, and the free text that is left."""
+    """kind:value words of a search, in lower case, and the free text that is left."""
     found: dict[str, list[str]] = {}
-    for kind, value in _DIRECTIVE.findall(search):
-        if value := value.lower().rstrip(".,;)"):
-            found.setdefault(kind.lower(), []).append(value)
-    return found, " ".join(_DIRECTIVE.sub(" ", search).split())
+    rest = []
+    for word in search.split():
+        kind, colon, value = word.partition(":")
+        kind = kind.lstrip("(\"'").lower()
+        if colon and kind in KINDS and value:
+            if value := value.lower().rstrip(CLOSING):
+                found.setdefault(kind, []).append(value)
+        else:
+            rest.append(word)
+    return found, " ".join(rest)
 
 
 def matching_rows(rows: DataFrame, wanted: dict[str, list[str]]) -> DataFrame:
@@ -55,8 +81,7 @@ def matching_rows(rows: DataFrame, wanted: dict[str, list[str]]) -> DataFrame:
 
 def users_with(rows: DataFrame, column: str, text: str) -> DataFrame:
     """Users of whom any value of the column contains the text."""
-    sets = rows.groupBy("user_id").agg(F.collect_set(column).alias("values"))
-    return sets.where(F.exists("values", lambda x: F.contains(F.lower(x), F.lit(text.lower())))).select("user_id")
+    return rows.where(F.contains(F.lower(column), F.lit(text.lower()))).select("user_id").distinct()
 
 
 def page(ranked: DataFrame, number: int, size: int = 50) -> DataFrame:

@@ -6,20 +6,20 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 
 def dense(days: DataFrame, *keys: str) -> DataFrame:
-    """Every day from the first to the last for each key, zero where there is no row. days has keys, date and tokens."""
+    """Every day from the first to the last for each key, zero where there is no row. days has keys, date and units."""
     bounds = days.agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
     calendar = bounds.select(F.explode(F.sequence(F.col("lo").cast("date"), F.col("hi").cast("date"))).alias("d")).select(F.date_format("d", "yyyy-MM-dd").alias("date"))
     grid = days.select(*keys).distinct().join(F.broadcast(calendar)) if keys else calendar
-    return grid.join(days, [*keys, "date"], "left").select(*keys, "date", F.coalesce("tokens", F.lit(0)).alias("tokens"))
+    return grid.join(days, [*keys, "date"], "left").select(*keys, "date", F.coalesce("units", F.lit(0)).alias("units"))
 
 
 def trailing_average(days: DataFrame, n: int, *keys: str) -> DataFrame:
     """Mean of the last n days, or of as many as there are so far."""
     frame = Window.partitionBy(*keys).orderBy("date").rowsBetween(1 - n, Window.currentRow)
-    return days.withColumn("average", F.round(F.avg(F.greatest("tokens", F.lit(0))).over(frame), 6))
+    return days.withColumn("average", F.round(F.avg(F.greatest("units", F.lit(0))).over(frame), 6))
 
 
-def top_with_other(rows: DataFrame, key: str, most: int, value: str = "tokens") -> DataFrame:
+def top_with_other(rows: DataFrame, key: str, most: int, value: str = "units") -> DataFrame:
     """The most - 1 largest keys, and all others as one, where there are more than most keys."""
     totals = rows.groupBy(key).agg(F.sum(value).alias(value))
     first = totals.orderBy(F.desc(value), key).limit(most + 1)

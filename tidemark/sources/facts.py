@@ -28,11 +28,11 @@ def event_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         (k % 5).alias("reasoning"),
         F.col("value").cast("decimal(18,4)").alias("cost"),
         (k * 1000).alias("duration_ms"),
-    ).withColumn("tokens", sum((F.col(b) for b in BUCKETS[1:]), F.col(BUCKETS[0])))
+    ).withColumn("units", sum((F.col(b) for b in BUCKETS[1:]), F.col(BUCKETS[0])))
 
 
 def warehouse_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem and orders as stored day rows: (user, device, date, client) with tokens and cost."""
+    """lineitem and orders as stored day rows: (user, device, date, client) with units and cost."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice", "l_discount", "l_shipdate")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
@@ -41,6 +41,6 @@ def warehouse_days(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_format("l_shipdate", "yyyy-MM-dd").alias("date"),
         F.col("l_returnflag").alias("client"),
         F.col("l_linestatus").alias("model_id"),
-        F.col("l_quantity").cast("long").alias("tokens"),
+        F.col("l_quantity").cast("long").alias("units"),
         (F.col("l_extendedprice").cast("decimal(18,4)") * (1 - F.col("l_discount").cast("decimal(5,2)"))).cast("decimal(18,4)").alias("cost"),
     )

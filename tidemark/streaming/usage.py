@@ -1,4 +1,4 @@
-"""The day and session reports over a stream of messages (timestamp ts, client, tokens, cost)."""
+"""The day and session reports over a stream of messages (timestamp ts, client, units, cost)."""
 
 from __future__ import annotations
 
@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def streaming_days(messages: DataFrame, lateness: str = "1 day") -> DataFrame:
-    return messages.withWatermark("ts", lateness).groupBy(F.window("ts", "1 day"), "client").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("messages")).select(F.date_format("window.start", "yyyy-MM-dd").alias("date"), "client", "tokens", "messages")
+    return messages.withWatermark("ts", lateness).groupBy(F.window("ts", "1 day"), "client").agg(F.sum("units").alias("units"), F.count("*").alias("messages")).select(F.date_format("window.start", "yyyy-MM-dd").alias("date"), "client", "units", "messages")
 
 
 def streaming_sessions(messages: DataFrame, gap: str = "180 seconds", lateness: str = "1 day") -> DataFrame:
-    return messages.withWatermark("ts", lateness).groupBy(F.session_window("ts", gap), "user_id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("messages")).select("user_id", F.unix_millis("session_window.start").alias("start"), "tokens", "messages")
+    return messages.withWatermark("ts", lateness).groupBy(F.session_window("ts", gap), "user_id").agg(F.sum("units").alias("units"), F.count("*").alias("messages")).select("user_id", F.unix_millis("session_window.start").alias("start"), "units", "messages")
