@@ -72,3 +72,19 @@ def test_early_stop_is_proved():
         best = np.sort(values @ values[q])[::-1][:5]
         assert np.array_equal(np.sort(scores)[::-1][:5], best)
         assert len(members) < 1000
+
+
+def test_against_sql(spark, sf_dir):
+    from tests.oracle import compare
+    from tidemark.llm import queries
+
+    assert compare(spark, sf_dir, "op9_top_k", queries.op9_top_k, queries.OP9_SQL) > 0
+
+
+def test_rounds_find_the_same(spark, sf_dir):
+    from tidemark.session import table
+
+    vectors = topk.quantised(table(spark, sf_dir, "embeddings"))
+    asked = vectors.where("id % 10 = 0")
+    whole, rounds = (sorted(map(tuple, topk.top_k(asked, vectors, 5, block).collect())) for block in (16_384, 2))
+    assert whole == rounds

@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tidemark.operators.graph import components
 from tidemark.session import cut_lineage, share_package
 
 SHINGLE = 5
@@ -284,20 +285,6 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node and root (smallest node of its component) of every node in links(a, b): smallest neighbour, then pointer jumping."""
-    both = cut_lineage(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "edges")
-    labels = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("root")), "labels")
-    while True:
-        near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
-        jump = labels.select(F.col("node").alias("root"), F.col("root").alias("further"))
-        new = cut_lineage(step.join(jump, "root", "left").select("node", "was", F.least("root", F.coalesce("further", "root")).alias("root")), "labels")
-        labels = new.select("node", "root")
-        if not new.where("root <> was").limit(1).count():
-            return labels
-
-
 def _centred(buckets: DataFrame, most: int = CENTRES) -> DataFrame:
     """(a, b), a < b: each node with those of its buckets' centres with which it shares most buckets. buckets(bucket, node)."""
     order = F.xxhash64("node")

@@ -5,7 +5,8 @@ impact: segment j holds the values whose magnitude has j bits. For a block of qu
 the highest impact down and add to one accumulator for each query and vector. What a vector's postings below a
 segment can still add is at most the product of the two remaining lengths (Cauchy and Schwarz); as soon as that
 proves that few vectors can be among the k best, exactly these are scored anew with all their values. Where nothing
-can be proved, all segments are taken, and the accumulators are the scores.
+can be proved, all segments are taken, and the accumulators are the scores. A block of no more vectors than that few
+needs no proof: all of them are scored.
 
 Defined results: vectors that are null, or hold a null or a component that is not finite, take no part. Shorter
 vectors count as filled up with zeros. Equal scores go to the smaller id, repeated rows are as many candidates, and
@@ -15,13 +16,14 @@ id takes no part. Scores beyond 64 bits are held at the largest or smallest one.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidemark.session import share_package
+from tidemark.session import cut_lineage, share_package, shared_dir
 
 K = 5
 SCALE = 256
@@ -135,13 +137,26 @@ def block_best(ids: np.ndarray, values: np.ndarray, query_ids: np.ndarray, queri
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """The first k rows of each query, with their rank."""
+    order = Window.partitionBy("q", "query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """query_id, rank, vec_id and score. Both frames have id and values; queries are taken in blocks of bounded size."""
+    """query_id, rank, vec_id and score. Both frames have id and values; queries are taken in blocks of bounded size.
+
+    With several blocks each is a round of its own: its best rows are written to the shared folder, and its broadcast
+    is released before the next one. The plan and what is held at once do not grow with the number of blocks.
+    """
     spark = candidates.sparkSession
     share_package(spark)
     queries = queries.dropDuplicates(["id", "values"])
-    blocks = max(1, -(-queries.count() // query_block))
-    found = None
+    n = queries.count()
+    blocks = max(1, -(-n // query_block))
+    if blocks > 1:
+        queries = cut_lineage(queries, "queries")
+    path = f"{shared_dir(spark)}/best-{uuid.uuid4().hex}"
     for block in range(blocks):
         part = queries.where(F.pmod(F.xxhash64("id", "values"), F.lit(blocks)) == block) if blocks > 1 else queries
         held = part.toArrow()
@@ -167,7 +182,9 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, query_block: in
             if n:
                 yield best(held)
 
-        part_best = candidates.mapInArrow(run, "q bigint, query_id bigint, vec_id bigint, score bigint").withColumn("q", F.col("q") * blocks + block)
-        found = part_best if found is None else found.unionByName(part_best)
-    order = Window.partitionBy("q", "query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        found = _best(candidates.mapInArrow(run, "q bigint, query_id bigint, vec_id bigint, score bigint"), k)
+        if blocks == 1:
+            return found.select("query_id", "rank", "vec_id", "score")
+        found.write.mode("append").parquet(path)
+        shared.unpersist()
+    return spark.read.parquet(path).select("query_id", "rank", "vec_id", "score")
