@@ -1,4 +1,10 @@
-"""From raw documents to packed sequences: five stages, each written as Parquet and read again by the next."""
+"""From raw documents to packed sequences: five stages, each written as Parquet and read again by the next.
+
+Defined results: a null or letterless text has no language and goes in the first stage, so later ones see none in a
+run; called alone, they take it as empty text. Repeated rows are near duplicates of each other, so one stays. Rows of
+one id with different texts are judged apart. A null id is kept as it is, and packed like any other. Other columns
+come through unchanged, whatever their names. Empty tables give empty tables of the same columns.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidemark.llm import decontaminate, langid, neardup, packing, pii
 from tidemark.session import cut_lineage, table
 
-#: Iterative classes, a learned field and packing are beyond SQL; a test compares near_dedup with brute force.
+#: Iterative classes, a learned field and packing are beyond SQL; tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
 
 
@@ -54,6 +60,7 @@ def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences."""
     return packing.pack_documents(docs.select("doc_id", "text"), ["doc_id"])
 
 

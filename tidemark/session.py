@@ -40,9 +40,11 @@ def share_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; a temporary one only where it is unset (tests)."""
+    """The folder in spark.checkpoint.dir, which all executors share; a temporary one only where it is unset and Spark runs on this machine alone (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = _LOCAL.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="spark-"))
     return path.rstrip("/")
 
