@@ -23,6 +23,8 @@ def test_token_counts_are_the_library_s(spark):
 
 
 def test_pieces_fill_sequences_without_gaps(spark):
+    everything = packing.pack_documents(frame(spark), ["doc_id"]).toPandas()
+    assert everything.doc_id.isna().sum() == 2 and len(everything) >= len(documents())
     rows = [r for r in documents() if r[0] is not None and r[0] not in (0, 5, 7)]
     found = packing.pack_documents(frame(spark, rows), ["doc_id"]).toPandas()
     encode = library()
@@ -36,6 +38,29 @@ def test_pieces_fill_sequences_without_gaps(spark):
     assert packing.pack_documents(frame(spark, []), ["doc_id"]).collect() == []
 
 
+def test_both_encoders_agree_on_plain_characters():
+    encoder = counting.Encoder(counting.vocabulary_path("byte_bpe_50k.json"), counting.vocabulary_path("byte_bpe_50k.tiktoken"))
+    for c in map(chr, range(0x250)):
+        for text in (c, f"a{c}b {c}{c} 1{c}2", f" {c} {c}x\n{c}\t{c}"):
+            assert encoder.fast.encode_ordinary(text) == encoder.slow.encode(text, add_special_tokens=False).ids, hex(ord(c))
+
+
+def test_exchange_between_groups(spark):
+    """Many small groups: rounds of exchange keep every piece, overfill nothing and need fewer sequences than the first round alone."""
+    pick = np.random.default_rng(6)
+    lengths = [int(x) for x in pick.integers(300, 2048, 3_000)] + [2048] * 5 + [1] * 3
+    pieces = spark.createDataFrame([(k % 2_900, n) for k, n in enumerate(lengths)], "doc_id long, length long")
+    used = {}
+    for rounds in (1, 4):
+        found = packing.pack(pieces, group_items=60, rounds=rounds).toPandas()
+        assert sorted(found.length) == sorted(lengths)
+        for _, group in found.sort_values("offset").groupby("sequence_id"):
+            assert list(group.offset) == [0, *np.cumsum(group.length)[:-1]] and group.length.sum() <= 2048
+        used[rounds] = found.sequence_id.nunique()
+        assert found[found.length == 2048].certified.all()
+    assert packing.lower_bound(np.array(lengths), 2048) <= used[4] <= used[1]
+
+
 def test_lower_bound_never_exceeds_a_packing():
     pick = np.random.default_rng(4)
     for _ in range(50):

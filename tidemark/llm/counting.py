@@ -97,21 +97,18 @@ class Encoder:
 
     def lengths(self, texts: list[str]) -> list[int]:
         """Token counts of a batch; ids are dropped at once."""
-        counts, slow, of = [0] * len(texts), [], []
+        parts: dict[bool, tuple[list[str], list[int]]] = {True: ([], []), False: ([], [])}
         for i, text in enumerate(texts):
             for part in self.parts(text):
-                if self._is_fast(part):
-                    counts[i] += len(self.fast.encode_ordinary(part))
-                    continue
-                for small in self.parts(part, LONG_RUN):
-                    if self._is_fast(small):
-                        counts[i] += len(self.fast.encode_ordinary(small))
-                    else:
-                        slow.append(small)
-                        of.append(i)
-        if slow:
-            for i, found in zip(of, self.slow.encode_batch_fast(slow, add_special_tokens=False)):
-                counts[i] += len(found)
+                for small in [part] if self._is_fast(part) else self.parts(part, LONG_RUN):
+                    held, of = parts[self._is_fast(small)]
+                    held.append(small)
+                    of.append(i)
+        counts = [0] * len(texts)
+        for fast, (held, of) in parts.items():
+            found = () if not held else self.fast.encode_ordinary_batch(held, num_threads=1) if fast else self.slow.encode_batch_fast(held, add_special_tokens=False)
+            for i, ids in zip(of, found):
+                counts[i] += len(ids)
         return counts
 
     def ids(self, text: str) -> np.ndarray:

@@ -26,6 +26,7 @@ CAPACITY = 2048
 END_ID = 0
 #: Pieces in a group; one task holds one group at a time.
 GROUP_ITEMS = 8_192
+#: Rounds of exchange at most. What no bound certifies by then is told in the column certified.
 ROUNDS = 4
 
 
@@ -115,24 +116,25 @@ def _filler(names: list[str], capacity: int, step: int, last: bool):
         lengths = pdf["length"].to_numpy()
         bins, offsets, fills = best_fit_decreasing(lengths, capacity)
         open_bins = np.zeros(len(fills), bool)
+        certified = len(fills) <= lower_bound(lengths, capacity)
         if not last:
-            if len(fills) > lower_bound(lengths, capacity):
+            if not certified:
                 open_bins = fills < capacity
             open_bins[int(np.argmin(fills))] = True
         base = (step << 56) + (int(pdf["__group"].iloc[0]) << 20)
-        return pdf[names].assign(sequence_id=base + bins, offset=offsets, open=open_bins[bins])
+        return pdf[names].assign(sequence_id=base + bins, offset=offsets, certified=certified, open=open_bins[bins])
 
     return fill
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group_items: int = GROUP_ITEMS, rounds: int = ROUNDS) -> DataFrame:
-    """pieces with sequence_id and offset. pieces has a column length, from 1 to capacity, and is read more than once."""
+    """pieces with sequence_id, offset and certified (whether the piece's partition has as few sequences as a bound allows). pieces has a column length, from 1 to capacity, and is read more than once."""
     spark = pieces.sparkSession
     share_package(spark)
     names = pieces.columns
-    full = pieces.where(F.col("length") >= capacity).withColumns({"sequence_id": -F.monotonically_increasing_id() - 1, "offset": F.lit(0).cast("long")})
+    full = pieces.where(F.col("length") >= capacity).withColumns({"sequence_id": -F.monotonically_increasing_id() - 1, "offset": F.lit(0).cast("long"), "certified": F.lit(True)})
     todo, done = pieces.where(F.col("length") < capacity), [full]
-    schema = extended(pieces.schema.fields, "sequence_id bigint, offset bigint, open boolean")
+    schema = extended(pieces.schema.fields, "sequence_id bigint, offset bigint, certified boolean, open boolean")
     before = None
     for step in range(rounds):
         n = todo.count()
