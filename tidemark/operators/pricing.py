@@ -95,8 +95,8 @@ def refused(model: Column, provider: Column) -> Column:
 def candidates(models: DataFrame) -> DataFrame:
     """model_id, hint, key and stage of each name under which a distinct model may stand in the catalogue: linear in its parts.
 
-    Stages: 0 as written, 1 canonical, 2 separators alike, 3 without its path, 4 and on without up to four last parts,
-    then without up to two first ones.
+    Stages: as written, canonical, without its path, then without up to four last parts, then without up to two first
+    ones; each followed by the same with its separators alike.
     """
     ids = models.select("model_id", "hint").distinct().where(~refused(F.col("model_id"), F.col("hint")))
     name = F.lower(F.trim("model_id"))
@@ -105,11 +105,13 @@ def candidates(models: DataFrame) -> DataFrame:
     parts = F.split(last, "-")
     n = F.size(parts)
     # the number of parts that may go leaves one at least
-    shorter = F.transform(F.sequence(F.lit(1), F.lit(MOST_SUFFIX)), lambda k: F.struct(F.when(k < n, F.array_join(F.slice(parts, 1, F.greatest(n - k, F.lit(0))), "-")).alias("key"), (k + 3).alias("stage")))
-    later = F.transform(F.sequence(F.lit(1), F.lit(MOST_PREFIX)), lambda k: F.struct(F.when(k < n, F.array_join(F.slice(parts, k + 1, n), "-")).alias("key"), (k + 3 + MOST_SUFFIX).alias("stage")))
-    first = F.array(*[F.struct(k.alias("key"), F.lit(i).alias("stage")) for i, k in enumerate((name, plain, names.alias_key(plain), last))])
+    shorter = F.transform(F.sequence(F.lit(1), F.lit(MOST_SUFFIX)), lambda k: F.struct(F.when(k < n, F.array_join(F.slice(parts, 1, F.greatest(n - k, F.lit(0))), "-")).alias("key"), (k + 2).alias("stage")))
+    later = F.transform(F.sequence(F.lit(1), F.lit(MOST_PREFIX)), lambda k: F.struct(F.when(k < n, F.array_join(F.slice(parts, k + 1, n), "-")).alias("key"), (k + 2 + MOST_SUFFIX).alias("stage")))
+    first = F.array(*[F.struct(k.alias("key"), F.lit(i).alias("stage")) for i, k in enumerate((name, plain, last))])
     found = ids.select("model_id", "hint", F.explode(F.concat(first, shorter, later)).alias("c")).select("model_id", "hint", "c.key", "c.stage")
-    found = found.withColumn("key", F.explode(F.array_distinct(F.array("key", names.alias_key(F.col("key"))))))
+    # each name as it is, then with its separators alike
+    spelt = F.array(F.struct("key", (F.col("stage") * 2).alias("stage")), F.struct(names.alias_key(F.col("key")).alias("key"), (F.col("stage") * 2 + 1).alias("stage")))
+    found = found.select("model_id", "hint", F.explode(spelt).alias("c")).select("model_id", "hint", "c.key", "c.stage")
     return found.where(F.length("key") >= LEAST_NAME).groupBy("model_id", "hint", "key").agg(F.min("stage").alias("stage"))
 
 
