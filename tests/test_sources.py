@@ -89,11 +89,47 @@ insert into session_model_usage values ('b', 'm1', 'x-ai', 1, 2, 3, 4, 5, 0.1, 0
     base.executemany("insert into message values (?, 's', ?)", [("1", json.dumps(used)), ("2", json.dumps({"role": "user"})), ("3", json.dumps({"role": "assistant"}))])
     base.commit()
     base.close()
-    for client in ("opencode", "kilo"):
+    for client in ("opencode", "kilo", "micode"):
         found = adapters.facts(spark, client, str(tmp_path))
         assert totals(found) == (1, 2, 4, 5, 3, 1) and found.first()["provider_id"] == "moonshotai"
 
 
+def test_other_formats(spark, tmp_path):
+    def put(name, value):
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(value if isinstance(value, str) else json.dumps(value))
+
+    put("roo/t1/ui_messages.json", [{"type": "say", "say": "api_req_started", "ts": 1_767_000_000_000, "text": json.dumps({"tokensIn": 1, "tokensOut": 2, "cacheReads": 3, "cacheWrites": 4, "cost": 0.5, "apiProtocol": "anthropic"})}, {"type": "say", "say": "text", "text": "x", "ts": 1}, {"type": "say", "say": "api_req_started", "ts": 5, "text": "no json"}])
+    for client in ("roocode", "kilocode", "cline"):
+        found = adapters.facts(spark, client, str(tmp_path / "roo"))
+        assert totals(found) == (1, 2, 3, 4, 0, 1) and (found.first()["session_id"], found.first()["provider_id"], found.first()["cost"]) == ("t1", "anthropic", 0.5)
+    put("qwen/proj/chats/c.jsonl", json.dumps({"type": "assistant", "timestamp": "2026-01-02T03:04:05Z", "usageMetadata": {"promptTokenCount": 5, "candidatesTokenCount": -1, "thoughtsTokenCount": 2}}) + "\n" + json.dumps({"type": "assistant", "usageMetadata": {}}))
+    found = adapters.facts(spark, "qwen", str(tmp_path / "qwen"))
+    assert totals(found) == (5, 0, 0, 0, 2, 1) and found.first()["session_id"] == "proj-c"
+    put("mux/s9/session-usage.json", {"byModel": {"x-ai:grok-4": {"input": {"tokens": 4, "cost_usd": 0.25}, "output": {"tokens": 1, "cost_usd": 0.5}}, "plain": {"input": {"tokens": 0}}}, "lastRequest": {"timestamp": 1_767_000_000_000}})
+    row = adapters.facts(spark, "mux", str(tmp_path / "mux")).collect()
+    assert [(r["model_id"], r["provider_id"], r["input"], r["cost"], r["dedup_key"]) for r in row] == [("grok-4", "xai", 4, 0.75, "mux:s9:x-ai:grok-4")]
+    put("hind/2026-01.jsonl", "\n".join(map(json.dumps, [{"id": "1", "trace_id": " ", "provider": "openai", "model": "gpt-5.4", "started_at": "2026-01-02T03:04:05+00:00", "input_tokens": 2, "output_tokens": 3, "cached_tokens": 1}, {"id": "2", "started_at": "2026-01-02T03:04:05Z", "input_tokens": 2, "total_tokens": 0}, {"id": "3", "input_tokens": 9}])))
+    found = adapters.facts(spark, "hindsight", str(tmp_path / "hind"))
+    assert totals(found) == (2, 3, 1, 0, 0, 1) and found.first()["session_id"] == "1"
+    put("amp/T-1.json", {"id": "T-1", "created": 1_767_000_000_000, "messages": [{"role": "assistant", "messageId": 3, "usage": {"model": "claude-x", "inputTokens": 7, "outputTokens": 8, "cacheReadInputTokens": 9}}, {"role": "user", "messageId": 4}]})
+    assert totals(adapters.facts(spark, "amp", str(tmp_path / "amp"))) == (7, 8, 9, 0, 0, 1)
+    put("cur/usage.me.json", {"usageEventsDisplay": [{"conversationId": "c", "timestamp": "1767000000000", "model": "gpt-5.4", "chargedCents": 50, "tokenUsage": {"inputTokens": 1, "outputTokens": 2, "cacheReadTokens": 3, "cacheWriteTokens": 4}}, {"timestamp": "1767000000000", "model": " "}]})
+    found = adapters.facts(spark, "cursor", str(tmp_path / "cur"))
+    assert totals(found) == (1, 2, 3, 4, 0, 1) and found.first()["cost"] == 0.5
+    put("rev/r.jsonl", json.dumps({"type": "llm_response", "timestamp": "2026-01-02T03:04:05Z", "model": "deepseek-v3", "usage": {"prompt_tokens": 6, "completion_tokens": 7}}))
+    found = adapters.facts(spark, "opencodereview", str(tmp_path / "rev"))
+    assert totals(found) == (6, 7, 0, 0, 0, 1) and found.first()["provider_id"] == "deepseek"
+    base = sqlite3.connect(tmp_path / "sessions.db")
+    base.execute("create table sessions(id text, model_config_json text, provider_name text, created_at text, total_tokens int, input_tokens int, output_tokens int, accumulated_total_tokens int, accumulated_input_tokens int, accumulated_output_tokens int)")
+    base.executemany("insert into sessions values (?, ?, ?, '2026-01-02 03:04:05', 9, 3, 4, ?, null, null)", [("a", json.dumps({"model_name": "gpt-5.4"}), None, 12), ("b", "", "x", 1), ("c", json.dumps({"model_name": " "}), "x", 1)])
+    base.commit()
+    base.close()
+    found = adapters.facts(spark, "goose", str(tmp_path))
+    assert totals(found) == (3, 4, 0, 0, 5, 1) and found.first()["timestamp_ms"] == 1_767_323_045_000
+
+
 def test_listing_claims_formats_and_changes(spark, tmp_path):
     for name in ("x/usage.json", "x/usage.csv", "y/usage.csv", "node_modules/usage.json"):
         (tmp_path / name).parent.mkdir(exist_ok=True)

@@ -129,7 +129,11 @@ class Adapter:
     keep: str = "true"
     columns: dict[str, str] = field(default_factory=dict)
     statement: str = ""
-    explode: str = ""
+    #: a text in row that is JSON again, and its schema: parsed as d
+    inner: str = ""
+    inner_schema: str = ""
+    #: an array in row, each element of which is d
+    each: str = ""
     #: applied to the facts; for what no single row tells
     fold: Callable[[DataFrame], DataFrame] | None = None
 
@@ -149,6 +153,9 @@ _PI_COLUMNS = {"session_id": "regexp_extract(path, '([^/]+)\\\\.jsonl$', 1)", "m
 _HERMES = "select s.id as session_id, coalesce(u.model, s.model) as model, coalesce(u.billing_provider, s.billing_provider) as provider, s.started_at as started_at, sum(coalesce(u.input_tokens, s.input_tokens, 0)) as input, sum(coalesce(u.output_tokens, s.output_tokens, 0)) as output, sum(coalesce(u.cache_read_tokens, s.cache_read_tokens, 0)) as cache_read, sum(coalesce(u.cache_write_tokens, s.cache_write_tokens, 0)) as cache_write, sum(coalesce(u.reasoning_tokens, s.reasoning_tokens, 0)) as reasoning, sum(coalesce(nullif(u.actual_cost_usd, 0), u.estimated_cost_usd, nullif(s.actual_cost_usd, 0), s.estimated_cost_usd)) as cost from sessions s left join session_model_usage u on u.session_id = s.id group by 1, 2, 3, 4 having sum(coalesce(u.input_tokens, s.input_tokens, 0)) > 0 or sum(coalesce(u.output_tokens, s.output_tokens, 0)) > 0"
 _OPENCODE = "select id, session_id, data from message where json_extract(data, '$.role') = 'assistant' and json_extract(data, '$.tokens') is not null"
 _OPENCODE_ROW = "modelID string, providerID string, cost double, time struct<created bigint>, tokens struct<input bigint, output bigint, reasoning bigint, cache struct<read bigint, write bigint>>"
+_OPENCODE_COLUMNS = {"session_id": "row.session_id", "message_id": "row.id", "model_id": "d.modelID", "provider_id": "d.providerID", "time": "cast(d.time.created as string)", "input": "d.tokens.input", "output": "d.tokens.output", "cache_read": "d.tokens.cache.read", "cache_write": "d.tokens.cache.write", "reasoning": "d.tokens.reasoning", "cost": "d.cost", "dedup_key": "row.id"}
+_MUX = "struct<tokens bigint, cost_usd double>"
+_GOOSE = "select id, model_config_json, provider_name, created_at, coalesce(accumulated_total_tokens, total_tokens, 0) as total, coalesce(accumulated_input_tokens, input_tokens, 0) as input, coalesce(accumulated_output_tokens, output_tokens, 0) as output from sessions where trim(model_config_json) <> ''"
 _CHAT = "variant string, timestamp string, metadata struct<model string, usage struct<inputTokens bigint, outputTokens bigint, cacheCreationInputTokens bigint, cacheReadInputTokens bigint>>"
 
 ADAPTERS = {
@@ -156,8 +163,15 @@ ADAPTERS = {
     "claude": Adapter("claude", "*.jsonl", "lines", _CLAUDE, "row.type = 'assistant' and row.message.usage is not null", {"session_id": "coalesce(row.sessionId, regexp_extract(path, '([^/]+)\\\\.jsonl$', 1))", "message_id": "row.message.id", "model_id": "row.message.model", "provider_id": "'anthropic'", "time": "row.timestamp", "input": "row.message.usage.input_tokens", "output": "row.message.usage.output_tokens", "cache_read": "row.message.usage.cache_read_input_tokens", "cache_write": "row.message.usage.cache_creation_input_tokens", "dedup_key": "case when row.requestId is not null then row.message.id || ':' || row.requestId else 'message:' || row.message.id end"}, fold=_by_larger),
     "codebuff": Adapter("codebuff", "chat-messages.json", "array", _CHAT, "row.variant = 'ai' and row.metadata.usage is not null", {"session_id": "regexp_extract(path, '/chats/([^/]+)/', 1)", "model_id": "row.metadata.model", "time": "row.timestamp", "input": "row.metadata.usage.inputTokens", "output": "row.metadata.usage.outputTokens", "cache_read": "row.metadata.usage.cacheReadInputTokens", "cache_write": "row.metadata.usage.cacheCreationInputTokens"}),
     "hermes": Adapter("hermes", "state.db", "sqlite", "session_id string, model string, provider string, started_at double, input bigint, output bigint, cache_read bigint, cache_write bigint, reasoning bigint, cost double", columns={"session_id": "row.session_id", "model_id": "row.model", "provider_id": "row.provider", "time": "cast(row.started_at as string)", "input": "row.input", "output": "row.output", "cache_read": "row.cache_read", "cache_write": "row.cache_write", "reasoning": "row.reasoning", "cost": "row.cost", "dedup_key": "'hermes:' || row.session_id || ':' || row.model"}, statement=_HERMES),
-    "opencode": Adapter("opencode", "*.db", "sqlite", "id string, session_id string, data string", columns={"session_id": "row.session_id", "message_id": "row.id", "model_id": "d.modelID", "provider_id": "d.providerID", "time": "cast(d.time.created as string)", "input": "d.tokens.input", "output": "d.tokens.output", "cache_read": "d.tokens.cache.read", "cache_write": "d.tokens.cache.write", "reasoning": "d.tokens.reasoning", "cost": "d.cost", "dedup_key": "row.id"}, statement=_OPENCODE, explode=_OPENCODE_ROW),
-    "kilo": Adapter("kilo", "kilo.db", "sqlite", "id string, session_id string, data string", columns={"session_id": "row.session_id", "message_id": "row.id", "model_id": "d.modelID", "provider_id": "d.providerID", "time": "cast(d.time.created as string)", "input": "d.tokens.input", "output": "d.tokens.output", "cache_read": "d.tokens.cache.read", "cache_write": "d.tokens.cache.write", "reasoning": "d.tokens.reasoning", "cost": "d.cost", "dedup_key": "row.id"}, statement=_OPENCODE, explode=_OPENCODE_ROW),
+    **{client: Adapter(client, glob, "sqlite", "id string, session_id string, data string", columns=_OPENCODE_COLUMNS, statement=_OPENCODE, inner="row.data", inner_schema=_OPENCODE_ROW) for client, glob in (("opencode", "*.db"), ("kilo", "kilo.db"), ("micode", "*.db"))},
+    **{client: Adapter(client, "ui_messages.json", "array", "type string, say string, text string, ts string, modelInfo struct<providerId string, modelId string>", "row.type = 'say' and row.say = 'api_req_started' and row.ts is not null", {"session_id": "regexp_extract(path, '([^/]+)/[^/]+$', 1)", "model_id": "coalesce(nullif(trim(row.modelInfo.modelId), ''), 'unknown')", "provider_id": "coalesce(d.apiProtocol, row.modelInfo.providerId)", "time": "row.ts", "input": "d.tokensIn", "output": "d.tokensOut", "cache_read": "d.cacheReads", "cache_write": "d.cacheWrites", "cost": "greatest(d.cost, 0)"}, inner="row.text", inner_schema="tokensIn bigint, tokensOut bigint, cacheReads bigint, cacheWrites bigint, cost double, apiProtocol string") for client in ("roocode", "kilocode", "cline")},
+    "qwen": Adapter("qwen", "*.jsonl", "lines", "type string, model string, timestamp string, sessionId string, usageMetadata struct<promptTokenCount bigint, candidatesTokenCount bigint, thoughtsTokenCount bigint, cachedContentTokenCount bigint>", "row.type = 'assistant' and row.usageMetadata is not null", {"session_id": "coalesce(nullif(row.sessionId, ''), regexp_extract(path, '([^/]+)/[^/]+/[^/]+$', 1) || '-' || regexp_extract(path, '([^/]+)\\.jsonl$', 1))", "model_id": "coalesce(row.model, 'unknown')", "provider_id": "'qwen'", "time": "row.timestamp", "input": "row.usageMetadata.promptTokenCount", "output": "row.usageMetadata.candidatesTokenCount", "cache_read": "row.usageMetadata.cachedContentTokenCount", "reasoning": "row.usageMetadata.thoughtsTokenCount", "dedup_key": "'qwen:' || path || ':' || place"}),
+    "mux": Adapter("mux", "session-usage.json", "document", f"byModel map<string, struct<input {_MUX}, cached {_MUX}, cacheCreate {_MUX}, output {_MUX}, reasoning {_MUX}>>, lastRequest struct<timestamp bigint>", columns={"session_id": "regexp_extract(path, '([^/]+)/[^/]+$', 1)", "model_id": "regexp_replace(d.key, '^[^:]*:', '')", "provider_id": "regexp_extract(d.key, '^([^:]*):', 1)", "time": "cast(row.lastRequest.timestamp as string)", "input": "d.value.input.tokens", "output": "d.value.output.tokens", "cache_read": "d.value.cached.tokens", "cache_write": "d.value.cacheCreate.tokens", "reasoning": "d.value.reasoning.tokens", "cost": " + ".join(f"coalesce(d.value.{k}.cost_usd, 0)" for k in ("input", "cached", "cacheCreate", "output", "reasoning")), "dedup_key": "'mux:' || regexp_extract(path, '([^/]+)/[^/]+$', 1) || ':' || d.key"}, each="map_entries(row.byModel)"),
+    "hindsight": Adapter("hindsight", "*.jsonl", "lines", "id string, trace_id string, provider string, model string, started_at string, input_tokens bigint, output_tokens bigint, cached_tokens bigint, total_tokens bigint", "coalesce(row.total_tokens, 1) > 0 and row.started_at is not null and (row.input_tokens > 0 or row.output_tokens > 0)", {"session_id": "coalesce(nullif(trim(row.trace_id), ''), row.id)", "message_id": "row.id", "model_id": "row.model", "provider_id": "row.provider", "time": "row.started_at", "input": "row.input_tokens", "output": "row.output_tokens", "cache_read": "row.cached_tokens", "dedup_key": "row.id"}),
+    "goose": Adapter("goose", "sessions.db", "sqlite", "id string, model_config_json string, provider_name string, created_at string, total bigint, input bigint, output bigint", "d.model_name is not null and trim(d.model_name) <> '' and (row.input > 0 or row.output > 0 or row.total > 0)", {"session_id": "row.id", "model_id": "trim(d.model_name)", "provider_id": "row.provider_name", "time": "row.created_at", "input": "row.input", "output": "row.output", "reasoning": "row.total - greatest(row.input, 0) - greatest(row.output, 0)", "dedup_key": "row.id"}, statement=_GOOSE, inner="row.model_config_json", inner_schema="model_name string"),
+    "amp": Adapter("amp", "T-*.json", "document", "id string, created bigint, messages array<struct<role string, messageId bigint, usage struct<model string, inputTokens bigint, outputTokens bigint, cacheReadInputTokens bigint, cacheCreationInputTokens bigint>>>", columns={"session_id": "row.id", "message_id": "cast(d.messageId as string)", "model_id": "d.usage.model", "time": "cast(row.created as string)", "input": "d.usage.inputTokens", "output": "d.usage.outputTokens", "cache_read": "d.usage.cacheReadInputTokens", "cache_write": "d.usage.cacheCreationInputTokens", "dedup_key": "row.id || ':' || d.messageId"}, keep="d.usage is not null", each="row.messages"),
+    "cursor": Adapter("cursor", "usage*.json", "document", "usageEventsDisplay array<struct<conversationId string, timestamp string, model string, chargedCents double, tokenUsage struct<inputTokens bigint, outputTokens bigint, cacheReadTokens bigint, cacheWriteTokens bigint, totalCents double>>>", "trim(d.model) <> '' and d.timestamp is not null", {"session_id": "coalesce(nullif(trim(d.conversationId), ''), 'cursor-' || regexp_extract(path, '([^/]+)\\.json$', 1))", "model_id": "trim(d.model)", "time": "d.timestamp", "input": "d.tokenUsage.inputTokens", "output": "d.tokenUsage.outputTokens", "cache_read": "d.tokenUsage.cacheReadTokens", "cache_write": "d.tokenUsage.cacheWriteTokens", "cost": "coalesce(d.chargedCents, d.tokenUsage.totalCents) / 100"}, each="row.usageEventsDisplay"),
+    "opencodereview": Adapter("opencodereview", "*.jsonl", "lines", "type string, timestamp string, model string, duration_ms bigint, usage struct<prompt_tokens bigint, completion_tokens bigint, cache_read_tokens bigint, cache_write_tokens bigint>", "row.type = 'llm_response' and row.usage is not null", {"session_id": "regexp_extract(path, '([^/]+)\\.jsonl$', 1)", "model_id": "coalesce(row.model, 'unknown')", "time": "row.timestamp", "input": "row.usage.prompt_tokens", "output": "row.usage.completion_tokens", "cache_read": "row.usage.cache_read_tokens", "cache_write": "row.usage.cache_write_tokens", "dedup_key": "path || ':' || place"}),
     # one format, written under several names
     **{client: Adapter(client, "*.jsonl", "lines", _PI, "row.type = 'message' and row.message.role = 'assistant' and row.message.usage is not null", _PI_COLUMNS, fold=_by_larger) for client in ("pi", "gjc", "senpi", "kimchi", "omp", "craft-agent")},
 }
@@ -165,16 +179,17 @@ ADAPTERS = {
 
 def _rows(spark: SparkSession, adapter: Adapter, root: str) -> DataFrame:
     """path, place and row (and d, the parsed data column of a database) of each JSON value that parses."""
-    if adapter.kind == "sqlite":
-        lines = sqlite_rows(spark, root, adapter.glob, adapter.statement)
-    elif adapter.kind == "array":
+    if adapter.kind in ("array", "document"):
         whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", adapter.glob).option("wholetext", "true").text(root).select(F.col("_metadata.file_path").alias("path"), "value")
-        parsed = whole.select("path", F.posexplode(F.from_json("value", f"array<struct<{_typed(adapter.schema)}>>")).alias("place", "row"))
-        return parsed.where("row is not null")
+        shape = _typed(adapter.schema)
+        parsed = F.posexplode(F.from_json("value", f"array<struct<{shape}>>")).alias("place", "row") if adapter.kind == "array" else F.from_json("value", f"struct<{shape}>").alias("row")
+        rows = whole.select("path", parsed).where("row is not null")
     else:
-        lines = lossy_lines(spark, root, adapter.glob)
-    rows = lines.select("path", "place", F.from_json("line", f"{adapter.schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}).alias("row")).where("row is not null and row._corrupt is null")
-    return rows.withColumn("d", F.from_json("row.data", adapter.explode)).where("d is not null") if adapter.explode else rows
+        lines = sqlite_rows(spark, root, adapter.glob, adapter.statement) if adapter.kind == "sqlite" else lossy_lines(spark, root, adapter.glob)
+        rows = lines.select("path", "place", F.from_json("line", f"{adapter.schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}).alias("row")).where("row is not null and row._corrupt is null")
+    if adapter.each:
+        rows = rows.select("*", F.explode(F.expr(adapter.each)).alias("d"))
+    return rows.withColumn("d", F.from_json(F.expr(adapter.inner), adapter.inner_schema)).where("d is not null") if adapter.inner else rows
 
 
 def _typed(ddl: str) -> str:
@@ -197,7 +212,8 @@ def facts(spark: SparkSession, client: str, root: str) -> DataFrame:
         names.resolved_provider(get("provider_id", "string"), get("model_id", "string")).alias("provider_id"), epoch_ms(get("time", "string")).alias("timestamp_ms"),
         *[u.alias(k) for k, u in units.items()], get("cost", "double").alias("cost"), get("dedup_key", "string").alias("dedup_key"), "path",
     ).select(*FACTS)
-    return adapter.fold(found) if adapter.fold else found
+    used = found.where(F.greatest("input", "output", "cache_read", "cache_write", "reasoning") > 0)
+    return adapter.fold(used) if adapter.fold else used
 
 
 def _codex(rows: DataFrame) -> DataFrame:
