@@ -10,4 +10,4 @@ def streaming_days(messages: DataFrame, lateness: str = "1 day") -> DataFrame:
 
 
 def streaming_sessions(messages: DataFrame, gap: str = "180 seconds", lateness: str = "1 day") -> DataFrame:
-    return messages.withWatermark("ts", lateness).groupBy(F.session_window("ts", gap), "user_id").agg(F.sum("units").alias("units"), F.count("*").alias("messages")).select("user_id", F.unix_millis("session_window.start").alias("start"), "units", "messages")
+    return messages.withWatermark("ts", lateness).groupBy(F.session_window("ts", gap), "client", "user_id").agg(F.sum("units").alias("units"), F.count("*").alias("messages")).select("client", "user_id", F.unix_millis("session_window.start").alias("start"), "units", "messages")
