@@ -124,10 +124,10 @@ _RANGES = {"all": ("0000", "9999"), "today": ("2024-01-25", "2024-01-25"), "yest
 _events("periods", _all_periods, "".join(f"{' union all ' if k else ''} select cast(sum(units) as bigint) as units, count(*) as n, '{name}' as period from e where date between '{a}' and '{b}'" for k, (name, (a, b)) in enumerate(_RANGES.items())))
 _days("year_filter", lambda d: _sum(fl.of_year(d, 1995), "client"), f"select client, {_SUM} from d where date like '1995-%' group by 1")
 _PUBLIC = "c_custkey % 11 <> 0 and not c_custkey % 7 = 0"
-_users = lambda spark, sf: table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), F.concat(F.when(F.col("c_custkey") % 2 == 0, F.lit("User")).otherwise(F.lit("user")), (F.col("c_custkey") % 700).cast("string")).alias("username"), F.when(F.col("c_custkey") % 11 == 0, F.col("c_custkey") % 5).alias("banned_at"), (F.col("c_custkey") % 7 == 0).alias("is_private"))
+_users = lambda spark, sf: table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), F.concat(F.when(F.col("c_custkey") % 2 == 0, F.lit("User")).otherwise(F.lit("user")), (F.col("c_custkey") % 99).cast("string")).alias("username"), F.when(F.col("c_custkey") % 11 == 0, F.col("c_custkey") % 5).alias("banned_at"), (F.col("c_custkey") % 7 == 0).alias("is_private"))
 query("public_ranking", f"with {_U} select u.*, rank() over (order by units desc) as rank from u join customer on c_custkey = user_id where {_PUBLIC}")(lambda spark, sf: rk.competition_rank(rk.totals(warehouse_days(spark, sf)).join(fl.public(_users(spark, sf)).select("user_id"), "user_id")))
 query("rank_of_one_user", f"with {_U}, r as (select *, rank() over (order by units desc) as rank, count(*) over () as users from u) select user_id, units, rank, users from r where user_id = 77")(lambda spark, sf: (lambda u: rk.competition_rank(u).where("user_id = 77").select("user_id", "units", "rank").join(u.agg(F.count("*").alias("users"))))(rk.totals(warehouse_days(spark, sf))))
-query("ambiguous_names", "select 'user' || (c_custkey % 700) as name, count(*) as users from customer group by 1 having count(*) > 1")(lambda spark, sf: fl.ambiguous_names(_users(spark, sf)))
+query("ambiguous_names", "select 'user' || (c_custkey % 99) as name, count(*) as users from customer group by 1 having count(*) > 1")(lambda spark, sf: fl.ambiguous_names(_users(spark, sf)))
 query("ban_list", f"with {_U} select c_custkey as user_id, c_custkey % 5 as banned_at, units, cost from customer left join u on c_custkey = user_id where c_custkey % 11 = 0")(lambda spark, sf: fl.banned(_users(spark, sf), rk.totals(warehouse_days(spark, sf))).select("user_id", "banned_at", "units", "cost"))
 _free = lambda e: e.withColumn("units", F.when(F.col("event_id") % 4 == 0, 0).otherwise(F.col("units")))
 _events("tokenless_cost", lambda e: fl.without_free_cost(_free(e), F.col("client") == "view").groupBy("date").agg(F.sum("units").alias("units"), F.sum("cost").cast("double").alias("cost"), F.count("*").alias("n")), ", z as (select date, client, case when event_id % 4 = 0 then 0 else units end as units, cost from e) select date, cast(sum(units) as bigint) as units, cast(sum(cost) as double) as cost, count(*) as n from z where not (cost > 0 and units <= 0) or client = 'view' group by 1")
