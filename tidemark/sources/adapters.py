@@ -1,7 +1,7 @@
 """Usage facts from vendors' logs: an adapter says where the files are, how they are read and what each column means.
 
 Every adapter gives client, session_id, message_id, model_id, provider_id, timestamp_ms, the five kinds of units, cost,
-dedup_key and path. A row that is no usage is left out; a file that cannot be read loses only itself.
+message_count, dedup_key and path. A row that is no usage is left out; a file that cannot be read loses only itself.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ import json
 import sqlite3
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -18,7 +19,12 @@ from tidemark.functions import names
 from tidemark.operators import counters
 from tidemark.sources.logs import epoch_ms
 
-FACTS = ("client", "session_id", "message_id", "model_id", "provider_id", "timestamp_ms", "input", "output", "cache_read", "cache_write", "reasoning", "cost", "dedup_key", "path")
+FACTS = ("client", "session_id", "message_id", "model_id", "provider_id", "timestamp_ms", "input", "output", "cache_read", "cache_write", "reasoning", "cost", "message_count", "dedup_key", "path")
+
+
+#: columns of a file's lines, and the most bytes of a packed column
+LINES = "path string, modified_ms bigint, place bigint, line string"
+MOST_UNPACKED = 32 << 20
 
 
 def files(spark: SparkSession, root: str, glob: str) -> DataFrame:
@@ -55,8 +61,8 @@ def preferred_format(listed: DataFrame, better: str = "json", worse: str = "csv"
 
 
 def lossy_lines(spark: SparkSession, root: str, glob: str) -> DataFrame:
-    """path, place and line of text files, also of zstandard archives; bytes that are no UTF-8 become replacement characters, so one bad byte loses no line."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root).select("path", "content")
+    """path, place, line and time of change of text files, also of zstandard archives; bytes that are no UTF-8 become replacement characters, so one bad byte loses no line."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root).select("path", "content", F.unix_millis("modificationTime").alias("modified_ms"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import io
@@ -65,47 +71,66 @@ def lossy_lines(spark: SparkSession, root: str, glob: str) -> DataFrame:
 
         for batch in batches:
             for i in range(batch.num_rows):
-                path, raw = batch.column(0)[i].as_py(), io.BytesIO(batch.column(1)[i].as_py())
+                path, raw, changed_ms = batch.column(0)[i].as_py(), io.BytesIO(batch.column(1)[i].as_py()), batch.column(2)[i].as_py()
                 stream = zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True) if path.endswith(".zst") else raw
                 at, lines = 0, []
                 for line in io.TextIOWrapper(stream, encoding="utf-8", errors="replace", newline="\n"):
                     lines.append(line.rstrip("\r\n"))
                     if len(lines) == 10_000:
-                        yield _lines(path, at, lines)
+                        yield _lines(path, changed_ms, at, lines)
                         at, lines = at + len(lines), []
-                yield _lines(path, at, lines)
+                yield _lines(path, changed_ms, at, lines)
 
-    return found.mapInArrow(read, "path string, place bigint, line string")
+    return found.mapInArrow(read, LINES)
 
 
-def _lines(path: str, at: int, lines: list[str]) -> pa.RecordBatch:
+def _lines(path: str, changed_ms: int, at: int, lines: list[str]) -> pa.RecordBatch:
     n = len(lines)
-    return pa.RecordBatch.from_arrays([pa.array([path] * n, pa.string()), pa.array(range(at, at + n), pa.int64()), pa.array(lines, pa.string())], names=["path", "place", "line"])
+    columns = {"path": pa.array([path] * n, pa.string()), "modified_ms": pa.array([changed_ms] * n, pa.int64()), "place": pa.array(range(at, at + n), pa.int64()), "line": pa.array(lines, pa.string())}
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
+def _unpacked(kind: str | None, body: bytes | str | None) -> str | None:
+    """Text of a database's column that is plain or packed with zstandard; null if it is neither or too long."""
+    import zstandard
+
+    raw = body.encode() if isinstance(body, str) else body or b""
+    try:
+        if (kind or "").strip().lower() == "zstd":
+            raw = zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True).read(MOST_UNPACKED + 1)
+        elif (kind or "").strip().lower() != "json":
+            return None
+    except zstandard.ZstdError:
+        return None
+    return raw.decode("utf-8", "replace") if len(raw) <= MOST_UNPACKED else None
 
 
-def sqlite_rows(spark: SparkSession, root: str, glob: str, statement: str) -> DataFrame:
-    """path, place and, as a JSON object, each row of a statement over each database file; a task reads one database at a time."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root).select("path", "content")
+def sqlite_rows(spark: SparkSession, root: str, glob: str, statement: str | list[str]) -> DataFrame:
+    """path, place, time of change and, as a JSON object, each row of a statement over each database file; of several, the first that gives rows there. A task reads one database at a time."""
+    statements = [statement] if isinstance(statement, str) else statement
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root).select("path", "content", F.unix_millis("modificationTime").alias("modified_ms"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                path = batch.column(0)[i].as_py()
+                path, changed_ms, at = batch.column(0)[i].as_py(), batch.column(2)[i].as_py(), 0
                 base = sqlite3.connect(":memory:")
                 base.row_factory = sqlite3.Row
-                try:
-                    base.deserialize(batch.column(1)[i].as_py())
-                    cursor = base.execute(statement)
-                    at = 0
-                    while rows := cursor.fetchmany(10_000):
-                        yield _lines(path, at, [json.dumps(dict(r)) for r in rows])
-                        at += len(rows)
-                except sqlite3.DatabaseError:
-                    continue  # another schema, or no database: this file has no usage
-                finally:
-                    base.close()
-
-    return found.mapInArrow(read, "path string, place bigint, line string")
+                base.create_function("unpacked", 2, _unpacked)
+                base.deserialize(batch.column(1)[i].as_py())
+                for asked in statements:
+                    try:
+                        cursor = base.execute(asked)
+                        while rows := cursor.fetchmany(10_000):
+                            yield _lines(path, changed_ms, at, [json.dumps(dict(r), default=lambda b: b.decode("utf-8", "replace")) for r in rows])
+                            at += len(rows)
+                    except sqlite3.DatabaseError:
+                        continue  # another schema, or no database: this file has no such usage
+                    if at:
+                        break
+                base.close()
+
+    return found.mapInArrow(read, LINES)
 
 
 def fingerprints(spark: SparkSession, root: str, glob: str) -> DataFrame:
@@ -120,7 +145,7 @@ def changed(now: DataFrame, before: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Adapter:
-    """columns: SQL over the source's columns path, place and row (a parsed JSON value); keep: which rows are usage."""
+    """columns: SQL over the source's columns path, place, modified_ms and row (a parsed JSON value; kind text: a struct of the line); keep: which rows are usage."""
 
     client: str
     glob: str
@@ -128,12 +153,22 @@ class Adapter:
     schema: str = ""
     keep: str = "true"
     columns: dict[str, str] = field(default_factory=dict)
-    statement: str = ""
+    statement: str | list[str] = ""
     #: a text in row that is JSON again, and its schema: parsed as d
     inner: str = ""
     inner_schema: str = ""
     #: an array in row, each element of which is d
     each: str = ""
+    #: applied to the rows first, for what other rows of the file tell; then columns by name, each seeing those before it
+    prepare: Callable[[DataFrame], DataFrame] | None = None
+    also: dict[str, str] = field(default_factory=dict)
+    #: gives the rows where one file alone does not
+    read: Callable[[SparkSession, str], DataFrame] | None = None
+    #: the provider where nothing tells it; told: provider_id is taken as it stands
+    fallback: str = "unknown"
+    told: bool = False
+    #: which facts count
+    used: str = "greatest(input, output, cache_read, cache_write, reasoning) > 0"
     #: applied to the facts; for what no single row tells
     fold: Callable[[DataFrame], DataFrame] | None = None
 
@@ -179,14 +214,18 @@ ADAPTERS = {
 
 def _rows(spark: SparkSession, adapter: Adapter, root: str) -> DataFrame:
     """path, place and row (and d, the parsed data column of a database) of each JSON value that parses."""
+    if adapter.read:
+        return adapter.read(spark, root)
     if adapter.kind in ("array", "document"):
-        whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", adapter.glob).option("wholetext", "true").text(root).select(F.col("_metadata.file_path").alias("path"), "value")
+        whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", adapter.glob).option("wholetext", "true").text(root).select(F.col("_metadata.file_path").alias("path"), F.unix_millis("_metadata.file_modification_time").alias("modified_ms"), "value")
         shape = _typed(adapter.schema)
         parsed = F.posexplode(F.from_json("value", f"array<struct<{shape}>>")).alias("place", "row") if adapter.kind == "array" else F.from_json("value", f"struct<{shape}>").alias("row")
-        rows = whole.select("path", parsed).where("row is not null")
+        rows = whole.select("path", "modified_ms", parsed).where("row is not null")
     else:
         lines = sqlite_rows(spark, root, adapter.glob, adapter.statement) if adapter.kind == "sqlite" else lossy_lines(spark, root, adapter.glob)
-        rows = lines.select("path", "place", F.from_json("line", f"{adapter.schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}).alias("row")).where("row is not null and row._corrupt is null")
+        parsed = F.struct("line") if adapter.kind == "text" else F.from_json("line", f"{adapter.schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
+        rows = lines.select("path", "modified_ms", "place", parsed.alias("row"))
+        rows = rows if adapter.kind == "text" else rows.where("row is not null and row._corrupt is null")
     if adapter.each:
         rows = rows.select("*", F.explode(F.expr(adapter.each)).alias("d"))
     return rows.withColumn("d", F.from_json(F.expr(adapter.inner), adapter.inner_schema)).where("d is not null") if adapter.inner else rows
@@ -200,19 +239,28 @@ def _typed(ddl: str) -> str:
 
 
 def facts(spark: SparkSession, client: str, root: str) -> DataFrame:
-    """The usage facts of a client's files below root."""
-    adapter = ADAPTERS[client]
-    rows = _rows(spark, adapter, root)
+    """The usage facts of a client's files below root, in all formats that the client writes."""
+    from tidemark.sources import formats
+
+    known = ADAPTERS.get(client) or formats.FORMATS[client]
+    return reduce(DataFrame.unionByName, [_facts(spark, adapter, root) for adapter in (known if isinstance(known, tuple) else (known,))])
+
+
+def _facts(spark: SparkSession, adapter: Adapter, root: str) -> DataFrame:
+    client, rows = adapter.client, _rows(spark, adapter, root)
     if client == "codex":
         return _codex(rows)
+    rows = adapter.prepare(rows) if adapter.prepare else rows
+    for name, value in adapter.also.items():
+        rows = rows.withColumn(name, F.expr(value))
     get = lambda name, kind: F.expr(adapter.columns[name]).cast(kind) if name in adapter.columns else F.lit(None).cast(kind)
     units = {k: F.greatest(F.coalesce(get(k, "long"), F.lit(0)), F.lit(0)) for k in ("input", "output", "cache_read", "cache_write", "reasoning")}
     found = rows.where(adapter.keep).select(
         F.lit(client).alias("client"), *[get(c, "string").alias(c) for c in ("session_id", "message_id", "model_id")],
-        names.resolved_provider(get("provider_id", "string"), get("model_id", "string")).alias("provider_id"), epoch_ms(get("time", "string")).alias("timestamp_ms"),
-        *[u.alias(k) for k, u in units.items()], get("cost", "double").alias("cost"), get("dedup_key", "string").alias("dedup_key"), "path",
+        (get("provider_id", "string") if adapter.told else names.resolved_provider(get("provider_id", "string"), get("model_id", "string"), adapter.fallback)).alias("provider_id"), epoch_ms(get("time", "string")).alias("timestamp_ms"),
+        *[u.alias(k) for k, u in units.items()], get("cost", "double").alias("cost"), F.coalesce(get("message_count", "long"), F.lit(1)).alias("message_count"), get("dedup_key", "string").alias("dedup_key"), "path",
     ).select(*FACTS)
-    used = found.where(F.greatest("input", "output", "cache_read", "cache_write", "reasoning") > 0)
+    used = found.where(adapter.used)
     return adapter.fold(used) if adapter.fold else used
 
 
@@ -226,4 +274,4 @@ def _codex(rows: DataFrame) -> DataFrame:
     context = rows.select("path", "place", F.last("row.payload.model", ignorenulls=True).over(upto).alias("model_id"), F.col("row.timestamp").alias("time"))
     found = counters.deltas(reports, "path", "place").join(context, ["path", "place"])
     session = F.regexp_extract("path", r"([^/]+)\.jsonl(\.zst)?$", 1)
-    return found.select(F.lit("codex").alias("client"), session.alias("session_id"), F.col("place").cast("string").alias("message_id"), "model_id", F.lit("openai").alias("provider_id"), epoch_ms(F.col("time")).alias("timestamp_ms"), "input", "output", "cache_read", F.lit(0).cast("long").alias("cache_write"), "reasoning", F.lit(None).cast("double").alias("cost"), F.lit(None).cast("string").alias("dedup_key"), "path")
+    return found.select(F.lit("codex").alias("client"), session.alias("session_id"), F.col("place").cast("string").alias("message_id"), "model_id", F.lit("openai").alias("provider_id"), epoch_ms(F.col("time")).alias("timestamp_ms"), "input", "output", "cache_read", F.lit(0).cast("long").alias("cache_write"), "reasoning", F.lit(None).cast("double").alias("cost"), F.lit(1).cast("long").alias("message_count"), F.lit(None).cast("string").alias("dedup_key"), "path")
