@@ -105,9 +105,9 @@ def test_snapshot_and_journal(spark, put):
     def message(key, i, hit=None, written=None, role="assistant"):
         return {"id": key, "role": role, "timestamp": "2026-01-02T03:04:05Z", "tool_duration_ms": 5, "token_usage": {"input_tokens": i, "output_tokens": 1, "cache_read_input_tokens": hit, "cache_creation_input_tokens": written}}
 
-    root = put("session_1.json", {"id": "s", "provider_key": "anthropic", "model": "claude-x", "messages": [message("a", 10, 4), message("b", 10, 4, 0), message("c", 3, 9), {"id": "u", "role": "user"}]})
-    put("session_1.journal.jsonl", {"append_messages": [message("a", 20)]}, "{", {"meta": {"model": "gpt-5.4", "provider_key": "openai_codex"}, "append_messages": [message("d", 1), message(None, 2)]})
-    put("session_2.journal.jsonl", {"append_messages": [message("x", 20)]})
+    root = put("a b+c%/session_1.json", {"id": "s", "provider_key": "anthropic", "model": "claude-x", "messages": [message("a", 10, 4), message("b", 10, 4, 0), message("c", 3, 9), {"id": "u", "role": "user"}]})
+    put("a b+c%/session_1.journal.jsonl", {"append_messages": [message("a", 20)]}, "{", {"meta": {"model": "gpt-5.4", "provider_key": "openai_codex"}, "append_messages": [message("d", 1), message(None, 2)]})
+    put("a b+c%/session_2.journal.jsonl", {"append_messages": [message("x", 20)]})
     assert told(spark, "jcode", root) == [("s", "claude-x", "anthropic", (3, 1, 9, 0, 0)), ("s", "claude-x", "anthropic", (10, 1, 4, 0, 0)), ("s", "claude-x", "anthropic", (20, 1, 0, 0, 0)), ("s", "gpt-5.4", "openai", (1, 1, 0, 0, 0)), ("s", "gpt-5.4", "openai", (2, 1, 0, 0, 0))]
     assert {r["timestamp_ms"] for r in adapters.facts(spark, "jcode", root).collect()} == {AT - 5}
 

@@ -10,8 +10,8 @@ def test_status_updates_and_turns(spark, put):  # noqa: F811
     def update(i, key=None, at=AT / 1000, kind="StatusUpdate"):
         return {"timestamp": at, "message": {"type": kind, "payload": {"message_id": key, "token_usage": {"input_other": i, "output": 1, "inputCacheRead": 2}}}}
 
-    put("home/sessions/g/s1/wire.jsonl", {"type": "metadata"}, update(5, "m"), update(7, "m", AT / 1000 - 9), update(6, "m"), update(3), update(3), update(9, kind="Other"), "{")
-    put("home/config.json", {"model": "kimi-k2"})
+    put("my home/sessions/g/s1/wire.jsonl", {"type": "metadata"}, update(5, "m"), update(7, "m", AT / 1000 - 9), update(6, "m"), update(3), update(3), update(9, kind="Other"), "{")
+    put("my home/config.json", {"model": "kimi-k2"})
     put("bare/sessions/g/s2/wire.jsonl", update(1))
     record = {"type": "usage.record", "usageScope": "turn", "time": AT, "usage": {"inputOther": 4}}
     put("code/sessions/slug/s3/agents/main/wire.jsonl", {"type": "llm.request", "model": "kimi-code/k3", "time": AT - 700}, record, {**record, "usageScope": "session"}, record, {"type": "llm.request", "model": "__default__", "time": AT + 5}, {**record, "model": " own "})

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidemark.functions import names
 from tidemark.operators import counters
@@ -27,6 +27,11 @@ LINES = "path string, modified_ms bigint, place bigint, line string"
 MOST_UNPACKED = 32 << 20
 
 
+def text_path() -> Column:
+    """A text file's path as the other readers spell it: Spark gives it encoded as a URL."""
+    return F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
+
+
 def files(spark: SparkSession, root: str, glob: str) -> DataFrame:
     """path, size and time of each file below root whose name fits."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
@@ -217,7 +222,7 @@ def _rows(spark: SparkSession, adapter: Adapter, root: str) -> DataFrame:
     if adapter.read:
         return adapter.read(spark, root)
     if adapter.kind in ("array", "document"):
-        whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", adapter.glob).option("wholetext", "true").text(root).select(F.col("_metadata.file_path").alias("path"), F.unix_millis("_metadata.file_modification_time").alias("modified_ms"), "value")
+        whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", adapter.glob).option("wholetext", "true").text(root).select(text_path().alias("path"), F.unix_millis("_metadata.file_modification_time").alias("modified_ms"), "value")
         shape = _typed(adapter.schema)
         parsed = F.posexplode(F.from_json("value", f"array<struct<{shape}>>")).alias("place", "row") if adapter.kind == "array" else F.from_json("value", f"struct<{shape}>").alias("row")
         rows = whole.select("path", "modified_ms", parsed).where("row is not null")

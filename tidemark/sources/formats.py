@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidemark.functions import names
-from tidemark.sources.adapters import FACTS, Adapter, lossy_lines
+from tidemark.sources.adapters import FACTS, Adapter, lossy_lines, text_path
 
 STEM = "regexp_extract(path, '([^/]+)[.][^./]*$', 1)"
 FOLDER = "regexp_extract(path, '([^/]+)/[^/]+$', 1)"
@@ -62,7 +62,7 @@ _JCODE_MESSAGE = "array<struct<id string, role string, timestamp string, tool_du
 def _snapshots_and_journals(spark: SparkSession, root: str) -> DataFrame:
     """Messages of a session's snapshot and of the journal beside it, whose headings change the model from there on; a message told again is the later one."""
     text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "session_*.json").option("wholetext", "true").text(root)
-    snapshot = text.select(F.col("_metadata.file_path").alias("path"), F.unix_millis("_metadata.file_modification_time").alias("modified_ms"), F.from_json("value", f"id string, provider_key string, model string, messages {_JCODE_MESSAGE}").alias("s"))
+    snapshot = text.select(text_path().alias("path"), F.unix_millis("_metadata.file_modification_time").alias("modified_ms"), F.from_json("value", f"id string, provider_key string, model string, messages {_JCODE_MESSAGE}").alias("s"))
     told = snapshot.where("s is not null").select("path", F.lit(-1).cast("long").alias("place"), "modified_ms", F.expr(f"coalesce(s.id, {STEM})").alias("session"), "s.model", "s.provider_key", "s.messages")
     entry = F.from_json("line", f"meta struct<provider_key string, model string>, append_messages {_JCODE_MESSAGE}").alias("j")
     journal = lossy_lines(spark, root, "session_*.journal.jsonl").select("path", "place", "modified_ms", entry).where("j is not null")

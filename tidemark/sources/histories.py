@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tidemark.sources.adapters import Adapter, lossy_lines
+from tidemark.sources.adapters import Adapter, lossy_lines, text_path
 from tidemark.sources.formats import STEM, said, whole
 
 
-def _plain(path: str = "path") -> Column:
+def _plain(path: str | Column = "path") -> Column:
     """The path in one spelling, whichever reader gave it."""
     return F.regexp_replace(path, "^file:/+", "/")
 
@@ -16,7 +16,7 @@ def _plain(path: str = "path") -> Column:
 def documents(spark: SparkSession, root: str, glob: str, schema: str) -> DataFrame:
     """path, modified_ms, folder and row of whole JSON files that parse."""
     text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("wholetext", "true").text(root)
-    found = text.select(_plain("_metadata.file_path").alias("path"), F.unix_millis("_metadata.file_modification_time").alias("modified_ms"), F.from_json("value", schema).alias("row"))
+    found = text.select(_plain(text_path()).alias("path"), F.unix_millis("_metadata.file_modification_time").alias("modified_ms"), F.from_json("value", schema).alias("row"))
     return found.where("row is not null").withColumn("folder", F.regexp_replace("path", "/[^/]*$", ""))
 
 
