@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import audit, counting, decontaminate, html, infill, langid, neardup, packing, pii, secrets, suffix, topk
+from tidemark.llm import audit, counting, decontaminate, html, infill, langid, neardup, packing, phrases, pii, secrets, suffix, topk
 from tidemark.session import table
 
 
@@ -62,6 +62,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(audit.failing_masks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.with_next(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = infill.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
     rebuilt = infill.restored(F.col("output"), F.col("form"))
