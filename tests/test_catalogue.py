@@ -1,7 +1,7 @@
 import pytest
 
 from tests.oracle import compare
-from tidemark.plans import catalogue, costs, reports, values  # noqa: F401
+from tidemark.plans import catalogue, costs, reports, scans, values  # noqa: F401
 
 
 @pytest.mark.parametrize("name", catalogue.QUERIES)

@@ -108,21 +108,15 @@ def test_top_with_other_sorts_no_more_than_the_top(spark):
     assert plan.index("Window") < plan.index("GlobalLimit")
 
 
-def test_batches_merge_into_a_table(spark, tmp_path):
+def test_a_view_is_refreshed_beside_its_readers(spark, tmp_path):
     from tidemark.streaming import tables
 
-    rows = "user_id long, date string, client string, units long, revision long"
-    source, path = str(tmp_path / "in"), str(tmp_path / "table")
-    for n, batch in enumerate(([(1, "d", "a", 10, 1), (2, "d", "a", 5, 1)], [(1, "d", "a", 7, 1), (3, "d", "a", 1, 1)], [(1, "d", "a", 3, 2)])):
-        spark.createDataFrame(batch, rows).coalesce(1).write.mode("append").parquet(source)
-        stream = spark.readStream.schema(rows).parquet(source)
-        tables.merged_into(stream, path, str(tmp_path / "state"), tables.never_shrinks(["user_id", "date", "client"])).awaitTermination(120)
-        wanted = [{(1, 10), (2, 5)}, {(1, 10), (2, 5), (3, 1)}, {(1, 3), (2, 5), (3, 1)}][n]
-        assert {(r["user_id"], r["units"]) for r in tables.current(spark, path).collect()} == wanted
-    assert tables.current(spark, path, 1).count() == 2 and tables.current(spark, str(tmp_path / "none")) is None
-    merge = tables.incoming_wins("user_id", ["units"])
-    found = merge(spark.createDataFrame([(1, 1), (2, 2)], "user_id long, units long"), spark.createDataFrame([(2, 5, 10), (2, 9, 20)], "user_id long, units long, updated_ms long"))
-    assert {tuple(r) for r in found.collect()} == {(1, 1), (2, 9)}
+    path = str(tmp_path / "gold")
+    assert tables.current(spark, path) is None
+    for n in range(1, 5):
+        tables.refreshed(spark, path, lambda n=n: spark.range(n), n)
+        assert tables.current(spark, path).count() == n
+        if n > 1:
+            assert tables.current(spark, path, n).count() == n - 1
+    assert sorted(p.name for p in tmp_path.glob("gold/v=*")) == ["v=3", "v=4"]
     assert tables.read_again_from(10_000_000) == 6_100_000
-    tables.refreshed(spark, str(tmp_path / "gold"), lambda: found, 3)
-    assert tables.current(spark, str(tmp_path / "gold")).count() == 2

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidemark.session import share_package
 
 PARTS = ("input", "output", "cached", "reasoning")
+REPORT = [f"{kind}_{p}" for kind in ("total", "last") for p in PARTS]
 #: A total of at least so many hundredths of the one before is a late report, not a new count.
 LATE_PERCENT = 98
 
@@ -48,6 +49,13 @@ class Counter:
         return found
 
 
+def told(row: Sequence[int | None]) -> tuple[tuple[int, ...] | None, tuple[int, ...] | None]:
+    """Total and last of a report's eight values, each None where none of its parts is given; nothing counts below 0."""
+    parts = (row[: len(PARTS)], row[len(PARTS) :])
+    total, last = (tuple(max(x or 0, 0) for x in part) if any(x is not None for x in part) else None for part in parts)
+    return total, last
+
+
 def split(input_: int, output: int, cached: int, reasoning: int) -> tuple[int, int, int, int]:
     """Input without what was cached, output without reasoning, and both: parts that add up."""
     kept, thought = max(min(cached, input_), 0), min(max(reasoning, 0), max(output, 0))
@@ -67,7 +75,7 @@ def deltas(reports: DataFrame, log: str, order: str) -> DataFrame:
     Logs are dealt and sorted by Spark; a task walks its rows in order and holds one log's state, never a whole log.
     """
     share_package(reports.sparkSession)
-    columns = [f"{kind}_{p}" for kind in ("total", "last") for p in PARTS]
+    columns = REPORT
     source = reports.select(log, order, *[F.col(c).cast("long") for c in columns])
     schema = f"{source.schema[log].simpleString().replace(':', ' ')}, {source.schema[order].simpleString().replace(':', ' ')}, input bigint, output bigint, cache_read bigint, reasoning bigint"
 
@@ -79,9 +87,7 @@ def deltas(reports: DataFrame, log: str, order: str) -> DataFrame:
             for name, at, row in zip(batch[log], batch[order], values):
                 if name != current:
                     current, counter = name, Counter()
-                total, last = (tuple(part) if any(x is not None for x in part) else None for part in (row[:4], row[4:]))
-                total, last = (None if t is None else tuple(max(x or 0, 0) for x in t) for t in (total, last))
-                found = counter.add(total, last)
+                found = counter.add(*told(row))
                 if found is not None:
                     rows.append((name, at, *split(*found)))
             yield pd.DataFrame(rows, columns=[log, order, "input", "output", "cache_read", "reasoning"])
