@@ -43,10 +43,11 @@ def _numbers(spark: SparkSession, path: str, prefix: str) -> list[int]:
 
 
 def _manifest(spark: SparkSession, path: str, before: int | None = None) -> dict[int, int] | None:
-    """The version of each bucket that has rows; a row a bucket, so the driver can hold it."""
-    known = [n for n in _numbers(spark, f"{path}/_manifests", "m=") if before is None or n < before]
+    """The version of each bucket that has rows; a row a bucket, so the driver can hold it. None where the table has no buckets."""
+    every = _numbers(spark, f"{path}/_manifests", "m=")
+    known = [n for n in every if before is None or n < before]
     if not known:
-        return None
+        return {} if every else None
     return {r["bucket"]: r["version"] for r in spark.read.parquet(f"{path}/_manifests/m={known[-1]}").collect()}
 
 
