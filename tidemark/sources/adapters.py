@@ -6,27 +6,20 @@ message_count, dedup_key and path. A row that is no usage is left out; a file th
 
 from __future__ import annotations
 
-import json
-import sqlite3
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidemark.functions import names
 from tidemark.operators import counters
 from tidemark.sources.logs import epoch_ms
+from tidemark.sources.reading import lossy_lines, sqlite_rows
 
 FACTS = ("client", "session_id", "message_id", "model_id", "provider_id", "timestamp_ms", "input", "output", "cache_read", "cache_write", "reasoning", "cost", "message_count", "dedup_key", "path")
 
 
-#: columns of a file's lines, and the most bytes of a packed column
-LINES = "path string, modified_ms bigint, place bigint, line string"
-MOST_UNPACKED = 32 << 20
-
-
 def text_path() -> Column:
     """A text file's path as the other readers spell it: Spark gives it encoded as a URL."""
     return F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
@@ -65,79 +58,6 @@ def preferred_format(listed: DataFrame, better: str = "json", worse: str = "csv"
     return marked.where(F.col("__kind") != worse).unionByName(marked.where(F.col("__kind") == worse).join(there, "__stem", "left_anti").select(marked.columns)).drop("__stem", "__kind")
 
 
-def lossy_lines(spark: SparkSession, root: str, glob: str) -> DataFrame:
-    """path, place, line and time of change of text files, also of zstandard archives; bytes that are no UTF-8 become replacement characters, so one bad byte loses no line."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root).select("path", "content", F.unix_millis("modificationTime").alias("modified_ms"))
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import io
-
-        import zstandard
-
-        for batch in batches:
-            for i in range(batch.num_rows):
-                path, raw, changed_ms = batch.column(0)[i].as_py(), io.BytesIO(batch.column(1)[i].as_py()), batch.column(2)[i].as_py()
-                stream = zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True) if path.endswith(".zst") else raw
-                at, lines = 0, []
-                for line in io.TextIOWrapper(stream, encoding="utf-8", errors="replace", newline="\n"):
-                    lines.append(line.rstrip("\r\n"))
-                    if len(lines) == 10_000:
-                        yield _lines(path, changed_ms, at, lines)
-                        at, lines = at + len(lines), []
-                yield _lines(path, changed_ms, at, lines)
-
-    return found.mapInArrow(read, LINES)
-
-
-def _lines(path: str, changed_ms: int, at: int, lines: list[str]) -> pa.RecordBatch:
-    n = len(lines)
-    columns = {"path": pa.array([path] * n, pa.string()), "modified_ms": pa.array([changed_ms] * n, pa.int64()), "place": pa.array(range(at, at + n), pa.int64()), "line": pa.array(lines, pa.string())}
-    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
-
-
-def _unpacked(kind: str | None, body: bytes | str | None) -> str | None:
-    """Text of a database's column that is plain or packed with zstandard; null if it is neither or too long."""
-    import zstandard
-
-    raw = body.encode() if isinstance(body, str) else body or b""
-    try:
-        if (kind or "").strip().lower() == "zstd":
-            raw = zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True).read(MOST_UNPACKED + 1)
-        elif (kind or "").strip().lower() != "json":
-            return None
-    except zstandard.ZstdError:
-        return None
-    return raw.decode("utf-8", "replace") if len(raw) <= MOST_UNPACKED else None
-
-
-def sqlite_rows(spark: SparkSession, root: str, glob: str, statement: str | list[str]) -> DataFrame:
-    """path, place, time of change and, as a JSON object, each row of a statement over each database file; of several, the first that gives rows there. A task reads one database at a time."""
-    statements = [statement] if isinstance(statement, str) else statement
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root).select("path", "content", F.unix_millis("modificationTime").alias("modified_ms"))
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                path, changed_ms, at = batch.column(0)[i].as_py(), batch.column(2)[i].as_py(), 0
-                base = sqlite3.connect(":memory:")
-                base.row_factory = sqlite3.Row
-                base.create_function("unpacked", 2, _unpacked)
-                base.deserialize(batch.column(1)[i].as_py())
-                for asked in statements:
-                    try:
-                        cursor = base.execute(asked)
-                        while rows := cursor.fetchmany(10_000):
-                            yield _lines(path, changed_ms, at, [json.dumps(dict(r), default=lambda b: b.decode("utf-8", "replace")) for r in rows])
-                            at += len(rows)
-                    except sqlite3.DatabaseError:
-                        continue  # another schema, or no database: this file has no such usage
-                    if at:
-                        break
-                base.close()
-
-    return found.mapInArrow(read, LINES)
-
-
 def fingerprints(spark: SparkSession, root: str, glob: str) -> DataFrame:
     """path, size, time and content hash of each file: what tells whether it must be read again."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root).select("path", F.col("length").alias("size"), F.unix_millis("modificationTime").alias("modified_ms"), F.sha2("content", 256).alias("hash"))
@@ -190,8 +110,22 @@ _CODEX = "timestamp string, type string, payload struct<model string, type strin
 _CLAUDE = "type string, timestamp string, requestId string, sessionId string, message struct<id string, model string, usage struct<input_tokens bigint, output_tokens bigint, cache_read_input_tokens bigint, cache_creation_input_tokens bigint>>"
 _PI = "type string, id string, timestamp string, message struct<role string, model string, provider string, timestamp bigint, usage struct<input bigint, output bigint, cacheRead bigint, cacheWrite bigint, reasoning bigint, cost struct<total double>>>"
 _PI_COLUMNS = {"session_id": "regexp_extract(path, '([^/]+)\\\\.jsonl$', 1)", "message_id": "row.id", "model_id": "row.message.model", "provider_id": "row.message.provider", "time": "coalesce(cast(row.message.timestamp as string), row.timestamp)", "input": "row.message.usage.input", "output": "row.message.usage.output", "cache_read": "row.message.usage.cacheRead", "cache_write": "row.message.usage.cacheWrite", "reasoning": "row.message.usage.reasoning", "cost": "row.message.usage.cost.total", "dedup_key": "regexp_extract(path, '([^/]+)\\\\.jsonl$', 1) || ':' || row.id"}
-_HERMES = "select s.id as session_id, coalesce(u.model, s.model) as model, coalesce(u.billing_provider, s.billing_provider) as provider, s.started_at as started_at, sum(coalesce(u.input_tokens, s.input_tokens, 0)) as input, sum(coalesce(u.output_tokens, s.output_tokens, 0)) as output, sum(coalesce(u.cache_read_tokens, s.cache_read_tokens, 0)) as cache_read, sum(coalesce(u.cache_write_tokens, s.cache_write_tokens, 0)) as cache_write, sum(coalesce(u.reasoning_tokens, s.reasoning_tokens, 0)) as reasoning, sum(coalesce(nullif(u.actual_cost_usd, 0), u.estimated_cost_usd, nullif(s.actual_cost_usd, 0), s.estimated_cost_usd)) as cost from sessions s left join session_model_usage u on u.session_id = s.id group by 1, 2, 3, 4 having sum(coalesce(u.input_tokens, s.input_tokens, 0)) > 0 or sum(coalesce(u.output_tokens, s.output_tokens, 0)) > 0"
-_OPENCODE = "select id, session_id, data from message where json_extract(data, '$.role') = 'assistant' and json_extract(data, '$.tokens') is not null"
+#: Usage of sessions: by model where a build records that, else the session's own totals; a session's messages go with its own model first.
+_HERMES_USED = "input > 0 or output > 0 or cache_read > 0 or cache_write > 0 or reasoning > 0 or cost > 0"
+_HERMES_TOTALS = "select id as session_id, model, billing_provider as provider, started_at, message_count as messages, coalesce(input_tokens, 0) as input, coalesce(output_tokens, 0) as output, coalesce(cache_read_tokens, 0) as cache_read, coalesce(cache_write_tokens, 0) as cache_write, coalesce(reasoning_tokens, 0) as reasoning, coalesce(actual_cost_usd, estimated_cost_usd, 0) as cost from sessions where trim(model) <> ''"
+_HERMES_MODELS = f"""with each as (select u.session_id, u.model, u.billing_provider as provider, s.started_at, s.model as main, coalesce(s.message_count, 0) as all_messages, sum(u.input_tokens) as input, sum(u.output_tokens) as output, sum(u.cache_read_tokens) as cache_read,
+ sum(u.cache_write_tokens) as cache_write, sum(u.reasoning_tokens) as reasoning, sum(coalesce(nullif(u.actual_cost_usd, 0), u.estimated_cost_usd, 0)) as cost from session_model_usage u join sessions s on s.id = u.session_id where trim(u.model) <> '' group by 1, 2, 3, 4, 5, 6),
+ used as (select *, row_number() over (partition by session_id order by model <> main, model, provider) as nth from each where {_HERMES_USED})
+select session_id, model, provider, started_at, case nth when 1 then all_messages else 0 end as messages, input, output, cache_read, cache_write, reasoning, cost from used
+union all select * from ({_HERMES_TOTALS} and id not in (select session_id from session_model_usage)) where {_HERMES_USED}"""
+_HERMES = [_HERMES_MODELS, f"select * from ({_HERMES_TOTALS}) where {_HERMES_USED}"]
+#: builds that do not count messages
+_HERMES += [asked.replace("coalesce(s.message_count, 0)", "1").replace("message_count as messages", "1 as messages") for asked in _HERMES]
+_OPENCODE = [
+    # the second schema, then the first; of each the variant that the database has
+    *(f"select m.id, m.session_id, m.data, {title} as title from session_message m{join} where m.type = 'assistant' and json_extract(m.data, '$.tokens') is not null order by m.id, m.session_id" for join, title in ((" left join session_v2 s on s.id = m.session_id", "s.title"), (" left join session s on s.id = m.session_id", "s.title"), ("", "null"))),
+    *(f"select m.id, m.session_id, m.data, {title} as title from message m{join} where json_extract(m.data, '$.role') = 'assistant' and json_extract(m.data, '$.tokens') is not null order by m.id, m.session_id" for join, title in ((" left join session s on s.id = m.session_id", "s.title"), ("", "null"))),
+]
 _OPENCODE_ROW = "modelID string, providerID string, cost double, time struct<created bigint>, tokens struct<input bigint, output bigint, reasoning bigint, cache struct<read bigint, write bigint>>"
 _OPENCODE_COLUMNS = {"session_id": "row.session_id", "message_id": "row.id", "model_id": "d.modelID", "provider_id": "d.providerID", "time": "cast(d.time.created as string)", "input": "d.tokens.input", "output": "d.tokens.output", "cache_read": "d.tokens.cache.read", "cache_write": "d.tokens.cache.write", "reasoning": "d.tokens.reasoning", "cost": "d.cost", "dedup_key": "row.id"}
 _MUX = "struct<tokens bigint, cost_usd double>"
@@ -202,7 +136,7 @@ ADAPTERS = {
     "codex": Adapter("codex", "*.jsonl*", "lines", _CODEX, fold=None),
     "claude": Adapter("claude", "*.jsonl", "lines", _CLAUDE, "row.type = 'assistant' and row.message.usage is not null", {"session_id": "coalesce(row.sessionId, regexp_extract(path, '([^/]+)\\\\.jsonl$', 1))", "message_id": "row.message.id", "model_id": "row.message.model", "provider_id": "'anthropic'", "time": "row.timestamp", "input": "row.message.usage.input_tokens", "output": "row.message.usage.output_tokens", "cache_read": "row.message.usage.cache_read_input_tokens", "cache_write": "row.message.usage.cache_creation_input_tokens", "dedup_key": "case when row.requestId is not null then row.message.id || ':' || row.requestId else 'message:' || row.message.id end"}, fold=_by_larger),
     "codebuff": Adapter("codebuff", "chat-messages.json", "array", _CHAT, "row.variant = 'ai' and row.metadata.usage is not null", {"session_id": "regexp_extract(path, '/chats/([^/]+)/', 1)", "model_id": "row.metadata.model", "time": "row.timestamp", "input": "row.metadata.usage.inputTokens", "output": "row.metadata.usage.outputTokens", "cache_read": "row.metadata.usage.cacheReadInputTokens", "cache_write": "row.metadata.usage.cacheCreationInputTokens"}),
-    "hermes": Adapter("hermes", "state.db", "sqlite", "session_id string, model string, provider string, started_at double, input bigint, output bigint, cache_read bigint, cache_write bigint, reasoning bigint, cost double", columns={"session_id": "row.session_id", "model_id": "row.model", "provider_id": "row.provider", "time": "cast(row.started_at as string)", "input": "row.input", "output": "row.output", "cache_read": "row.cache_read", "cache_write": "row.cache_write", "reasoning": "row.reasoning", "cost": "row.cost", "dedup_key": "'hermes:' || row.session_id || ':' || row.model"}, statement=_HERMES),
+    "hermes": Adapter("hermes", "state.db", "sqlite", "session_id string, model string, provider string, started_at double, messages bigint, input bigint, output bigint, cache_read bigint, cache_write bigint, reasoning bigint, cost double", columns={"session_id": "row.session_id", "model_id": "row.model", "provider_id": "row.provider", "time": "cast(row.started_at as string)", "input": "row.input", "output": "row.output", "cache_read": "row.cache_read", "cache_write": "row.cache_write", "reasoning": "row.reasoning", "cost": "row.cost", "message_count": "row.messages", "dedup_key": "'hermes:' || row.session_id || ':' || row.model || ':' || coalesce(row.provider, '<null>')"}, statement=_HERMES, used="true"),
     **{client: Adapter(client, glob, "sqlite", "id string, session_id string, data string", columns=_OPENCODE_COLUMNS, statement=_OPENCODE, inner="row.data", inner_schema=_OPENCODE_ROW) for client, glob in (("opencode", "*.db"), ("kilo", "kilo.db"), ("micode", "*.db"))},
     **{client: Adapter(client, "ui_messages.json", "array", "type string, say string, text string, ts string, modelInfo struct<providerId string, modelId string>", "row.type = 'say' and row.say = 'api_req_started' and row.ts is not null", {"session_id": "regexp_extract(path, '([^/]+)/[^/]+$', 1)", "model_id": "coalesce(nullif(trim(row.modelInfo.modelId), ''), 'unknown')", "provider_id": "coalesce(d.apiProtocol, row.modelInfo.providerId)", "time": "row.ts", "input": "d.tokensIn", "output": "d.tokensOut", "cache_read": "d.cacheReads", "cache_write": "d.cacheWrites", "cost": "greatest(d.cost, 0)"}, inner="row.text", inner_schema="tokensIn bigint, tokensOut bigint, cacheReads bigint, cacheWrites bigint, cost double, apiProtocol string") for client in ("roocode", "kilocode", "cline")},
     "qwen": Adapter("qwen", "*.jsonl", "lines", "type string, model string, timestamp string, sessionId string, usageMetadata struct<promptTokenCount bigint, candidatesTokenCount bigint, thoughtsTokenCount bigint, cachedContentTokenCount bigint>", "row.type = 'assistant' and row.usageMetadata is not null", {"session_id": "coalesce(nullif(row.sessionId, ''), regexp_extract(path, '([^/]+)/[^/]+/[^/]+$', 1) || '-' || regexp_extract(path, '([^/]+)\\.jsonl$', 1))", "model_id": "coalesce(row.model, 'unknown')", "provider_id": "'qwen'", "time": "row.timestamp", "input": "row.usageMetadata.promptTokenCount", "output": "row.usageMetadata.candidatesTokenCount", "cache_read": "row.usageMetadata.cachedContentTokenCount", "reasoning": "row.usageMetadata.thoughtsTokenCount", "dedup_key": "'qwen:' || path || ':' || place"}),

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidemark.functions import names
-from tidemark.sources.adapters import FACTS, Adapter, lossy_lines, text_path
+from tidemark.sources.adapters import FACTS, Adapter, text_path
+from tidemark.sources.reading import lossy_lines
 
 STEM = "regexp_extract(path, '([^/]+)[.][^./]*$', 1)"
 FOLDER = "regexp_extract(path, '([^/]+)/[^/]+$', 1)"

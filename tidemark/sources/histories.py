@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tidemark.sources.adapters import Adapter, lossy_lines, text_path
+from tidemark.sources.adapters import Adapter, text_path
+from tidemark.sources.reading import lossy_lines
 from tidemark.sources.formats import STEM, said, whole
 
 

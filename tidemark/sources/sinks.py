@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Callable
 
-from tidemark.operators import aggregate as agg
+from pyspark.sql import DataFrame, DataFrameReader, functions as F
+from pyspark.sql.types import StructType
+
+from tidemark.operators import aggregate as agg, merge as mg
+from tidemark.session import cut_lineage
 
 SHARDS = 256
 
@@ -27,15 +31,40 @@ def pretty(document: DataFrame) -> DataFrame:
     return document.select(F.to_json(F.from_json("payload", schema), {"pretty": "true"}).alias("payload"))
 
 
-def write_ledger(rows: DataFrame, path: str, date: str = "date") -> None:
-    """JSON lines in a folder for each month; months that rows do not touch stay as they are."""
-    rows.withColumn("month", F.substring(date, 1, 7)).write.partitionBy("month").option("partitionOverwriteMode", "dynamic").mode("overwrite").json(path)
+def _merged(rows: DataFrame, path: str, parts: list[str], read: Callable[[DataFrameReader, str], DataFrame], merge: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """Rows with those that the folders of their parts have, cut from the files that are about to be replaced."""
+    spark = rows.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return merge(rows.limit(0), rows)
+    kinds = StructType([f for f in rows.schema.fields if f.name not in parts] + [rows.schema[p] for p in parts])
+    # touched folders alone are read: a semi join on partition columns is pruned at run time
+    stored = read(spark.read.schema(kinds), path).join(F.broadcast(rows.select(*parts).distinct()), parts, "left_semi")
+    return cut_lineage(merge(stored.select(rows.columns), rows), "merged")
+
+
+def write_ledger(rows: DataFrame, path: str, key: str, date: str = "date") -> None:
+    """JSON lines in a folder for each month, to which rows of new keys are added.
+
+    A row whose key the month has stays as it is there; of several new rows of one key the smallest counts. Months
+    that rows do not touch are not read. The key says in which month it is: a key that comes again under another
+    month is looked up in the months of all rows given.
+    """
+    dated = rows.withColumn("month", F.substring(date, 1, 7))
+    columns = [c for c in dated.columns if c != key]
+    one = dated.groupBy(key).agg(F.min(F.struct(*columns)).alias("row")).select(key, "row.*").select(dated.columns)
+    added = _merged(one, path, ["month"], lambda reader, p: reader.json(p), lambda stored, new: mg.ledger_append(stored, new, key))
+    added.repartition("month").write.partitionBy("month").option("partitionOverwriteMode", "dynamic").mode("overwrite").json(path)
 
 
 def write_cache(rows: DataFrame, path: str, key: str) -> None:
-    """Parquet in a folder for each client and shard of the key; only shards that rows touch are replaced."""
+    """Parquet in a folder for each client and shard of the key; rows replace those of their client and key, and all others of the shards that they touch stay."""
+    keys = ["client", key]
     sharded = rows.withColumn("shard", F.pmod(F.xxhash64(key), F.lit(SHARDS)).cast("int"))
-    sharded.repartition("client", "shard").write.partitionBy("client", "shard").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+    columns = [c for c in sharded.columns if c not in keys]
+    one = sharded.groupBy(*keys).agg(F.max(F.struct(*columns)).alias("row")).select(*keys, "row.*").select(sharded.columns)
+    added = _merged(one, path, ["client", "shard"], lambda reader, p: reader.parquet(p), lambda stored, new: inserted(stored, new, keys))
+    added.repartition("client", "shard").write.partitionBy("client", "shard").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
 
 
 def inserted(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:

@@ -141,7 +141,8 @@ def appended(spark: SparkSession, root: str, glob: str, marks: DataFrame | None)
 
     lines: path, place (the byte where the line begins), line and anew, true where the file is not the one that was
     marked (shorter, or other bytes before the mark) and so is read from its start. A line without its end waits for
-    the next call. marks: path, offset, guard; a file that is gone loses its mark, one that cannot be opened keeps it.
+    the next call. marks: path, offset, guard; a file that is gone or
+    empty loses its mark, one that cannot be opened keeps it.
     Only bytes behind the mark and a few samples before it are read; a task reads one file in blocks.
     """
     share_package(spark)
@@ -182,5 +183,5 @@ def appended(spark: SparkSession, root: str, glob: str, marks: DataFrame | None)
         return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([None], pa.int64()), pa.array([None], pa.string()), pa.array([anew]), pa.array([offset], pa.int64()), pa.array([guard], pa.string())], names=names)
 
     # files are dealt out by path: the listing itself is one small partition
-    both = cut_lineage(known.repartition("path").mapInArrow(read, schema), "appended")
+    both = cut_lineage(known.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path").mapInArrow(read, schema), "appended")
     return both.where("offset is null").select("path", "place", "line", "anew"), both.where("offset is not null").select("path", "offset", "guard")
