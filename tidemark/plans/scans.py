@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tidemark.operators import changes as ch
+from tidemark.operators import changes as ch, matching, merge as mg, trees
 from tidemark.plans.catalogue import query
 from tidemark.session import table
 
@@ -48,3 +48,60 @@ def _changes_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
 query("snapshot_changes", f"with {_SNAPSHOTS} select * from found")(_snapshot_changes)
 query("changes_since_mark", f"with {_SNAPSHOTS} select * from found")(_changes_since_mark)
 query("changes_applied", f"with {_SNAPSHOTS} select key, event_type, user_id, value, props from n")(_changes_applied)
+
+# Trees over all events: a user's events are a log, each below the one before it; every seventh goes back three places, and some name a parent that is not there
+_NTH = "n0 as (select event_id, user_id, event_type, epoch_us(ts) as at, row_number() over (partition by user_id order by ts, event_id) as n from events)"
+_TREE = f"""{_NTH}, t as (select user_id, event_id, n, event_type, case when event_id % 1009 = 5 then -n when n = 1 then null when n % 7 = 0 then n - 3 else n - 1 end as up from n0)"""
+
+
+def _nth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return table(spark, sf_dir, "events").withColumn("n", F.row_number().over(order).cast("long"))
+
+
+def _active_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    up = F.when(F.col("event_id") % 1009 == 5, -F.col("n")).when(F.col("n") == 1, None).when(F.col("n") % 7 == 0, F.col("n") - 3).otherwise(F.col("n") - 1)
+    return trees.on_last_branch(_nth(spark, sf_dir).withColumn("up", up).withColumn("place", F.col("n")), ["user_id"], "n", "up", "place")
+
+
+query(
+    "active_branches",
+    f"""with recursive {_TREE}, leaf as (select user_id, max(n) as n from t group by 1),
+w as (select t.user_id, t.n, t.up from t join leaf using (user_id, n) union select t.user_id, t.n, t.up from w join t on t.user_id = w.user_id and t.n = w.up),
+broken as (select distinct user_id from w where up < 0) select t.user_id, t.n, t.user_id in (from broken) or exists (select 1 from w where w.user_id = t.user_id and w.n = t.n) as active from t""",
+)(_active_branches)
+
+
+def _inner_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = _nth(spark, sf_dir).select("user_id", "n", F.when(F.col("n") > 1, F.floor(F.col("n") / 2)).alias("up"), (F.col("event_type") == "purchase").alias("invokes"))
+    return trees.below_marked(spans, ["user_id"], "n", "up", "invokes")
+
+
+query(
+    "inner_spans",
+    f"""with recursive {_NTH}, t as (select user_id, n, case when n > 1 then n // 2 end as up, event_type = 'purchase' as invokes from n0),
+w as (select user_id, n, up, false as below from t union all select w.user_id, w.n, t.up, t.invokes from w join t on t.user_id = w.user_id and t.n = w.up)
+select user_id, n, bool_or(below) as below from w group by 1, 2""",
+)(_inner_spans)
+query(
+    "best_lanes",
+    """with l as (select event_id, user_id % 50 as scope, case event_type when 'view' then 3 when 'click' then 2 when 'purchase' then 1 else 0 end as lane, case when event_id % 4 > 0 then event_id // 7 end as trace, case when event_id % 5 > 0 then user_id end as response from events)
+select event_id from l where not exists (select 1 from l o where o.scope = l.scope and o.lane < l.lane and o.trace = l.trace) and not exists (select 1 from l o where o.scope = l.scope and o.lane < l.lane and o.response = l.response)""",
+)(
+    lambda spark, sf: mg.best_lane(
+        table(spark, sf, "events").select("event_id", (F.col("user_id") % 50).alias("scope"), F.expr("case event_type when 'view' then 3 when 'click' then 2 when 'purchase' then 1 else 0 end").alias("lane"), F.expr("if(event_id % 4 > 0, event_id div 7, null)").alias("trace"), F.expr("if(event_id % 5 > 0, user_id, null)").alias("response")),
+        "lane", ["scope"], ["trace", "response"],
+    ).select("event_id")
+)
+
+
+def _matched_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases and clicks of a user as two kinds of rows that tell of the same, at most a day apart; no SQL: which matching is cheapest is tested against enumeration."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), "event_type").withColumn("day", F.expr("at div 86400"))
+    a = events.where("event_type = 'purchase'").select(F.col("event_id").alias("left"), "user_id", "at", F.explode(F.array(F.col("day") - 1, F.col("day"), F.col("day") + 1)).alias("day"))
+    b = events.where("event_type = 'click'").select(F.col("event_id").alias("right"), "user_id", F.col("at").alias("then"), "day")
+    edges = a.join(b, ["user_id", "day"]).withColumn("cost", F.abs(F.col("at") - F.col("then"))).where("cost <= 86400")
+    return matching.matched(edges)
+
+
+query("matched_responses")(_matched_responses)
