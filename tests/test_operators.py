@@ -120,3 +120,39 @@ def test_a_view_is_refreshed_beside_its_readers(spark, tmp_path):
             assert tables.current(spark, path, n).count() == n - 1
     assert sorted(p.name for p in tmp_path.glob("gold/v=*")) == ["v=3", "v=4"]
     assert tables.read_again_from(10_000_000) == 6_100_000
+
+
+def test_fragments_begin_and_end_where_words_do(spark):
+    texts = ["azure/gpt-5.4-codex", "a--b", "", None, "-x-", "gpt5", "día/ñandú-2"]
+
+    def plain(text):
+        word = str.isalnum
+        n = len(text)
+        return sorted({text[a:e] for a in range(n) for e in range(a + 1, n + 1) if (a == 0 or not word(text[a - 1])) and (e == n or not word(text[e]))})
+
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", pricing.fragments(F.col("t"), 1).alias("f")).collect()
+    assert all(sorted(r["f"] or []) == plain(r["t"] or "") for r in found)
+
+
+def test_pricing_stages_sources_and_custom_rates(spark):
+    rates = spark.createDataFrame(
+        [
+            ("openai/gpt-9-turbo", "openai", "second", 2.0, None), ("azure/gpt-9-turbo", "azure", "first", 3.0, None), ("gpt-9", "openai", "second", None, None), ("gpt-9-empty", "openai", "first", float("nan"), -1.0),
+            ("poe/gpt-9-turbo-xl", "poe", "second", 9.0, 9.0), ("glm-9", "zai", "first", 0.0, 0.0), ("vendor/claude-9", "vendor", "first", 5.0, 5.0),
+        ],
+        "key string, provider string, source string, input double, output double",
+    )
+    price = lambda *names, **more: {r["model_id"]: (r["key"], r["stage"]) for r in pricing.look_up(spark.createDataFrame([(n,) for n in names], "model_id string"), rates, **more).collect()}
+    # a row of nulls is no candidate: the name is then found inside others, the vendor's own row first, the longest without it
+    found = price("gpt-9", "gpt-9-empty", "claude", "laude-9", "9-turbo", "glm-9")
+    assert found == {"gpt-9": ("openai/gpt-9-turbo", 6), "9-turbo": ("openai/gpt-9-turbo", 6), "glm-9": ("glm-9", 0)}
+    # the order of sources goes before what the catalogue's rows are
+    assert price("gpt-9-turbo") == {"gpt-9-turbo": ("openai/gpt-9-turbo", 0)}
+    assert price("gpt-9-turbo", sources=["first", "second"]) == {"gpt-9-turbo": ("azure/gpt-9-turbo", 0)}
+    custom = spark.createDataFrame([("GPT-9-Turbo", 0.5, 0.5), ("glm-9", None, None)], "key string, input double, output double")
+    assert price("gpt-9-TURBO", "glm-9", custom=custom) == {"gpt-9-TURBO": ("GPT-9-Turbo", -1), "glm-9": ("glm-9", 0)}
+    hinted = lambda hint: pricing.look_up(spark.createDataFrame([("gpt-9-turbo", hint)], "model_id string, hint string"), rates).first()["key"]
+    assert (hinted("azure"), hinted("openai"), hinted("")) == ("azure/gpt-9-turbo", "openai/gpt-9-turbo", "openai/gpt-9-turbo")
+    sure = {r["model_id"]: tuple(r)[1:] for r in pricing.evidence(spark.createDataFrame([("gpt-9-turbo",), ("glm-9",), ("none-such",)], "model_id string"), rates).collect()}
+    assert sure == {"gpt-9-turbo": (2, False, True, 0), "glm-9": (1, True, True, 0)}
+    assert pricing.look_up(spark.createDataFrame([], "model_id string"), rates).count() == 0

@@ -13,7 +13,14 @@ WHOLE_OPENAI, WHOLE_XAI = 272_000, 200_000
 ROUTING = ["auto", "agent_review"]
 RESELLERS = ["azure_ai", "bedrock", "openrouter", "together_ai", "fireworks_ai"]
 LEVELS = "low|medium|high|xhigh|minimal|none"
+# Vendors that publish their own models, and words that name no model of their own.
+ORIGINALS = ["x-ai", "xai", "anthropic", "openai", "google", "meta-llama", "mistralai", "minimax", "deepseek", "z-ai", "qwen", "cohere", "perplexity", "moonshotai"]
+GENERAL = ["auto", "mini", "chat", "base", "claude", "anthropic", "gemini", "model", "router", "default"]
 MOST_SUFFIX, MOST_PREFIX, LEAST_NAME, LEAST_INSIDE = 4, 2, 2, 5
+#: Columns of a catalogue that hold rates; a row without any is no price.
+RATES = ("input", "output", "cache_read", "cache_write")
+#: Stages of names: custom prices, names as they are, names inside catalogue names, shortened names.
+CUSTOM, INSIDE, SHORTER = -1, 6, 8
 #: Largest catalogue that is broadcast, in rows; a larger one is joined by shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -95,18 +102,16 @@ def refused(model: Column, provider: Column) -> Column:
 def candidates(models: DataFrame) -> DataFrame:
     """model_id, hint, key and stage of each name under which a distinct model may stand in the catalogue: linear in its parts.
 
-    Stages: as written, canonical, without its path, then without up to four last parts, then without up to two first
+    Stages: as written, canonical, without its path; then without up to four last parts, then without up to two first
     ones; each followed by the same with its separators alike.
     """
     ids = models.select("model_id", "hint").distinct().where(~refused(F.col("model_id"), F.col("hint")))
-    name = F.lower(F.trim("model_id"))
-    plain = names.canonical_model(F.col("model_id"))
-    last = F.element_at(F.split(plain, "/"), -1)
+    name, plain, last = _names(F.col("model_id"))
     parts = F.split(last, "-")
     n = F.size(parts)
     # the number of parts that may go leaves one at least
-    shorter = F.transform(F.sequence(F.lit(1), F.lit(MOST_SUFFIX)), lambda k: F.struct(F.when(k < n, F.array_join(F.slice(parts, 1, F.greatest(n - k, F.lit(0))), "-")).alias("key"), (k + 2).alias("stage")))
-    later = F.transform(F.sequence(F.lit(1), F.lit(MOST_PREFIX)), lambda k: F.struct(F.when(k < n, F.array_join(F.slice(parts, k + 1, n), "-")).alias("key"), (k + 2 + MOST_SUFFIX).alias("stage")))
+    shorter = F.transform(F.sequence(F.lit(1), F.lit(MOST_SUFFIX)), lambda k: F.struct(F.when(k < n, F.array_join(F.slice(parts, 1, F.greatest(n - k, F.lit(0))), "-")).alias("key"), (k - 1 + SHORTER // 2).alias("stage")))
+    later = F.transform(F.sequence(F.lit(1), F.lit(MOST_PREFIX)), lambda k: F.struct(F.when(k < n, F.array_join(F.slice(parts, k + 1, n), "-")).alias("key"), (k - 1 + SHORTER // 2 + MOST_SUFFIX).alias("stage")))
     first = F.array(*[F.struct(k.alias("key"), F.lit(i).alias("stage")) for i, k in enumerate((name, plain, last))])
     found = ids.select("model_id", "hint", F.explode(F.concat(first, shorter, later)).alias("c")).select("model_id", "hint", "c.key", "c.stage")
     # each name as it is, then with its separators alike
@@ -115,34 +120,91 @@ def candidates(models: DataFrame) -> DataFrame:
     return found.where(F.length("key") >= LEAST_NAME).groupBy("model_id", "hint", "key").agg(F.min("stage").alias("stage"))
 
 
-def look_up(models: DataFrame, rates: DataFrame) -> DataFrame:
-    """The catalogue row (key, and all its other columns) of each distinct model_id and hint; models without one are absent.
+def _names(model: Column) -> tuple[Column, Column, Column]:
+    plain = names.canonical_model(model)
+    return F.lower(F.trim(model)), plain, F.element_at(F.split(plain, "/"), -1)
+
 
-    rates: key, and any columns; a column provider is used where it is there. All candidate names meet the catalogue in
-    one equi-join. Of the rows found the earliest stage counts, then the hinted provider, the vendor of the model's
-    family, no reseller, the longest and the first key.
+def fragments(name: Column, least: int = LEAST_INSIDE) -> Column:
+    """Every part of a name that begins and ends where a word does: before it no letter or digit, and none after it.
+
+    A name of w words has about w * w / 2 such parts; they are the index by which names inside others are found.
     """
-    wanted = models if "hint" in models.columns else models.withColumn("hint", F.lit(None).cast("string"))
-    catalogue = rates.withColumn("__name", F.lower("key"))
+    size = F.length(name)
+    places = F.sequence(F.lit(1), size)
+    sign = lambda at: F.regexp_like(F.substr(name, at, F.lit(1)), F.lit(r"[^\p{L}\p{N}]"))
+    starts = F.filter(places, lambda at: (at == 1) | sign(at - 1))
+    ends = F.filter(places, lambda at: (at == size) | sign(at + 1))
+    parts = F.flatten(F.transform(starts, lambda a: F.transform(F.filter(ends, lambda e: e >= a + (least - 1)), lambda e: F.substr(name, a, e - a + 1))))
+    return F.when(size > 0, F.array_distinct(parts))
+
+
+def _found(wanted: DataFrame, rates: DataFrame, custom: DataFrame | None) -> DataFrame:
+    """Every usable catalogue row of a model and hint with the stage at which its name was found."""
+    told = [c for c in RATES if c in rates.columns]
+    usable = F.exists(F.array(*[F.col(c).cast("double") for c in told]), lambda r: _rate(r).isNotNull()) if told else F.lit(True)
+    catalogue = rates.where(usable).withColumn("__name", F.lower("key"))
     paths = catalogue.withColumn("__name", F.explode(F.array_distinct(F.array(F.col("__name"), names.alias_key(F.col("__name")), F.element_at(F.split("__name", "/"), -1)))))
     if rates.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         paths = F.broadcast(paths)
-    names_ = candidates(wanted)
-    found = names_.withColumnRenamed("key", "__name").join(paths, "__name")
-    by = names.canonical_provider(F.col("provider")) if "provider" in rates.columns else names.canonical_provider(F.when(F.contains("key", F.lit("/")), F.element_at(F.split("key", "/"), 1)))
-    ranked = found.withColumn("__by", by)
-    order = [F.col("stage"), F.coalesce((F.col("__by") == names.canonical_provider(F.col("hint"))).cast("int"), F.lit(0)).desc(), F.coalesce((F.col("__by") == names.inferred_provider(F.col("model_id"))).cast("int"), F.lit(0)).desc(), F.coalesce(F.col("__by").isin(RESELLERS).cast("int"), F.lit(0)), F.length("key").desc(), F.col("key")]
+    whole = candidates(wanted).withColumnRenamed("key", "__name").join(paths, "__name")
+    # names inside others meet by their parts in an equi-join, never each with each
+    ids = wanted.select("model_id", "hint").distinct().where(~refused(F.col("model_id"), F.col("hint")))
+    asked = ids.select("model_id", "hint", F.explode(F.array_distinct(F.array(*_names(F.col("model_id"))))).alias("__name")).where((F.length("__name") >= LEAST_INSIDE) & ~F.col("__name").isin(GENERAL))
+    parts = catalogue.withColumn("__name", F.explode(fragments(F.col("__name"))))
+    inside = asked.join(parts, "__name").withColumn("stage", F.lit(INSIDE))
+    found = whole.unionByName(inside.select(whole.columns))
+    if custom is not None:
+        own = custom.where(F.exists(F.array(*[F.col(c).cast("double") for c in told]), lambda r: _rate(r).isNotNull()) if told else F.lit(True)).withColumn("__name", F.lower("key"))
+        written = ids.select("model_id", "hint", F.explode(F.array_distinct(F.array(F.lower("model_id"), F.lower(names.gateway_model(F.col("model_id")))))).alias("__name"), F.lit(CUSTOM).alias("stage"))
+        found = found.unionByName(written.join(own, "__name").select("model_id", "hint", "__name", "stage", *own.drop("__name").columns), allowMissingColumns=True)
+    return found
+
+
+def _ordered(found: DataFrame, sources: list[str]) -> tuple[DataFrame, list[Column]]:
+    """The rows found with what ranks them: stage, source, hint, who publishes the row, the longest and the first key."""
+    root = F.when(F.contains("key", F.lit("/")), F.lower(F.element_at(F.split("key", "/"), 1)))
+    by = F.coalesce(names.canonical_provider(F.col("provider")), names.canonical_provider(root)) if "provider" in found.columns else names.canonical_provider(root)
+    hint, resold = names.canonical_provider(F.col("hint")), F.coalesce(F.coalesce(root, by).isin(RESELLERS), F.lit(False))
+    yes = lambda c: F.coalesce(c.cast("int"), F.lit(0))
+    # a hint that is a reseller itself asks for resellers' rows
+    wants_resold = F.coalesce(F.lower("hint").isin(RESELLERS), F.lit(False))
+    source = F.coalesce(F.array_position(F.array(*map(F.lit, sources)), F.col("source")), F.lit(0)) if sources and "source" in found.columns else F.lit(1)
+    ranked = found.withColumns({
+        "__hinted": yes(by == hint), "__vendor": yes(by == names.inferred_provider(F.col("model_id"))), "__original": yes(root.isin(ORIGINALS)), "__resold": (resold != wants_resold).cast("int"),
+        "__source": F.when(source > 0, source).otherwise(len(sources) + 1), "__long": F.length("key"),
+    })
+    best = [F.col("stage"), F.col("__hinted").desc(), F.col("__source"), F.col("__vendor").desc(), F.col("__original").desc(), F.col("__resold"), F.col("__long").desc(), F.col("key")]
+    rest = [F.col(c) for c in found.columns if c not in ("model_id", "hint", "key", "stage", "__name")]
+    return ranked, [*best, *rest]
+
+
+def look_up(models: DataFrame, rates: DataFrame, custom: DataFrame | None = None, sources: list[str] | None = None) -> DataFrame:
+    """The catalogue row (key, and all its other columns) of each distinct model_id and hint; models without one are absent.
+
+    rates: key, and any columns; provider and source are used where they are there, the source by the order of sources.
+    Rows without a usable rate are no candidates. custom: rows of the same kind that stand before all others where the
+    model is written as they are, whatever its case. All candidate names meet the catalogue in equi-joins: whole names,
+    and names that stand inside a catalogue name. Of the rows found the earliest stage counts, then the hinted
+    provider, the source, the vendor of the model's family, a vendor's own row, no reseller (or one, where the hint is
+    a reseller), the longest and the first key.
+    """
+    wanted = models if "hint" in models.columns else models.withColumn("hint", F.lit(None).cast("string"))
+    ranked, order = _ordered(_found(wanted, rates, custom), sources or [])
     first = ranked.withColumn("__place", F.row_number().over(Window.partitionBy("model_id", "hint").orderBy(*order))).where("__place = 1")
-    kept = first.drop("__place", "__by", "__name")
+    kept = first.select("model_id", "hint", "key", "stage", *[c for c in rates.columns if c != "key"])
     return kept if "hint" in models.columns else kept.drop("hint")
 
 
-def evidence(models: DataFrame, rates: DataFrame) -> DataFrame:
-    """Of each distinct model: rows of its earliest stage, whether all have the same input and output rates, and whether the name stood as written."""
+def evidence(models: DataFrame, rates: DataFrame, custom: DataFrame | None = None) -> DataFrame:
+    """How sure a price is: of each distinct model and hint the rows of its earliest stage, whether all have the same input and output rates, whether the name stood as written, and the stage."""
     wanted = models if "hint" in models.columns else models.withColumn("hint", F.lit(None).cast("string"))
-    found = candidates(wanted).join(rates.withColumnRenamed("key", "__key"), F.col("key") == F.lower("__key"))
+    found = _found(wanted, rates, custom)
     best = found.withColumn("__first", F.min("stage").over(Window.partitionBy("model_id", "hint"))).where("stage = __first")
-    return best.groupBy("model_id").agg(F.count("*").alias("n_candidates"), (F.count_distinct("input", "output") == 1).alias("consensus"), (F.min("stage") == 0).alias("exact"))
+    told = best.dropDuplicates(["model_id", "hint", "key", *[c for c in rates.columns if c != "key"]])
+    counted = told.groupBy("model_id", "hint").agg(F.count("*").alias("n_candidates"), F.count_distinct(F.struct(F.coalesce("input", F.lit(-1.0)), F.coalesce("output", F.lit(-1.0)))).alias("prices"), F.min("stage").alias("stage"))
+    found = counted.select("model_id", "hint", "n_candidates", (F.col("prices") == 1).alias("consensus"), F.col("stage").isin(CUSTOM, 0).alias("exact"), "stage")
+    return found if "hint" in models.columns else found.drop("hint")
 
 
 def borrowed(hinted: DataFrame, canonical: DataFrame, key: str, base: tuple[str, ...], more: tuple[str, ...], tolerance: float = 1e-9) -> DataFrame:

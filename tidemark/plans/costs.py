@@ -68,10 +68,34 @@ def _priced_rows(spark: SparkSession, sf: str) -> DataFrame:
 _VALUES = ", ".join(f"('{m}', {h}, '{k}', {dict((c[0], c[2]) for c in CATALOGUE)[k]})" for m, both in PRICED.items() for h, k in enumerate(both))
 _LIST = ", ".join(f"'{m}'" for m in MODELS)
 query("staged_price_lookup", f"with {_E}, m as (select *, ([{_LIST}])[event_id % {len(MODELS)} + 1] as name from e), p(name, hinted, key, rate) as (values {_VALUES}) select event_id, m.name as model_id, key, units * cast(rate as double) as cost from m left join p on p.name = m.name and hinted = (event_id + 1) % 2")(_priced_rows)
-query("priceless_models", f"select name as model_id from (select unnest([{_LIST}]) as name) where name in ('auto', 'gpt-5.4(strange)')")(lambda spark, sf: spark.createDataFrame([(m,) for m in MODELS], "model_id string").where(pricing.refused(F.col("model_id"), F.lit(None).cast("string"))))
+_ODD = """case event_id % 6 when 0 then 'auto' when 1 then ' Agent_Review ' when 2 then client || '(high)' when 3 then client || ' (odd one)' when 4 then 'auto-' || client else client end"""
+_BY = """case event_id % 5 when 0 then 'unpriced' when 1 then 'Unpriced:' || client when 2 then 'openai' when 3 then 'unpriceds' end"""
+_events("priceless_models", lambda e: e.select("event_id", pricing.refused(F.expr(_ODD), F.expr(_BY)).alias("refused")), "select event_id, event_id % 6 in (0, 1, 3) or event_id % 5 in (0, 1) as refused from e")
 query("borrowed_rates", "select p_partkey, case when p_size % 3 > 0 then p_retailprice end as input, coalesce(case when p_size % 2 = 0 then 1.0 end, case when p_size % 3 = 0 or p_size % 5 > 0 then 2.0 end)::double as cache_read from part")(
     lambda spark, sf: (lambda t: pricing.borrowed(t.select("p_partkey", F.when(F.col("p_size") % 3 > 0, F.col("p_retailprice")).alias("input"), F.when(F.col("p_size") % 2 == 0, 1.0).alias("cache_read")), t.select("p_partkey", F.when(F.col("p_size") % 5 > 0, F.col("p_retailprice")).otherwise(F.col("p_retailprice") + 1).alias("input"), F.lit(2.0).alias("cache_read")), "p_partkey", ("input",), ("cache_read",)))(table(spark, sf, "part"))
 )
-query("price_evidence", "select * from (values ('gpt-5.4-codex', 1::bigint, true, true), ('Claude-Opus-4-6', 1, true, true), ('glm-4.6-air', 1, true, false)) as t(model_id, n_candidates, consensus, exact)")(
-    lambda spark, sf: pricing.evidence(spark.createDataFrame([("gpt-5.4-codex",), ("Claude-Opus-4-6",), ("glm-4.6-air",), ("nothing-here",)], "model_id string"), spark.createDataFrame(CATALOGUE, "key string, provider string, input double, output double"))
+
+# Lookups over names made of the parts: a catalogue of brand/name-size with a price each, a fifth of it without one; models are names, with a size, or with more after it
+_PART_RATES = """p as (select *, replace(p_name, ' ', '-') as name, 'maker' || translate(p_brand, 'Brand#0123456789', '      abcdefghij') as brand0 from part),
+p1 as (select * exclude brand0, replace(brand0, ' ', '') as brand from p),
+c as (select brand || '/' || name || '-' || p_size as key, min(case when p_partkey % 5 > 0 then p_retailprice end) as input from p1 group by 1),
+m as (select distinct case p_partkey % 4 when 0 then name when 1 then name || '-' || p_size when 2 then name || '-' || p_size || '-fast' else upper(name) || '.' || p_size end as model_id, case when p_partkey % 3 = 0 then brand else '' end as hint from p1),
+n as (select *, lower(model_id) as low, replace(lower(model_id), '.', '-') as alike from m),
+f as (select n.*, c.key, c.input, split_part(c.key, '/', 2) as tail, split_part(c.key, '/', 1) as brand from n join c on c.input is not null and (contains(c.key, n.low) or contains(c.key, n.alike) or contains(n.alike, split_part(c.key, '/', 2)))),
+st as (select *, case when tail = low then 0 when tail = alike then 1 when regexp_matches(key, '(^|[^a-z0-9])' || replace(low, '.', '[.]') || '($|[^a-z0-9])') and length(low) >= 5 then 6
+ when alike[: length(tail)] = tail and alike[length(tail) + 1] = '-' and len(string_split(alike[length(tail) + 2 :], '-')) <= 4 then 8 + 2 * (len(string_split(alike[length(tail) + 2 :], '-')) - 1) + case when low[: length(tail)] = tail and low[length(tail) + 1] = '-' then 0 else 1 end
+ when alike[-length(tail) :] = tail and alike[-length(tail) - 1] = '-' and len(string_split(alike[: -length(tail) - 2], '-')) <= 2 then 16 + 2 * (len(string_split(alike[: -length(tail) - 2], '-')) - 1) + case when low[-length(tail) :] = tail then 0 else 1 end end as stage from f)"""
+
+
+def _part_prices(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    parts = table(spark, sf, "part").withColumns({"name": F.replace("p_name", F.lit(" "), F.lit("-")), "brand": F.concat(F.lit("maker"), F.translate(F.regexp_replace("p_brand", "[^0-9]", ""), "0123456789", "abcdefghij"))})
+    rates = parts.groupBy(F.concat("brand", F.lit("/"), "name", F.lit("-"), "p_size").alias("key")).agg(F.min(F.when(F.col("p_partkey") % 5 > 0, F.col("p_retailprice"))).alias("input"))
+    made = "case p_partkey % 4 when 0 then name when 1 then name || '-' || p_size when 2 then name || '-' || p_size || '-fast' else upper(name) || '.' || p_size end"
+    return parts.select(F.expr(made).alias("model_id"), F.expr("if(p_partkey % 3 = 0, brand, '')").alias("hint")), rates
+
+
+_PLACED = "select *, row_number() over (partition by model_id, hint order by stage, brand = hint desc, length(key) desc, key) as place, min(stage) over (partition by model_id, hint) as first_stage from st where stage is not null"
+query("names_inside_names", f"with {_PART_RATES}, r as ({_PLACED}) select model_id, hint, key, cast(stage as integer) as stage, input from r where place = 1")(lambda spark, sf: pricing.look_up(*_part_prices(spark, sf)))
+query("price_evidence", f"with {_PART_RATES}, r as ({_PLACED}) select model_id, hint, count(*) as n_candidates, count(distinct input) = 1 as consensus, min(stage) = 0 as exact, cast(min(stage) as integer) as stage from r where stage = first_stage group by 1, 2")(
+    lambda spark, sf: (lambda m, r: pricing.evidence(m, r.withColumn("output", F.lit(None).cast("double"))))(*_part_prices(spark, sf))
 )
