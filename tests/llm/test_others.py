@@ -239,6 +239,29 @@ def test_recall_of_near_copies_by_edit_similarity(spark):
     assert len(near) > 100 and sum(found[i] == found[j] for i, j in near) >= 0.9 * len(near)
 
 
+def test_recall_of_lone_pairs_down_to_the_limit(spark):
+    """Pairs that no third text joins, with a twentieth to almost a fifth of their words replaced at random places: of each kind at least nine of ten that are similar end in one class."""
+    pick = np.random.default_rng(12)
+    rows, kinds = [], {}
+    for share in (0.05, 0.1, 0.15, 0.19):
+        for _ in range(120):
+            n = int(pick.integers(60, 300))
+            words = [f"w{k}" for k in pick.integers(0, 5_000, n)]
+            other = list(words)
+            for at in pick.choice(n, int(n * share), replace=False):
+                other[at] = f"v{pick.integers(0, 5_000)}"
+            texts = " ".join(words), " ".join(other)
+            if neardup.similar(*map(neardup.word_hashes, texts)):
+                kinds.setdefault(share, []).append(len(rows))
+                rows += [(len(rows), texts[0]), (len(rows) + 1, texts[1])]
+    found = {r["id"]: r["class_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for share, pairs in kinds.items():
+        together = sum(found[k] == found[k + 1] for k in pairs)
+        assert len(pairs) >= 100 and together >= 0.9 * len(pairs), (share, together, len(pairs))
+    # and no pair meets another one
+    assert len({c for c in found.values()}) >= len(rows) // 2
+
+
 def test_near_duplicates_of_null_ids_repeats_and_nothing(spark):
     rows = [(None, "one two three four five six"), (None, "one two three four five six"), (7, "one two three four five six"), (7, "quite another text under this id"), (None, None), (None, "alone under no id at all here")]
     found = neardup.near_duplicates(frame(spark, [r + (None,) * 7 for r in rows])).collect()
