@@ -156,3 +156,31 @@ def test_pricing_stages_sources_and_custom_rates(spark):
     sure = {r["model_id"]: tuple(r)[1:] for r in pricing.evidence(spark.createDataFrame([("gpt-9-turbo",), ("glm-9",), ("none-such",)], "model_id string"), rates).collect()}
     assert sure == {"gpt-9-turbo": (2, False, True, 0), "glm-9": (1, True, True, 0)}
     assert pricing.look_up(spark.createDataFrame([], "model_id string"), rates).count() == 0
+
+
+def test_days_of_a_zone_are_as_long_as_its_clock_says(spark):
+    from datetime import datetime
+    from zoneinfo import ZoneInfo
+
+    from tidemark.operators import intervals
+
+    ms = lambda text: int(datetime.fromisoformat(text + "+00:00").timestamp() * 1000)
+    spans = [(ms("2024-03-08T00:00:00"), ms("2024-03-12T12:00:00")), (ms("2024-11-02T23:00:00"), ms("2024-11-05T00:00:00")), (ms("2024-03-09T05:00:00"), ms("2024-03-09T05:00:00")), (ms("2018-11-03T00:00:00"), ms("2018-11-05T12:00:00"))]
+    frame = spark.createDataFrame([(a, b, b - a) for a, b in spans], "start long, end long, active_ms long")
+    # the last one's clock skips midnight on 2018-11-04
+    for zone in ("America/New_York", "America/Sao_Paulo", "Asia/Kathmandu", "UTC"):
+        wanted = {}
+        for a, b in spans:
+            at = a
+            while at < b:
+                day = datetime.fromtimestamp(at / 1000, ZoneInfo(zone)).date()
+                end = at
+                # the first millisecond of the next day, by quarters of an hour
+                while end < b and datetime.fromtimestamp(end / 1000, ZoneInfo(zone)).date() == day:
+                    end += 900_000 - end % 900_000
+                end = min(end, b)
+                wanted[str(day)] = wanted.get(str(day), 0) + end - at
+                at = end
+        assert {r["date"]: r["active_ms"] for r in intervals.daily_active(frame, zone).collect()} == wanted, zone
+    assert {r["date"]: r["active_ms"] for r in intervals.daily_active(frame, "America/New_York").collect()}["2024-03-10"] == 23 * 3_600_000
+    assert intervals.daily_active(frame, "America/New_York").where("date = '2024-11-03'").first()["active_ms"] == 25 * 3_600_000

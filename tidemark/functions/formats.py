@@ -84,6 +84,11 @@ def day_key(ts_ms: Column, zone: str) -> Column:
     return F.when(ts_ms > 0, F.date_format(F.from_utc_timestamp(F.timestamp_millis(ts_ms), zone), "yyyy-MM-dd"))
 
 
+def hour_key(ts_ms: Column, zone: str) -> Column:
+    """The calendar day and hour in a zone, null for times that are none; an hour that a clock repeats is one."""
+    return F.when(ts_ms > 0, F.date_format(F.from_utc_timestamp(F.timestamp_millis(ts_ms), zone), "yyyy-MM-dd HH:00"))
+
+
 def rebucketed(ts_ms: Column, date: Column, zone: str) -> Column:
     """The day in a zone; rows without a time keep the day that they have."""
     return F.coalesce(day_key(ts_ms, zone), date)

@@ -58,8 +58,19 @@ def time_metrics(intervals: DataFrame, gap_ms: int = GAP_MS) -> DataFrame:
     return totals.join(longest).join(max_concurrent(intervals))
 
 
-def daily_active(intervals: DataFrame) -> DataFrame:
-    """Active milliseconds of each UTC day; an interval is shared out over the days that it touches."""
-    days = intervals.where("active_ms > 0").select("start", "end", F.explode(F.sequence(F.floor(F.col("start") / DAY_MS), F.floor(F.col("end") / DAY_MS))).alias("day"))
-    part = F.least("end", (F.col("day") + 1) * DAY_MS) - F.greatest("start", F.col("day") * DAY_MS)
+def daily_active(intervals: DataFrame, zone: str = "UTC") -> DataFrame:
+    """Active milliseconds of each calendar day in a zone; an interval is shared out over the days that it touches.
+
+    A day goes from one midnight of the zone to the next, and so has 23 or 25 hours where its clock changes; where
+    that skips midnight, the day begins at the first time that there is. Times are written in UTC, as the session's
+    time zone must be.
+    """
+    if zone == "UTC":
+        midnight = lambda day: day * DAY_MS
+        local = lambda ms: F.floor(ms / DAY_MS)
+    else:
+        midnight = lambda day: F.unix_millis(F.to_utc_timestamp(F.timestamp_seconds(day * (DAY_MS // 1000)), zone))
+        local = lambda ms: F.unix_date(F.from_utc_timestamp(F.timestamp_millis(ms), zone).cast("date")).cast("long")
+    days = intervals.where("active_ms > 0").select("start", "end", F.explode(F.sequence(local(F.col("start")), local(F.col("end")))).alias("day"))
+    part = F.least("end", midnight(F.col("day") + 1)) - F.greatest("start", midnight(F.col("day")))
     return days.groupBy("day").agg(F.sum(part).alias("active_ms")).where("active_ms > 0").select(F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.col("day").cast("int")), "yyyy-MM-dd").alias("date"), "active_ms")

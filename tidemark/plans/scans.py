@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tidemark.operators import changes as ch, matching, merge as mg, trees
-from tidemark.plans.catalogue import query
+from tidemark.functions import formats as fm
+from tidemark.operators import changes as ch, intervals as iv, matching, merge as mg, trees
+from tidemark.plans.catalogue import _E, query
 from tidemark.session import table
+from tidemark.sources.facts import event_facts
 
 # Two snapshots of all events: by the last digit of the id some are gone, new, rewritten, under another key, or copies of each other
 _CONTENT = ["event_type", "user_id", "value", "props"]
@@ -105,3 +107,25 @@ def _matched_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query("matched_responses")(_matched_responses)
+
+
+# Days and hours of a zone across a change of its clocks: two months later than they were, so that the second Sunday of March is among them; SQL has the one change as a constant
+_ZONE, _LATER_MS = "America/New_York", 60 * 86_400_000
+_LOCAL = f"""{_E}, x as (select user_id, units, timestamp_ms + {_LATER_MS} as ts, duration_ms from e), off as (select *, case when ts < epoch_ms(timestamp '2024-03-10 07:00:00') then 5 else 4 end * 3600000 as o from x)"""
+_shifted = lambda e: e.withColumn("timestamp_ms", F.col("timestamp_ms") + _LATER_MS)
+
+
+def _daily_active_in_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = _shifted(event_facts(spark, sf_dir)).groupBy("user_id").agg(F.min("timestamp_ms").alias("start"), F.max(F.col("timestamp_ms") + F.col("duration_ms")).alias("end"))
+    return iv.daily_active(spans.withColumn("active_ms", F.col("end") - F.col("start")), _ZONE)
+
+
+query(
+    "daily_active_in_zone",
+    f"""with {_LOCAL}, g as (select user_id, min(ts) as s, max(ts + duration_ms) as t from x group by 1),
+z as (select d, epoch_ms(d) + case when d <= date '2024-03-10' then 5 else 4 end * 3600000 as a, epoch_ms(d + interval 1 day) + case when d + interval 1 day <= date '2024-03-10' then 5 else 4 end * 3600000 as b from (select cast(unnest(generate_series(timestamp '2024-02-28', timestamp '2024-04-02', interval 1 day)) as date) as d))
+select strftime(d, '%Y-%m-%d') as date, cast(sum(least(t, b) - greatest(s, a)) as bigint) as active_ms from z join g on s < b and t > a and t > s group by 1 having sum(least(t, b) - greatest(s, a)) > 0""",
+)(_daily_active_in_zone)
+query("hours_in_zone", f"with {_LOCAL} select strftime(make_timestamp((ts - o) * 1000), '%Y-%m-%d %H:00') as hour, cast(sum(units) as bigint) as units, count(*) as messages from off group by 1")(
+    lambda spark, sf: _shifted(event_facts(spark, sf)).groupBy(fm.hour_key(F.col("timestamp_ms"), _ZONE).alias("hour")).agg(F.sum("units").alias("units"), F.count("*").alias("messages"))
+)
