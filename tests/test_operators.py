@@ -158,6 +158,13 @@ def test_pricing_stages_sources_and_custom_rates(spark):
     assert pricing.look_up(spark.createDataFrame([], "model_id string"), rates).count() == 0
 
 
+def test_many_ranks_are_those_of_a_few(spark, monkeypatch):
+    users = spark.createDataFrame([(k, k // 3, 0.0) for k in range(60)], "user_id long, units long, cost double")
+    few = sorted(map(tuple, ranking.rank_of(users, F.col("user_id") < 20).collect()))
+    monkeypatch.setattr(ranking, "MOST_ASKED", 5)
+    assert sorted(map(tuple, ranking.rank_of(users, F.col("user_id") < 20).collect())) == few and len(few) == 20
+
+
 def test_days_of_a_zone_are_as_long_as_its_clock_says(spark):
     from datetime import datetime
     from zoneinfo import ZoneInfo

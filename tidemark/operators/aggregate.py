@@ -21,7 +21,7 @@ def saturating_sum(name: str) -> Column:
 
 
 def rollup(facts: DataFrame, *keys: str) -> DataFrame:
-    """Sums of units, cost and messages, and of each token bucket where the facts have them."""
+    """Sums of units, cost and messages, and of each kind of units where the facts have them."""
     own = [F.sum(b).alias(b) for b in BUCKETS if b in facts.columns]
     return facts.groupBy(*keys).agg(*measures(), *own)
 
@@ -86,7 +86,7 @@ def intensity(days: DataFrame, measure: str, inclusive_from_below: bool = False)
 
 
 def weekdays(days: DataFrame) -> DataFrame:
-    """Tokens by weekday (Sunday is 0) over days with units."""
+    """Units by weekday (Sunday is 0) over days with units."""
     return days.where("units > 0").groupBy((F.dayofweek(F.col("date").cast("date")) - 1).alias("weekday")).agg(F.sum("units").alias("units"), F.count("*").alias("days"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions import names
+from tidemark.session import is_small
 
 # Thresholds of progressive tiers by kind of use, and of requests that are priced as a whole.
 TIERS = {"input": (128_000, 200_000, 256_000, 272_000), "output": (128_000, 200_000, 256_000, 272_000), "cache_read": (200_000, 272_000), "cache_write": (200_000,)}
@@ -21,8 +22,6 @@ MOST_SUFFIX, MOST_PREFIX, LEAST_NAME, LEAST_INSIDE = 4, 2, 2, 5
 RATES = ("input", "output", "cache_read", "cache_write")
 #: Stages of names: custom prices, names as they are, names inside catalogue names, shortened names.
 CUSTOM, INSIDE, SHORTER = -1, 6, 8
-#: Largest catalogue that is broadcast, in rows; a larger one is joined by shuffle.
-BROADCAST_ROWS = 100_000
 
 
 def tiered(units: Column, base: Column, above: Column, threshold: int) -> Column:
@@ -145,8 +144,7 @@ def _found(wanted: DataFrame, rates: DataFrame, custom: DataFrame | None) -> Dat
     usable = F.exists(F.array(*[F.col(c).cast("double") for c in told]), lambda r: _rate(r).isNotNull()) if told else F.lit(True)
     catalogue = rates.where(usable).withColumn("__name", F.lower("key"))
     paths = catalogue.withColumn("__name", F.explode(F.array_distinct(F.array(F.col("__name"), names.alias_key(F.col("__name")), F.element_at(F.split("__name", "/"), -1)))))
-    if rates.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        paths = F.broadcast(paths)
+    paths = F.broadcast(paths) if is_small(rates) else paths
     whole = candidates(wanted).withColumnRenamed("key", "__name").join(paths, "__name")
     # names inside others meet by their parts in an equi-join, never each with each
     ids = wanted.select("model_id", "hint").distinct().where(~refused(F.col("model_id"), F.col("hint")))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.session import if_small
+
 DAY_SUMS = ("units", "input", "output", "cache_read", "cache_write", "reasoning")
 
 
@@ -19,7 +21,7 @@ def stats(rows: DataFrame, *keys: str) -> DataFrame:
 def days(rows: DataFrame, owner: str, aliases: DataFrame | None = None) -> DataFrame:
     """Rows of several devices merged by owner, day, client and model; a model's alias (model_id, shown) stands for it."""
     if aliases is not None:
-        rows = rows.join(F.broadcast(aliases), "model_id", "left").withColumn("model_id", F.coalesce("shown", "model_id"))
+        rows = rows.join(if_small(aliases), "model_id", "left").withColumn("model_id", F.coalesce("shown", "model_id"))
     return rows.groupBy(owner, "date", "client", "model_id").agg(F.sum("units").alias("units"), F.sum("cost").cast("double").alias("cost"), F.count("*").alias("messages"), F.min("timestamp_ms").alias("timestamp_ms"))
 
 

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.session import is_small
+
+#: Users whose ranks are found by comparing them with all totals.
+MOST_ASKED = 1_000
 #: The kinds of directives, and marks that end a sentence and not a value.
 KINDS, CLOSING = ("client", "model"), ".,;)"
 
 
 def totals(rows: DataFrame, since: str | None = None, until: str | None = None) -> DataFrame:
-    """Tokens and cost of each user, over the days from since to until where given."""
+    """Units and cost of each user, over the days from since to until where given."""
     if since:
         rows = rows.where(F.col("date") >= since)
     if until:
@@ -47,8 +51,10 @@ def ordinal_rank(users: DataFrame, by: str = "units", then: str = "cost", name:
 
 
 def rank_of(users: DataFrame, user: Column, by: str = "units") -> DataFrame:
-    """The total and rank (one more than the number of higher totals) of the users that the condition names, a few; no row for an unknown one."""
+    """The total and rank (one more than the number of higher totals) of the users that the condition names; no row for an unknown one. A few are compared with all totals, many are ranked with all users."""
     own = users.where(user).select("user_id", F.col(by).alias("own"))
+    if not is_small(own, MOST_ASKED):
+        return competition_rank(users, by).join(own.select("user_id"), "user_id").select("user_id", by, "rank")
     higher = users.select(F.col(by).alias("other")).join(F.broadcast(own), F.col("other") > F.col("own")).groupBy("user_id").agg(F.count("*").alias("n"))
     return own.join(F.broadcast(higher), "user_id", "left").select("user_id", F.col("own").alias(by), (F.coalesce("n", F.lit(0)) + 1).alias("rank"))
 

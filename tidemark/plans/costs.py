@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.operators import pricing
 from tidemark.plans.catalogue import _E, _events, query
-from tidemark.session import table
+from tidemark.session import if_small, table
 from tidemark.sources.facts import event_facts
 
 _USE = {"input": "input * 6000", "output": "output * 6000", "reasoning": "reasoning * 9000", "cache_read": "cache_read * 7000", "cache_write": "cache_write * 90000"}
@@ -49,6 +49,7 @@ _events(
     lambda e: e.select("event_id", pricing.covers({k: F.col(k) for k in _USE}, {"input": F.when(F.col("event_id") % 4 > 0, F.lit(0.0)), "output": F.when(F.col("event_id") % 3 > 0, (F.col("event_id") % 2).cast("double")), "cache_read": F.when(F.col("event_id") % 5 > 0, 0.0), "cache_write": F.lit(None).cast("double")}).alias("covered")),
     ", r as (select *, case when event_id % 4 > 0 then 0.0 end as ri, case when event_id % 3 > 0 then event_id % 2 end as ro, case when event_id % 5 > 0 then 0.0 end as rr from e) select event_id, coalesce(ri is not null and ro = 0, false) or ((input <= 0 or ri is not null) and (output <= 0 or ro is not null) and (reasoning <= 0 or ro is not null) and (cache_read <= 0 or rr is not null) and cache_write <= 0) as covered from r",
 )
+# Names of models as logs write them, and a small price list.
 MODELS = ["gpt-5.4", "GPT-5.4-20261001", "gpt-5.4-codex-max", "team-gpt-5.4", "openai/gpt-5.4", "claude-4-6-opus", "anthropic/claude-opus-4-6", "auto", "gpt-5.4(strange)", "gpt-5.4(high)", "none-such", "glm-4.6-air-x-y-z"]
 CATALOGUE = [("openai/gpt-5.4", "openai", 1.0, 8.0), ("azure/gpt-5.4", "azure", 1.1, 8.8), ("gpt-5.4-codex", "openai", 1.5, 9.0), ("claude-opus-4-6", "anthropic", 5.0, 25.0), ("openrouter/claude-opus-4-6", "openrouter", 5.5, 27.5), ("glm-4-6-air", "zai", 0.2, 1.1)]
 #: What each model of MODELS, without a hint and with the hint azure, is priced by.
@@ -62,7 +63,7 @@ def _priced_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Distinct models and hints are looked up once, then joined to all rows."""
     rows = event_facts(spark, sf).select("event_id", "units", F.element_at(F.array(*map(F.lit, MODELS)), (F.col("event_id") % len(MODELS) + 1).cast("int")).alias("model_id"), F.when(F.col("event_id") % 2 == 0, "azure").otherwise("").alias("hint"))
     rates = spark.createDataFrame(CATALOGUE, "key string, provider string, input double, output double")
-    return rows.join(F.broadcast(pricing.look_up(rows, rates).select("model_id", "hint", "key", "input")), ["model_id", "hint"], "left").select("event_id", "model_id", "key", (F.col("units") * F.col("input")).alias("cost"))
+    return rows.join(if_small(pricing.look_up(rows, rates).select("model_id", "hint", "key", "input")), ["model_id", "hint"], "left").select("event_id", "model_id", "key", (F.col("units") * F.col("input")).alias("cost"))
 
 
 _VALUES = ", ".join(f"('{m}', {h}, '{k}', {dict((c[0], c[2]) for c in CATALOGUE)[k]})" for m, both in PRICED.items() for h, k in enumerate(both))

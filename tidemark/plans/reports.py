@@ -78,7 +78,9 @@ _days("legacy_adoption", lambda d: mg.adopted(_months(d).withColumn("device", F.
 _events("duplicate_row_merge", lambda e: mg.unduplicated(e.withColumn("active_ms", F.col("duration_ms")), ["user_id", "date"]), ", c as (select user_id, date, client, max(units) as units, min(timestamp_ms) as t, max(duration_ms) as a from e group by 1, 2, 3) select user_id, date, cast(sum(units) as bigint) as units, count(*) as clients, min(t) as timestamp_ms, max(a) as active_ms from c group by 1, 2")
 _side = lambda e, low: e.where("event_id % 3 <> 0" if low else "event_id % 2 = 0 or event_id % 3 = 0").select("event_id", F.when(F.col("event_id") % (7 if low else 4) > 0, F.concat(F.lit("a" if low else "b"), F.col("client"))).alias("title"), (F.col("units") * (1 if low else 2)).alias("units"))
 _events("wiki_upsert", lambda e: mg.upserted(_side(e, True), _side(e, False), "event_id", ["title"], ["units"]), ", s as (select event_id, case when event_id % 7 > 0 then 'a' || client end as title, units from e where event_id % 3 <> 0), i as (select event_id, case when event_id % 4 > 0 then 'b' || client end as title, units * 2 as units from e where event_id % 2 = 0 or event_id % 3 = 0) select coalesce(i.event_id, s.event_id) as event_id, coalesce(i.title, s.title) as title, case when i.event_id is not null then i.units else s.units end as units from s full join i on s.event_id = i.event_id")
-_events("covered_snapshots", lambda e: mg.uncovered(e.where("client = 'view'").select("event_id", "session_id", F.col("input").alias("call")), e.where("client = 'purchase'").select("session_id", F.when(F.col("input") % 5 == 0, F.col("input")).alias("call")).where("session_id < '3'"), ["session_id", "call"]), ", x as (select session_id, case when input % 5 = 0 then input end as call from e where client = 'purchase' and session_id < '3') select event_id, session_id, input as call from e where client = 'view' and not exists (select 1 from x where x.session_id = e.session_id) and not exists (select 1 from x where x.call = e.input)")
+_snapshots = lambda e: e.where("event_id % 3 <> 0").select("event_id", "session_id", F.col("input").alias("call"))
+_executions = lambda e: e.where("event_id % 3 = 0").select(F.when(F.col("event_id") % 90 == 0, F.col("session_id")).alias("session_id"), F.when(F.col("input") % 5 == 0, F.col("input")).alias("call"))
+_events("covered_snapshots", lambda e: mg.uncovered(_snapshots(e), _executions(e), ["session_id", "call"]), ", x as (select case when event_id % 90 = 0 then session_id end as session_id, case when input % 5 = 0 then input end as call from e where event_id % 3 = 0) select event_id, session_id, input as call from e where event_id % 3 <> 0 and not exists (select 1 from x where x.session_id = e.session_id) and not exists (select 1 from x where x.call = e.input)")
 query("in_and_not_in", f"with {_SI} select s.* from s where (user_id, date) in (select (user_id, date) from i) and client not in (select client from i where revision = 3 and units > 100)")(
     lambda spark, sf: (lambda i: _stored(warehouse_days(spark, sf)).join(i.select("user_id", "date"), ["user_id", "date"], "left_semi").join(i.where("revision = 3 and units > 100").select("client").distinct(), "client", "left_anti"))(_incoming(warehouse_days(spark, sf)))
 )

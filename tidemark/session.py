@@ -5,10 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructField, StructType
 
+#: Largest frame that is broadcast, in rows.
+BROADCAST_ROWS = 100_000
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -32,13 +35,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def share_package(spark: SparkSession) -> None:
-    """Let Python workers import this package wherever the driver was started."""
+    """Let Python workers import this package wherever the driver was started: by its path on this machine, as a zip file on a cluster."""
+    if not spark.sparkContext.master.startswith("local"):
+        _ship(spark)
+        return
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
 
 
+def _ship(spark: SparkSession) -> None:
+    """Send the package to all executors as a zip file, once an application."""
+    if _SHIPPED.get("application") != spark.sparkContext.applicationId:
+        folder = tempfile.mkdtemp(prefix="spark-")
+        path = os.path.join(folder, "tidemark_package.zip")
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as packed:
+            for base, _, files in os.walk(os.path.dirname(os.path.abspath(__file__))):
+                for name in sorted(f for f in files if f.endswith(".py")):
+                    whole = os.path.join(base, name)
+                    packed.write(whole, os.path.relpath(whole, ROOT))
+        spark.sparkContext.addPyFile(path)
+        _SHIPPED["application"] = spark.sparkContext.applicationId
+
+
+def is_small(frame: DataFrame, most: int = BROADCAST_ROWS) -> bool:
+    """Whether a frame has at most so many rows; no more than these are counted."""
+    return frame.limit(most + 1).count() <= most
+
+
+def if_small(frame: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """The frame, marked to be broadcast if it is small; else Spark chooses, and may shuffle."""
+    return F.broadcast(frame) if is_small(frame, most) else frame
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which all executors share; a temporary one only where it is unset and Spark runs on this machine alone (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
@@ -50,6 +80,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _LOCAL: dict[str, str] = {}
+_SHIPPED: dict[str, str] = {}
 
 
 def cut_lineage(df: DataFrame, label: str) -> DataFrame:
