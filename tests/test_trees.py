@@ -194,3 +194,60 @@ def test_conversations_that_branch(spark, tmp_path):
     asked = len(json.dumps([{"type": "text", "text": "x" * 40}], separators=(",", ":")))
     assert [(r[1], r[2], r[3], r[4]) for r in pick("L")] == [("MiniMax-M3", "minimax", 0, -(-len('[{"type":"text","text":"y"}]') // 4)), ("MiniMax-M3", "minimax", -(-asked // 4), 0)]
     assert len({r["dedup_key"] for r in rows}) == len(rows) and {r["dedup_key"] for r in rows if r["message_id"] == "b"} == {"b:1767323041000"}
+
+
+def shares(total, weights):
+    done, out, upto = 0, [], 0
+    for w in weights:
+        done += w
+        now = total * done // sum(weights)
+        out.append(now - upto)
+        upto = now
+    return out
+
+
+def test_totals_shared_out_over_a_transcript(spark, tmp_path):
+    settings = lambda **more: json.dumps({"model": "custom:Claude-Opus-4.5-[Thinking]-", "providerLock": "anthropic", "providerLockTimestamp": "2040-01-02T03:04:05Z", "tokenUsage": {"inputTokens": 1_001, "outputTokens": 77, "cacheCreationTokens": 13, "cacheReadTokens": 50_000, "thinkingTokens": 5}, **more})
+    pick, lines = random.Random(3), []
+    for k in range(30):
+        lines.append(json.dumps({"type": "message", "message": {"role": "user", "content": "x" * pick.randint(0, 90)}}))
+        if k == 12:
+            lines.append(json.dumps({"type": "compaction_state", "summary": "y" * 40}))
+        if k == 20:
+            lines.append("broken \\ line é")
+        at = {} if k == 5 else {"timestamp": f"2026-01-02T03:{k:02d}:05Z"}
+        lines.append(json.dumps({"type": "message", **at, "message": {"role": "assistant", "content": "z" * pick.randint(0, 300)}}))
+    (tmp_path / "a.settings.json").write_text(settings())
+    (tmp_path / "a.jsonl").write_text("\n".join(lines))
+    (tmp_path / "b.settings.json").write_text(settings(model=None, providerLock="openai"))
+    (tmp_path / "c.settings.json").write_text(settings(model=None))
+    (tmp_path / "c.jsonl").write_text('{"type": "x", "text": "Model: Sonnet 4.5 [fast]\\n"}\n')
+    (tmp_path / "d.settings.json").write_text(json.dumps({"model": "m", "tokenUsage": {"inputTokens": 0}}))
+    (tmp_path / "e.settings.json").write_text("no json")
+    # plain walk over the lines
+    turns, context = [], 0
+    for line in lines:
+        row = json.loads(line) if line.startswith("{") else {}
+        size = len(line.encode())
+        if row.get("type") == "compaction_state":
+            context = size
+            continue
+        read, context = context, context + size
+        if row.get("message", {}).get("role") == "assistant" and "timestamp" in row:
+            turns.append((max(read, 1), size, row["timestamp"]))
+    rows = adapters.facts(spark, "droid", str(tmp_path)).collect()
+    found = sorted((r for r in rows if r["session_id"] == "a"), key=lambda r: int(r["message_id"]))
+    assert len(found) == len(turns) == 29
+    for name, total, side in (("input", 1_001, 0), ("cache_read", 50_000, 0), ("cache_write", 13, 0), ("output", 77, 1), ("reasoning", 5, 1)):
+        assert [r[name] for r in found] == shares(total, [t[side] for t in turns])
+        assert sum(r[name] for r in found) == total
+    assert [r["message_count"] for r in found] == [29] + [0] * 28 and {(r["model_id"], r["provider_id"]) for r in found} == {("claude-opus-4-5", "anthropic")}
+    others = {r["session_id"]: (r["model_id"], r["input"], r["message_count"], r["timestamp_ms"]) for r in rows if r["session_id"] != "a"}
+    assert others == {"b": ("gpt-unknown", 1_001, 1, 2_209_086_245_000), "c": ("sonnet 4-5", 1_001, 1, 2_209_086_245_000)}
+    # neighbours are joined: at most so many parts, with the same sums
+    text = spark.createDataFrame([("s", k, line) for k, line in enumerate(lines)], "stem string, place long, line string")
+    for most in (1, 4, 10, 29, 100):
+        parts = transcripts.transcript_parts(text, most).orderBy("part").collect()
+        run = -(-29 // most)
+        chunks = [turns[k : k + run] for k in range(0, 29, run)]
+        assert [(r["context"], r["spoken"], r["replies"]) for r in parts] == [(sum(t[0] for t in c), sum(t[1] for t in c), len(c)) for c in chunks] and len(parts) <= most

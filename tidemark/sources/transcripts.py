@@ -1,4 +1,4 @@
-"""Log formats whose records hang together as trees: traces of spans, and conversations that go back and branch off."""
+"""Log formats whose records hang together: traces of spans, conversations that go back and branch off, and totals that a transcript explains."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from tidemark.functions import names
 from tidemark.operators import merge as mg, trees
 from tidemark.sources.adapters import Adapter, text_path
 from tidemark.sources.formats import STEM, said, whole
+from tidemark.sources.logs import epoch_ms
 from tidemark.sources.reading import lossy_lines
 
 _CORRUPT = {"columnNameOfCorruptRecord": "_corrupt"}
@@ -172,7 +173,77 @@ def branch_rows(spark: SparkSession, root: str) -> DataFrame:
     return kept.withColumns({"raw": raw, "provider": names.resolved_provider(F.lit(None).cast("string"), raw, "command-code"), "session": F.coalesce("head", "older", F.expr(STEM)), "stamp": F.expr("unix_millis(try_to_timestamp(row.timestamp))")})
 
 
+# Totals of a session that are shared out over its transcript. Most parts of a session, lines in which a model is looked for, and models of providers that name none.
+MOST_PARTS, _HEAD_LINES = 1024, 500
+_UNNAMED = {"anthropic": "claude-unknown", "openai": "gpt-unknown", "google": "gemini-unknown", "xai": "grok-unknown"}
+_SETTINGS = "model string, providerLock string, providerLockTimestamp string, tokenUsage struct<inputTokens bigint, outputTokens bigint, cacheCreationTokens bigint, cacheReadTokens bigint, thinkingTokens bigint>"
+
+
+def _plain_model(model: Column) -> Column:
+    """Lower case with hyphens alone, without a mark of custom models and what stands in brackets."""
+    bare = F.regexp_replace(F.regexp_replace(model, "^custom:", ""), r"\[[^\]]*\]?", "")
+    return F.regexp_replace(F.replace(F.lower(F.regexp_replace(F.replace(bare, F.lit("]"), F.lit("")), "-+$", "")), F.lit("."), F.lit("-")), "-+", "-")
+
+
+def shared_out(parts: DataFrame, key: str, order: str, totals: dict[str, str]) -> DataFrame:
+    """parts with each total of their key, in whole numbers by weights, so that they add up to it exactly; totals maps a total's column to its weight's.
+
+    A part gets what the total's share up to it exceeds the share up to the one before.
+    """
+    wide = lambda c: F.col(c).cast("decimal(19,0)")
+    upto = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole_ = Window.partitionBy(key)
+    shares = {f"__{t}": F.floor(wide(t) * F.sum(w).over(upto).cast("decimal(19,0)") / F.sum(w).over(whole_).cast("decimal(19,0)")).cast("long") for t, w in totals.items()}
+    found = parts.withColumns(shares)
+    return found.withColumns({t: F.col(f"__{t}") - F.coalesce(F.lag(f"__{t}").over(Window.partitionBy(key).orderBy(order)), F.lit(0)) for t in totals}).drop(*shares)
+
+
+def transcript_parts(lines: DataFrame, most: int = MOST_PARTS) -> DataFrame:
+    """stem, part, at, context, spoken and replies of each transcript: its replies in order, neighbours joined so that there are at most so many.
+
+    What a reply read is the length of all lines before it, from the last compaction on; what it said is that of its
+    own line. lines: stem, place, line.
+    """
+    row = F.from_json("line", "type string, timestamp string, message struct<role string>")
+    rows = lines.select("stem", "place", F.octet_length("line").cast("long").alias("size"), row.alias("row"))
+    here = Window.partitionBy("stem").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("since", F.count(F.when(F.col("row.type") == "compaction_state", 1)).over(here))
+    read = F.coalesce(F.sum("size").over(Window.partitionBy("stem", "since").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    told = rows.withColumns({"read": read, "at": epoch_ms(F.col("row.timestamp"))}).where("row.type = 'message' and row.message.role = 'assistant' and at > 0")
+    numbered = told.withColumns({"nth": F.row_number().over(Window.partitionBy("stem").orderBy("place")) - 1, "n": F.count("*").over(Window.partitionBy("stem"))})
+    joined = numbered.withColumn("part", F.expr(f"nth div cast(ceil(n / {most}) as int)")).groupBy("stem", "part")
+    return joined.agg(F.max("at").alias("at"), F.sum(F.greatest("read", F.lit(1))).alias("context"), F.sum(F.greatest("size", F.lit(1))).alias("spoken"), F.count("*").alias("replies"))
+
+
+def transcript_rows(spark: SparkSession, root: str) -> DataFrame:
+    """One row a part of a session's transcript with its share of the session's totals; one in all for a session without a transcript that tells times."""
+    stem = r"regexp_replace(regexp_replace(path, '^file:/+', '/'), '[.](settings[.]json|jsonl)$', '')"
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.settings.json").option("wholetext", "true").text(root)
+    settings = text.select(text_path().alias("path"), F.unix_millis("_metadata.file_modification_time").alias("modified_ms"), F.from_json("value", _SETTINGS).alias("row")).where("row.tokenUsage is not null").withColumn("stem", F.expr(stem))
+    counts = {"input": "inputTokens", "output": "outputTokens", "cache_read": "cacheReadTokens", "cache_write": "cacheCreationTokens", "reasoning": "thinkingTokens"}
+    settings = settings.where(" + ".join(f"coalesce(row.tokenUsage.{c}, 0)" for c in counts.values()) + " <> 0").withColumns({k: F.expr(f"greatest(coalesce(row.tokenUsage.{c}, 0), 0)") for k, c in counts.items()})
+    lines = lossy_lines(spark, root, "*.jsonl").select(F.expr(stem).alias("stem"), "place", "line").join(settings.select("stem"), "stem", "left_semi")
+    # the model that a transcript's first lines name
+    head = lines.withColumn("nth", F.row_number().over(Window.partitionBy("stem").orderBy("place"))).where(f"nth <= {_HEAD_LINES}").withColumn("said", F.trim(F.regexp_extract("line", r'Model:([^\[\\"]*)', 1))).where("said <> ''")
+    said_model = head.groupBy("stem").agg(F.min_by("said", "place").alias("said"))
+    parts = transcript_parts(lines)
+    sessions = settings.join(said_model, "stem", "left")
+    provider = F.coalesce("row.providerLock", names.inferred_provider(F.col("row.model")), F.lit("unknown"))
+    unnamed = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in _UNNAMED.items() for x in pair]), F.coalesce(names.canonical_provider(F.col("provider")), F.col("provider"))), F.concat("provider", F.lit("-unknown")))
+    sessions = sessions.withColumn("provider", provider).withColumn("model", F.coalesce(_plain_model(F.col("row.model")), _plain_model(F.col("said")), unnamed))
+    dealt = shared_out(sessions.join(parts, "stem"), "stem", "part", {k: "spoken" if k in ("output", "reasoning") else "context" for k in counts})
+    dealt = dealt.withColumn("count", F.when(F.col("part") == 0, F.sum("replies").over(Window.partitionBy("stem"))).otherwise(0))
+    locked = epoch_ms(F.col("row.providerLockTimestamp"))
+    alone = sessions.join(parts.select("stem").distinct(), "stem", "left_anti").withColumns({"at": F.greatest("modified_ms", F.when(locked > 0, locked)), "count": F.lit(1).cast("long"), "part": F.lit(0)})
+    columns = ["path", "modified_ms", "stem", "part", "provider", "model", "at", "count", *counts]
+    return dealt.select(*columns).unionByName(alone.select(*columns))
+
+
 TRANSCRIPTS: dict[str, Adapter] = {
+    "droid": Adapter(
+        "droid", "*.settings.json", "document", read=transcript_rows, told=True, used="true",
+        columns={"session_id": "regexp_extract(stem, '([^/]*)$', 1)", "message_id": "cast(part as string)", "model_id": "model", "provider_id": "provider", "time": "cast(at as string)", **{k: k for k in ("input", "output", "cache_read", "cache_write", "reasoning")}, "message_count": "count"},
+    ),
     "copilot": Adapter(
         "copilot", "*.jsonl", "lines", read=lambda spark, root: span_usage(span_records(spark, root, "*.jsonl")), told=True,
         columns={"session_id": "session", "message_id": "key", "model_id": "model", "provider_id": "provider", "time": "cast(at as string)", "input": "prompt - cached", "output": "output", "cache_read": "cache_read", "cache_write": "cache_write", "reasoning": "reasoning", "dedup_key": "key"},
