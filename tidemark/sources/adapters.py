@@ -179,9 +179,9 @@ def _typed(ddl: str) -> str:
 
 def facts(spark: SparkSession, client: str, root: str) -> DataFrame:
     """The usage facts of a client's files below root, in all formats that the client writes."""
-    from tidemark.sources import formats, histories, records, transcripts
+    from tidemark.sources import formats, histories, lineages, records, transcripts
 
-    known = (ADAPTERS | formats.FORMATS | histories.FORMATS | transcripts.TRANSCRIPTS | records.RECORDS)[client]
+    known = (ADAPTERS | formats.FORMATS | histories.FORMATS | transcripts.TRANSCRIPTS | records.RECORDS | lineages.LINEAGES)[client]
     return reduce(DataFrame.unionByName, [_facts(spark, adapter, root) for adapter in (known if isinstance(known, tuple) else (known,))])
 
 
