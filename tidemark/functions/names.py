@@ -88,15 +88,51 @@ def gateway_model(model: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(model), "^hf:(?:[^/]*/)?(.*)$", "$1"), "^accounts/.*?/models/(.*)$", "$1")
 
 
+# Agents of one family with the roles that may stand behind their names, and names that stand for another.
+AGENT_ROLES = {"Sisyphus": ["ultraworker"], "Hephaestus": ["deep agent"], "Prometheus": ["plan builder"], "Atlas": ["plan executor"], "Metis": ["plan consultant"], "Momus": ["plan critic"]}
+AGENT_NAMES = {"prometheus (planner)": "Prometheus", "momus (plan reviewer)": "Momus", "orchestrator-sisyphus": "Atlas", "sisyphus-junior": "Sisyphus-Junior", "planner-sisyphus": "Planner-Sisyphus"}
+PLANNER, WORKER, COPILOT = "Planner-Sisyphus", "Sisyphus", "GitHub Copilot"
+
+
+def _plain_agent(agent: Column) -> Column:
+    """Without invisible marks and known prefixes, its words one space apart."""
+    plain = F.trim(F.regexp_replace(agent, r"[\u200B\u200C\u200D\uFEFF]", ""))
+    return F.trim(F.regexp_replace(F.regexp_replace(plain, AGENT_PREFIX, ""), r"\s+", " "))
+
+
+def _titled(name: Column) -> Column:
+    """Its words, between hyphens and spaces, with a capital; some are all capitals."""
+    words = F.filter(F.split(name, r"[-\s]+"), lambda w: w != "")
+    return F.array_join(F.transform(words, lambda w: F.when(F.lower(w).isin(ACRONYMS), F.upper(w)).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1_000)))), " ")
+
+
 def agent_name(agent: Column) -> Column:
     """Without invisible marks and known prefixes, its words with a capital; the planners and orchestrators have their own names."""
-    plain = F.trim(F.regexp_replace(agent, r"[\u200B\u200C\u200D\uFEFF]", ""))
-    plain = F.trim(F.regexp_replace(F.regexp_replace(plain, AGENT_PREFIX, ""), r"\s+", " "))
-    words = F.filter(F.split(plain, r"[-\s]+"), lambda w: w != "")
-    titled = F.array_join(F.transform(words, lambda w: F.when(F.lower(w).isin(ACRONYMS), F.upper(w)).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1_000)))), " ")
-    low = F.lower(plain)
+    plain = _plain_agent(agent)
+    low, titled = F.lower(plain), _titled(plain)
     sisyphus = F.contains(low, F.lit("omo")) | F.contains(low, F.lit("sisyphus"))
-    return F.when(F.contains(low, F.lit("plan")) & sisyphus, "Planner-Sisyphus").when(F.contains(low, F.lit("plan")), titled).when(low.isin("omo", "sisyphus"), "Sisyphus").when(low == "orchestrator-sisyphus", "Atlas").otherwise(titled)
+    return F.when(F.contains(low, F.lit("plan")) & sisyphus, PLANNER).when(F.contains(low, F.lit("plan")), titled).when(low.isin("omo", "sisyphus"), WORKER).when(low == "orchestrator-sisyphus", "Atlas").otherwise(titled)
+
+
+def family_agent_name(agent: Column) -> Column:
+    """As agent_name, but for a family of agents whose names may have their role behind them, in brackets, after a hyphen or a space."""
+    table = dict(AGENT_NAMES)
+    for name, roles in AGENT_ROLES.items():
+        table[name.lower()] = name
+        for role in roles:
+            table |= {f"{name.lower()}{between}": name for between in (f" ({role})", f" - {role}", f" {role}")}
+    return F.coalesce(mapped(F.lower(_plain_agent(agent)), table), agent_name(agent))
+
+
+def copilot_agent_name(agent: Column) -> Column:
+    """Names below github.copilot, and plugins as `Team: Name`; others as agent_name."""
+    low = F.lower(agent)
+    rest = F.substring(agent, len("plugin:") + 1, 1_000)
+    team = F.substring_index(rest, ":", 1)
+    slug = F.substr(rest, F.length(team) + 2)
+    plugin = F.when(F.contains(rest, F.lit(":")), F.concat(_titled(team), F.lit(": "), _titled(slug))).otherwise(_titled(rest))
+    below = _titled(F.replace(F.substring(agent, len("github.copilot.") + 1, 1_000), F.lit("."), F.lit("-")))
+    return F.when(low == "github.copilot.default", COPILOT).when(F.startswith(low, F.lit("github.copilot.")), below).when(F.startswith(low, F.lit("plugin:")), plugin).otherwise(agent_name(agent))
 
 
 def workspace_key(path: Column) -> Column:

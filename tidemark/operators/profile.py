@@ -194,3 +194,15 @@ def latest(rows: DataFrame, key: str, order: str, columns: list[str]) -> DataFra
     """Of each key the newest row, later columns deciding ties."""
     best = F.max_by(F.struct(*columns), F.struct(order, *columns))
     return rows.groupBy(key).agg(best.alias("r")).select(key, "r.*")
+
+
+def trailing_year(days: DataFrame, today: str) -> DataFrame:
+    """date, units, cost and intensity (0 to 4) of the days from a year and a week before today on; only those of the year up to today have an intensity, by quarters of their largest units."""
+    end = F.lit(today).cast("date")
+    start = F.add_months(end, -12)
+    recent = days.where(F.col("date") >= F.date_sub(start, 7).cast("string")).groupBy("date").agg(F.sum("units").alias("units"), F.sum("cost").cast("double").alias("cost"))
+    inside = (F.col("date") >= start.cast("string")) & (F.col("date") <= end.cast("string"))
+    # a row a day: at most as many as there are days from the cutoff on
+    share = F.col("units") / F.max(F.when(inside, F.greatest("units", F.lit(0)))).over(Window.partitionBy(F.lit(0)))
+    steps = F.when(share >= 0.75, 4).when(share >= 0.5, 3).when(share >= 0.25, 2).when(share > 0, 1).otherwise(0)
+    return recent.withColumn("intensity", F.when(inside, steps).otherwise(0))

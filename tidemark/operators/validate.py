@@ -74,3 +74,12 @@ def archive_faults(days: DataFrame, owner: str, cutoff: str, most_days: int = 40
         F.max("clients").alias("clients"),
     )
     return found.where((F.col("unreal") > 0) | (F.col("repeated") > 0) | (F.col("late") > 0) | (F.col("days") > most_days) | (F.col("clients") > most_clients))
+
+
+def speed_faults(rows: DataFrame, speeds: DataFrame, key: list[str]) -> DataFrame:
+    """Rows of usage whose parts by speed (key, speed, source, units, messages) repeat a pair of speed and source, or exceed the row's own units or messages."""
+    pairs = speeds.groupBy(*key, "speed", "source").agg(F.count("*").alias("n"), F.sum("units").alias("units"), F.sum("messages").alias("messages"))
+    sums = pairs.groupBy(*key).agg(F.max(F.col("n") > 1).alias("repeated"), F.sum("units").alias("speed_units"), F.sum("messages").alias("speed_messages"))
+    both = rows.select(*key, "units", "messages").join(sums, key)
+    found = both.select(*key, "repeated", (F.col("speed_units") > F.col("units")).alias("more_units"), (F.col("speed_messages") > F.col("messages")).alias("more_messages"))
+    return found.where("repeated or more_units or more_messages")

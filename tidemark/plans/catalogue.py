@@ -93,7 +93,7 @@ select model_id, cast(fl + case when row_number() over (order by rest desc, mode
 )
 query("global_stats_distinct", f"with {_D} select {_SUMS}, count(distinct user_id) as users from d")(lambda spark, sf: warehouse_days(spark, sf).agg(*agg.measures(), F.count_distinct("user_id").alias("users")))
 query("json_extract_sum", "select event_type, cast(sum(cast(json_extract(props, '$.k') as bigint)) as bigint) as k from events group by 1")(lambda spark, sf: table(spark, sf, "events").groupBy("event_type").agg(F.sum(F.get_json_object("props", "$.k").cast("long")).alias("k")))
-query("first_user_message", "select conv_id, arg_min(text, turn) as first_message, count(*) as user_turns from conversations where role = 'user' group by conv_id")(lambda spark, sf: logs.first_user_messages(table(spark, sf, "conversations")))
+query("first_user_message", "select conv_id, left(arg_min(text, turn) filter (trim(text) <> '' and not regexp_matches(text, '^ *<(environment_context|system-reminder|user_instructions)>')), 1000) as first_message, count(*) as user_turns from conversations where role = 'user' group by conv_id")(lambda spark, sf: logs.first_user_messages(table(spark, sf, "conversations")))
 
 # Leaderboards
 _U = f"{_D}, u as (select user_id, cast(sum(units) as bigint) as units, cast(sum(cost) as double) as cost from d group by 1)"

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tidemark.functions import formats as fm
-from tidemark.operators import changes as ch, intervals as iv, matching, merge as mg, trees
-from tidemark.plans.catalogue import _E, query
+from tidemark.functions import formats as fm, names
+from tidemark.operators import changes as ch, intervals as iv, matching, merge as mg, profile as pf, trees, validate as vd
+from tidemark.plans.catalogue import _D, _E, query
 from tidemark.session import table
-from tidemark.sources.facts import event_facts
+from tidemark.sources.facts import event_facts, warehouse_days
 
 # Two snapshots of all events: by the last digit of the id some are gone, new, rewritten, under another key, or copies of each other
 _CONTENT = ["event_type", "user_id", "value", "props"]
@@ -129,3 +129,40 @@ select strftime(d, '%Y-%m-%d') as date, cast(sum(least(t, b) - greatest(s, a)) a
 query("hours_in_zone", f"with {_LOCAL} select strftime(make_timestamp((ts - o) * 1000), '%Y-%m-%d %H:00') as hour, cast(sum(units) as bigint) as units, count(*) as messages from off group by 1")(
     lambda spark, sf: _shifted(event_facts(spark, sf)).groupBy(fm.hour_key(F.col("timestamp_ms"), _ZONE).alias("hour")).agg(F.sum("units").alias("units"), F.count("*").alias("messages"))
 )
+
+
+# Names of agents made of the parts' names, checks of parts by speed, and the trailing year
+_AGENTS = "case p_partkey % 5 when 0 then 'github.copilot.' || replace(p_name, ' ', '.') when 1 then 'Plugin:' || lower(p_type) || ':' || replace(p_name, ' ', '-') when 2 then 'Atlas - Plan Executor' when 3 then p_name || '  ui-api' else 'PLUGIN:' || p_type end"
+_WORD = "upper(w[1]) || w[2:]"
+_TITLE = "array_to_string([{word} for w in string_split({of}, ' ')], ' ')".format
+
+
+def _agent_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = table(spark, sf_dir, "part").select("p_partkey", F.expr(_AGENTS).alias("agent"))
+    return made.select("p_partkey", names.copilot_agent_name(F.col("agent")).alias("copilot"), names.family_agent_name(F.col("agent")).alias("family"))
+
+
+query(
+    "agent_names_of_kinds",
+    f"""with p as (select *, {_TITLE(word=_WORD, of='p_name')} as t from part) select p_partkey, case p_partkey % 5 when 0 then t when 1 then {_TITLE(word=_WORD, of='lower(p_type)')} || ': ' || t when 2 then 'Atlas Plan Executor' when 3 then t || ' UI API' else p_type end as copilot,
+case p_partkey % 5 when 0 then 'Github.copilot.' || replace(p_name, ' ', '.') when 1 then 'Plugin:' || lower(p_type) || ':' || split_part(p_name, ' ', 1) || ' ' || upper(split_part(p_name, ' ', 2)[1]) || split_part(p_name, ' ', 2)[2:] when 2 then 'Atlas' when 3 then t || ' UI API' else 'PLUGIN:' || p_type end as family from p""",
+)(_agent_kinds)
+
+
+def _speed_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = event_facts(spark, sf_dir)
+    rows = e.groupBy("user_id", "client").agg(F.sum("units").alias("units"), F.count("*").alias("messages"))
+    parts = e.groupBy("user_id", "client", F.when(F.col("event_id") % 2 == 0, "fast").otherwise("standard").alias("speed"), F.lit("reported").alias("source"), F.expr("if(event_id % 50 = 0, 1, 0)").alias("again")).agg(F.sum(F.col("units") + F.when(F.col("event_id") % 40 == 1, 500).otherwise(0)).alias("units"), F.sum(F.when(F.col("event_id") % 60 == 2, 2).otherwise(1)).alias("messages"))
+    return vd.speed_faults(rows, parts, ["user_id", "client"])
+
+
+query(
+    "speed_faults",
+    f"""with {_E}, r as (select user_id, client, sum(units) as units, count(*) as messages, sum(units + case when event_id % 40 = 1 then 500 else 0 end) as su, sum(case when event_id % 60 = 2 then 2 else 1 end) as sm, bool_or(event_id % 50 = 0) and bool_or(event_id % 50 <> 0 and event_id % 2 = 0) as repeated from e group by 1, 2)
+select user_id, client, repeated, su > units as more_units, sm > messages as more_messages from r where repeated or su > units or sm > messages""",
+)(_speed_faults)
+query(
+    "trailing_year",
+    f"""with {_D}, g as (select date, cast(sum(units) as bigint) as units, cast(sum(cost) as double) as cost from d where date >= '1996-06-08' group by 1), m as (select max(units) as most from g where date between '1996-06-15' and '1997-06-15')
+select date, units, cost, case when date not between '1996-06-15' and '1997-06-15' then 0 when units / most >= 0.75 then 4 when units / most >= 0.5 then 3 when units / most >= 0.25 then 2 when units > 0 then 1 else 0 end as intensity from g, m""",
+)(lambda spark, sf: pf.trailing_year(warehouse_days(spark, sf), "1997-06-15"))

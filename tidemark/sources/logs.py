@@ -50,6 +50,14 @@ def uuid_v7_ms(value: Column) -> Column:
     return F.conv(F.substring(F.replace(value, F.lit("-"), F.lit("")), 1, 12), 16, 10).cast("long")
 
 
+# Characters of a first message, and how texts begin that a program puts in a user's mouth.
+MOST_MESSAGE = 1_000
+INJECTED = ("<environment_context>", "<system-reminder>", "<user_instructions>")
+
+
 def first_user_messages(turns: DataFrame) -> DataFrame:
-    """conv_id and the text of its first user turn."""
-    return turns.where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("first_message"), F.count("*").alias("user_turns"))
+    """conv_id, the first text of a user's that is no program's, cut to MOST_MESSAGE characters (null where there is none), and the number of user turns."""
+    trimmed = F.ltrim("text")
+    own = (F.length(F.trim("text")) > 0) & ~F.greatest(*[F.startswith(trimmed, F.lit(p)) for p in INJECTED])
+    first = F.min_by("text", F.when(own, F.col("turn")))
+    return turns.where("role = 'user'").groupBy("conv_id").agg(F.substring(first, 1, MOST_MESSAGE).alias("first_message"), F.count("*").alias("user_turns"))
