@@ -142,3 +142,22 @@ def test_ledgers_and_caches_keep_what_they_have(spark, tmp_path):
     sinks.write_cache(days(), cache, "id")
     assert spark.read.json(ledger).count() == spark.read.parquet(cache).count() == 4
     assert spark.read.parquet(cache).where(F.col("client") == "b").select("shard").distinct().count() <= 2
+
+
+def test_exports_as_comma_separated_lines(spark, tmp_path):
+    """Three layouts of the heading; quotes, signs of money and commas; the JSON export of the same name goes first."""
+    put = lambda name, text: (tmp_path / name).write_text(text)
+    put("usage.csv", 'Date,Model,Input (w/ Cache Write),Input (w/o Cache Write),Cache Read,Output Tokens,Total,Cost\n"2026-01-02T03:04:05.678Z",gpt-5.4,1,2,3,4,10,"$1,234.50"\n2026-01-03, "claude-opus-4-6" ,x,-5,7,8,9,NaN\n\nshort,line\nno date,gpt-5.4,1,1,1,1,1,1\n2026-01-03,,1,1,1,1,1,1\n')
+    put("usage.a b.csv", 'Date,Kind,Model,Max Mode,Input (w/ Cache Write),Input (w/o Cache Write),Cache Read,Output Tokens,Total Tokens,Cost\n2026-01-02T03:04:05Z,"Included, free",gpt-5.4,No,1,2,3,4,10,0.5\n')
+    put("usage.wide.csv", "Date,User,Kind,Team,Model,Max,In W,In,Read,Out,Total,Cost\n2026-01-02T03:04:05,u,k,t,gpt-5.4,No,1,2,3,4,10,-3\n")
+    put("usage.both.csv", "Date,Model,a,b,c,d,e,f\n2026-01-02,gpt-5.4,9,9,9,9,9,9\n")
+    put("usage.both.json", json.dumps({"usageEventsDisplay": [{"conversationId": "c", "timestamp": "1767000000000", "model": "gpt-5.4", "tokenUsage": {"inputTokens": 1}}]}))
+    put("usage.other.csv", "no,heading\n1,2,3,4,5,6,7,8\n")
+    found = sorted((r["session_id"], r["model_id"], r["provider_id"], r["input"], r["output"], r["cache_read"], r["cache_write"], r["cost"], r["timestamp_ms"]) for r in adapters.facts(spark, "cursor", str(tmp_path)).collect())
+    assert found == [
+        ("c", "gpt-5.4", "openai", 1, 0, 0, 0, None, 1_767_000_000_000),
+        ("cursor-a-b-2026-01-02T03:04:05Z", "gpt-5.4", "openai", 2, 4, 3, 1, 0.5, 1_767_323_045_000),
+        ("cursor-active-2026-01-02T03:04:05.678Z", "gpt-5.4", "openai", 2, 4, 3, 1, 1234.5, 1_767_323_045_678),
+        ("cursor-active-2026-01-03", "claude-opus-4-6", "anthropic", 0, 8, 7, 0, None, 1_767_441_600_000),
+        ("cursor-wide-2026-01-02T03:04:05", "gpt-5.4", "openai", 2, 4, 3, 1, None, 1_767_323_045_000),
+    ]

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidemark.functions import names
-from tidemark.sources.adapters import FACTS, Adapter, text_path
-from tidemark.sources.reading import lossy_lines
+from tidemark.sources.adapters import ADAPTERS, FACTS, Adapter, text_path
+from tidemark.sources.reading import listed, lossy_lines
 
 STEM = "regexp_extract(path, '([^/]+)[.][^./]*$', 1)"
 FOLDER = "regexp_extract(path, '([^/]+)/[^/]+$', 1)"
@@ -28,6 +28,26 @@ def shared(prompt: str, output: str, cached: str, reasoning: str) -> dict[str, s
     return {"input": f"{whole(prompt)} - least({whole(cached)}, {whole(prompt)})", "output": f"{whole(output)} - {thought}", "cache_read": whole(cached), "reasoning": thought}
 
 
+def _export_rows(spark: SparkSession, root: str) -> DataFrame:
+    """Rows of usage exports as comma-separated lines, but for those that stand beside an export of the same name as JSON.
+
+    The heading of each file tells where its columns are, in three layouts; lines that are too short or name no model
+    or time are left out. A value may be in quotes, and a comma in them parts nothing.
+    """
+    stem = r"regexp_replace(regexp_replace(path, '^file:/+', '/'), '[.][^./]*$', '')"
+    better = listed(spark, root, "usage*.json").select(F.expr(stem).alias("stem"))
+    lines = lossy_lines(spark, root, "usage*.csv").withColumn("stem", F.expr(stem)).join(better, "stem", "left_anti")
+    fields = F.transform(F.split("line", ',(?=(?:[^"]*"[^"]*")*[^"]*$)'), lambda f: F.regexp_replace(F.trim(f), '^"+|"+$', ""))
+    heads = lines.where("place = 0 and contains(line, 'Date') and contains(line, 'Model')").select("path", fields.alias("head"))
+    kind = F.array_contains("head", F.lit("Kind"))
+    # Places of model, both kinds of input, cached input, output and cost
+    layout = F.when(kind & (F.size("head") >= 11), F.array(*map(F.lit, (4, 6, 7, 8, 9, 11)))).when(kind, F.array(*map(F.lit, (2, 4, 5, 6, 7, 9)))).otherwise(F.array(*map(F.lit, (1, 2, 3, 4, 5, 7))))
+    rows = lines.where("place > 0 and trim(line) <> ''").select("path", "modified_ms", "place", fields.alias("f")).join(heads.select("path", layout.alias("at")), "path").where("size(f) > at[5]")
+    names_ = ("model", "written", "input", "cached", "output", "cost")
+    rows = rows.select("path", "modified_ms", "place", F.expr("f[0]").alias("date"), *[F.expr(f"f[at[{k}]]").alias(n) for k, n in enumerate(names_)])
+    return rows.withColumn("day", F.expr("if(date rlike '^[0-9]{4}-[0-9]{2}-[0-9]{2}$', date || 'T12:00:00', date)")).where("model <> ''")
+
+
 def _model_of_log(rows: DataFrame) -> DataFrame:
     """known: the model that the log's heading last gave."""
     upto = Window.partitionBy("path").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -185,7 +205,17 @@ def _studio(prompt: str, completion: str, total: str, read: str, written: str, r
     return {"input": f"greatest({whole(total)}, {p} + {c}) - {c} - {r} - {w}", "output": f"{c} - {o}", "cache_read": r, "cache_write": w, "reasoning": o}
 
 
+_LONG = "greatest(coalesce(try_cast({} as bigint), 0L), 0L)".format
+_COST = "try_cast(regexp_replace(cost, '[$,]', '') as double)"
 FORMATS: dict[str, Adapter | tuple[Adapter, ...]] = {
+    "cursor": (
+        ADAPTERS["cursor"],
+        Adapter(
+            "cursor", "usage*.csv", "lines", read=_export_rows, used="timestamp_ms is not null",
+            columns={"session_id": r"'cursor-' || coalesce(nullif(regexp_replace(regexp_extract(path, '/usage[.](.+)[.]csv$', 1), '[^A-Za-z0-9._-]', '-'), ''), 'active') || '-' || date", "model_id": "model", "time": "day", "input": _LONG("input"), "output": _LONG("output"), "cache_read": _LONG("cached"), "cache_write": _LONG("written"),
+                     "cost": f"if({_COST} >= 0 and {_COST} < double('infinity'), {_COST}, null)"},
+        ),
+    ),
     "antigravity": Adapter(
         "antigravity", "*.jsonl", "lines", "type string, sessionId string, timestamp string, modelId string, providerId string, responseId string, input string, output string, cacheRead string, cacheWrite string, reasoning string",
         f"row.type = 'usage' and row.sessionId is not null and {whole('row.timestamp')} > 0",
