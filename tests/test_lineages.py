@@ -77,3 +77,22 @@ def test_lineages(spark):
     rows = [("a", None), ("b", "a"), ("c", "b"), ("d", "gone"), ("x", "y"), ("y", "x"), ("z", "y")]
     found = {r["path"]: r["lineage"] for r in lineages.lineages(spark.createDataFrame(rows, "path string, parent string")).collect()}
     assert found == {"a": "a", "b": "a", "c": "a", "d": "d", "x": "x", "y": "x", "z": "x"}
+
+
+def test_streamed_calls_share_names(spark, tmp_path):
+    def row(model="claude-x", at=None, i=1, o=0, **names):
+        return {"type": "assistant", "timestamp": at, **{k: names[k] for k in ("requestId", "uuid") if k in names}, "message": {"model": model, "id": names.get("id"), "usage": {"input_tokens": i, "output_tokens": o}}}
+
+    write(
+        tmp_path,
+        a=[
+            row(at=stamp(1), i=5, requestId="r", uuid="u1"), row(at=stamp(3), i=2, o=9, id="m", uuid="u1", model="deepseek-v3"), row(i=1, o=4, id="m"),  # one call, through two names
+            row(i=7), row(i=7),  # without a name each stands alone
+            row(i=1, requestId="x", id="both"), row(i=2, requestId="y", id="both"), row(i=3, id="both"), row(i=4, requestId="x"),  # two requests share a message: each is a call, what names none stays
+            row(model="<synthetic>"), row(model=" "), row(i=0), {"type": "user"},
+        ],
+        b=[row(i=30, requestId="r")],  # another file's names are others
+    )
+    found = sorted((r["session_id"], r["model_id"], r["provider_id"], r["input"], r["output"]) for r in adapters.facts(spark, "cherrystudio", str(tmp_path)).collect())
+    other = ("claude-x", "anthropic")
+    assert found == sorted([("a", "deepseek-v3", "deepseek", 5, 9), ("a", *other, 7, 0), ("a", *other, 7, 0), ("a", *other, 4, 0), ("a", *other, 2, 0), ("a", *other, 3, 0), ("b", *other, 30, 0)])

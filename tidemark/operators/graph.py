@@ -21,8 +21,8 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def merged_records(rows: DataFrame, key: str, aliases: str, request: str, measures: list[str]) -> DataFrame:
-    """One row of each logical call, with the largest of each measure and the number of its records.
+def merged_records(rows: DataFrame, key: str, aliases: str, request: str, measures: list[str], last: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
+    """One row of each logical call, with the largest of each measure and the number of its records; and the columns last of its last record by order, nulls first.
 
     Records that share an alias, directly or through others, form a component. With at most one request id it is one
     call; with several, each request id is one, and records without any stay as they are. Records without an alias
@@ -35,4 +35,4 @@ def merged_records(rows: DataFrame, key: str, aliases: str, request: str, measur
     placed = rows.join(roots, key, "left").withColumn("root", F.coalesce("root", key))
     ids = placed.groupBy("root").agg(F.count_distinct(request).alias("ids"))
     call = F.when(F.col("ids") > 1, F.coalesce(F.concat(F.lit("r"), F.col(request)), F.concat(F.lit("k"), F.col(key).cast("string"))))
-    return placed.join(ids, "root").withColumn("call", F.coalesce(call, F.lit(""))).groupBy("root", "call").agg(*[F.max(m).alias(m) for m in measures], F.count("*").alias("records"))
+    return placed.join(ids, "root").withColumn("call", F.coalesce(call, F.lit(""))).groupBy("root", "call").agg(*[F.max(m).alias(m) for m in measures], F.count("*").alias("records"), *([F.max_by(F.struct(*last), F.struct(*order)).alias("__last")] if last else [])).select("root", "call", *measures, "records", *(["__last.*"] if last else []))

@@ -1,4 +1,4 @@
-"""A log format in which a session reports, within its own counts, those of sessions that it started.
+"""Log formats in which records tell of the same use: sessions that count what they started, and calls that are streamed.
 
 A parent's reply tells sums that hold its children's replies; records of attribution say which part is a child's. Where
 the child's own log is there, that part is counted there and taken off the parent. Which child's reply an attribution
@@ -90,7 +90,30 @@ def lineage_rows(spark: SparkSession, root: str) -> DataFrame:
     return merged.withColumns({"provider": names.resolved_provider(F.col("by"), F.col("model"), "prime-agent"), "session": F.coalesce("session", F.expr(STEM))})
 
 
+_CALL = "type string, timestamp string, requestId string, uuid string, message struct<id string, requestId string, uuid string, model string, usage struct<input_tokens bigint, output_tokens bigint, cache_read_input_tokens bigint, cache_creation_input_tokens bigint>>"
+
+
+def call_rows(spark: SparkSession, root: str) -> DataFrame:
+    """One row a call of streamed logs: records of a file that share a request, a message or a uuid, directly or through others, are one call with the largest counts and the last record's model and time."""
+    lines = lossy_lines(spark, root, "*.jsonl").withColumn("row", F.from_json("line", f"{_CALL}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})).where("row._corrupt is null and row.type = 'assistant' and row.message.usage is not null")
+    counts = {"input": "input_tokens", "output": "output_tokens", "cache_read": "cache_read_input_tokens", "cache_write": "cache_creation_input_tokens"}
+    alias = lambda kind, value: f"'{kind}:' || path || ':' || {value}"
+    request = said("coalesce(row.requestId, row.message.requestId)")
+    rows = lines.select(
+        F.concat_ws(":", "path", F.lpad(F.col("place").cast("string"), 20, "0")).alias("key"), "path", "modified_ms", epoch_ms(F.col("row.timestamp")).alias("at"), F.expr(f"{said('row.message.model')}").alias("model"), F.expr(request).alias("request"),
+        F.array(*[F.expr(alias(kind, value)) for kind, value in (("request", request), ("message", said("row.message.id")), ("uuid", said("coalesce(row.uuid, row.message.uuid)")))]).alias("aliases"),
+        *[F.expr(f"coalesce({whole(f'row.message.usage.{c}')}, 0L)").alias(k) for k, c in counts.items()],
+    ).where("model is not null and model <> '<synthetic>' and lower(model) <> 'unknown' and greatest(input, output, cache_read, cache_write) > 0")
+    rows = cut_lineage(rows, "calls")
+    found = graph.merged_records(rows, "key", "aliases", "request", list(counts), ["path", "modified_ms", "at", "model"], ["at", "key"])
+    return found.withColumn("provider", names.resolved_provider(F.lit(None).cast("string"), F.col("model"), "unknown"))
+
+
 LINEAGES: dict[str, Adapter] = {
+    "cherrystudio": Adapter(
+        "cherrystudio", "*.jsonl", "lines", read=call_rows, told=True,
+        columns={"session_id": STEM, "message_id": "root", "model_id": "model", "provider_id": "provider", "time": "cast(coalesce(at, modified_ms) as string)", **{k: k for k in KINDS}},
+    ),
     "prime-agent": Adapter(
         "prime-agent", "*.jsonl", "lines", read=lineage_rows, told=True,
         columns={"session_id": "session", "message_id": "key", "model_id": "model", "provider_id": "provider", "time": "cast(coalesce(at, modified_ms) as string)", **{k: k for k in KINDS}, "dedup_key": "'prime-agent:' || key"},
