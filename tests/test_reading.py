@@ -161,3 +161,37 @@ def test_exports_as_comma_separated_lines(spark, tmp_path):
         ("cursor-active-2026-01-03", "claude-opus-4-6", "anthropic", 0, 8, 7, 0, None, 1_767_441_600_000),
         ("cursor-wide-2026-01-02T03:04:05", "gpt-5.4", "openai", 2, 4, 3, 1, None, 1_767_323_045_000),
     ]
+
+
+def test_messages_of_sessions_in_a_database(spark, tmp_path):
+    base = sqlite3.connect(tmp_path / "sessions.db")
+    base.execute("create table sessions(id text, model text, working_directory text)")
+    base.execute("create table message_nodes(row_id integer, session_id text, chat_message text, created_at integer)")
+    base.executemany("insert into sessions values (?, ?, '')", [("s", "gpt-5.4"), ("t", "adaptive"), ("u", None)])
+    chat = lambda role="assistant", **m: json.dumps({"role": role, "metadata": m})
+    used = {"input_tokens": 5, "output_tokens": 6, "cache_read_tokens": 7, "cache_creation_tokens": -1, "total_time_ms": 2_500}
+    rows = [("s", chat(metrics=used, request_id=" r ")), ("s", chat(num_tokens=9)), ("s", chat("user", num_tokens=9)), ("s", chat()), ("s", "no json"), ("t", chat(num_tokens=1)), ("t", chat(num_tokens=2, generation_model="claude-x", metrics={})), ("u", chat(num_tokens=3)), ("gone", chat(num_tokens=4))]
+    base.executemany("insert into message_nodes values (?, ?, ?, ?)", [(k, s, c, None if k == 1 else 1_767_323_045) for k, (s, c) in enumerate(rows)])
+    base.commit()
+    base.close()
+    found = {r["dedup_key"]: (r["model_id"], r["provider_id"], r["input"], r["output"], r["cache_read"], r["cache_write"], r["timestamp_ms"]) for r in adapters.facts(spark, "devin-cli", str(tmp_path)).collect()}
+    when = found.pop("devin-cli:s:row:1")
+    assert when[:6] == ("gpt-5.4", "openai", 0, 9, 0, 0) and when[6] > 1_767_323_045_000
+    assert found == {"devin-cli:s:request:r": ("gpt-5.4", "openai", 5, 6, 7, 0, 1_767_323_042_500), "devin-cli:t:row:6": ("claude-x", "anthropic", 0, 2, 0, 0, 1_767_323_045_000)}
+
+
+def test_chats_without_counts_are_estimated(spark, tmp_path):
+    agent = {"runState": {"sessionState": {"mainAgentState": {"agentType": "base2-free-x"}}}}
+
+    def put(chat, rows):
+        path = tmp_path / "manicode" / "projects" / "p" / "chats" / chat / "chat-messages.json"
+        path.parent.mkdir(parents=True)
+        path.write_text(json.dumps(rows))
+
+    put("2026-01-02T03-04-05.678Z", [{"variant": "user", "content": "x" * 9}, {"variant": "user", "blocks": [{"content": "y" * 4}, {"other": 1}]}, {"variant": "ai", "content": ""}, {"role": "assistant", "content": "z", "metadata": agent}, {"variant": "agent", "blocks": [{"content": "w" * 8}], "timestamp": "2026-01-03T00:00:00Z"}])
+    put("paid", [{"variant": "ai", "content": "z"}])
+    put("counted", [{"variant": "ai", "content": "z", "metadata": {**agent, "usage": {"inputTokens": 3}}}])
+    (tmp_path / "manicode" / "settings.json").write_text('{"freebuffModel": "deepseek-v3"}')
+    found = sorted((r["session_id"], r["model_id"], r["provider_id"], r["input"], r["output"], r["timestamp_ms"]) for r in adapters.facts(spark, "freebuff", str(tmp_path)).collect())
+    session = "manicode/p/2026-01-02T03-04-05.678Z"
+    assert found == [(session, "deepseek-v3", "deepseek", 0, 2, 1_767_398_400_000), (session, "deepseek-v3", "deepseek", 4, 1, 1_767_323_045_678)]

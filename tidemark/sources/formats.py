@@ -205,9 +205,44 @@ def _studio(prompt: str, completion: str, total: str, read: str, written: str, r
     return {"input": f"greatest({whole(total)}, {p} + {c}) - {c} - {r} - {w}", "output": f"{c} - {o}", "cache_read": r, "cache_write": w, "reasoning": o}
 
 
+def _estimated_chat(rows: DataFrame) -> DataFrame:
+    """Replies of chats of the free agent that tell no counts: heard, what was said since the reply before, and spoken, in characters; the model is that of the settings beside the projects."""
+    said_ = "length(coalesce(row.content, '')) + aggregate(coalesce(row.blocks, array()), 0, (n, b) -> n + length(coalesce(b.content, '')))"
+    rows = rows.withColumns({"characters": F.expr(said_), "replies": F.expr("coalesce(row.variant, row.role, '') in ('ai', 'agent', 'assistant')")})
+    rows = rows.withColumns({"free": F.expr("coalesce(startswith(row.metadata.runState.sessionState.mainAgentState.agentType, 'base2-free'), false)"), "counted": F.expr("replies and coalesce(greatest(row.metadata.usage.inputTokens, row.metadata.usage.outputTokens, row.metadata.usage.cacheReadInputTokens, row.metadata.usage.cacheCreationInputTokens), 0) > 0")})
+    chat = Window.partitionBy("path")
+    rows = rows.withColumns({"free": F.max("free").over(chat), "counted": F.max("counted").over(chat)}).where("free and not counted")
+    spoken = F.col("replies") & (F.col("characters") > 0)
+    rows = rows.withColumn("turn", F.count(F.when(spoken, 1)).over(chat.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("heard", F.sum(F.when(~F.col("replies"), F.col("characters")).otherwise(0)).over(Window.partitionBy("path", "turn"))).where(spoken)
+    return rows.withColumn("home", F.expr(r"regexp_extract(regexp_replace(path, '^file:/+', '/'), '^(.*)(/[^/]+){4}/[^/]+$', 1)"))
+
+
+def _estimated_rows(spark: SparkSession, root: str) -> DataFrame:
+    text = lambda glob: spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("wholetext", "true").text(root).select(text_path().alias("path"), F.unix_millis("_metadata.file_modification_time").alias("modified_ms"), "value")
+    shape = "array<struct<variant string, role string, content string, timestamp string, createdAt string, blocks array<struct<content string>>, metadata struct<runState struct<sessionState struct<mainAgentState struct<agentType string>>>, usage struct<inputTokens bigint, outputTokens bigint, cacheReadInputTokens bigint, cacheCreationInputTokens bigint>>>>"
+    rows = text("chat-messages.json").select("path", "modified_ms", F.posexplode(F.from_json("value", shape)).alias("place", "row")).where("row is not null")
+    models = text("settings.json").select(F.expr(r"regexp_replace(regexp_replace(path, '^file:/+', '/'), '/[^/]*$', '')").alias("home"), F.expr(said("get_json_object(value, '$.freebuffModel')")).alias("model")).where("model is not null")
+    return _estimated_chat(rows).join(models, "home", "left")
+
+
+_DEVIN = "select m.row_id, m.session_id, m.chat_message, m.created_at * 1000 as created_ms, s.model from message_nodes m join sessions s on s.id = m.session_id order by m.row_id"
+_DEVIN_CHAT = "role string, metadata struct<num_tokens bigint, request_id string, generation_model string, metrics struct<input_tokens bigint, output_tokens bigint, cache_read_tokens bigint, cache_creation_tokens bigint, total_time_ms bigint>>"
+_FREE_SESSION = r"regexp_replace(regexp_extract(path, '([^/]+/projects/[^/]+/chats/[^/]+)/[^/]+$', 1), '/(projects|chats)/', '/')"
 _LONG = "greatest(coalesce(try_cast({} as bigint), 0L), 0L)".format
 _COST = "try_cast(regexp_replace(cost, '[$,]', '') as double)"
 FORMATS: dict[str, Adapter | tuple[Adapter, ...]] = {
+    "devin-cli": Adapter(
+        "devin-cli", "sessions.db", "sqlite", "row_id bigint, session_id string, chat_message string, created_ms bigint, model string", "d.role = 'assistant' and model <> 'adaptive'", statement=_DEVIN, inner="row.chat_message", inner_schema=_DEVIN_CHAT, fallback="devin",
+        also={"model": "coalesce(nullif(d.metadata.generation_model, ''), nullif(row.model, ''))", "m": "d.metadata.metrics", **{k: f"coalesce({whole(f'm.{c}')}, 0L)" for k, c in (("input", "input_tokens"), ("told", "output_tokens"), ("cache_read", "cache_read_tokens"), ("cache_write", "cache_creation_tokens"))}, "took": f"coalesce({whole('m.total_time_ms')}, 0L)"},
+        columns={"session_id": "row.session_id", "message_id": "cast(row.row_id as string)", "model_id": "model", "time": "cast(if(row.created_ms is null, modified_ms, greatest(row.created_ms - took, 0)) as string)", "input": "input", "cache_read": "cache_read", "cache_write": "cache_write", "output": f"if(greatest(input, told, cache_read, cache_write) > 0, told, {whole('d.metadata.num_tokens')})",
+                 "dedup_key": f"'devin-cli:' || row.session_id || coalesce(':request:' || {said('d.metadata.request_id')}, ':row:' || row.row_id)"},
+    ),
+    "freebuff": Adapter(
+        "freebuff", "chat-messages.json", "array", read=_estimated_rows,
+        columns={"session_id": _FREE_SESSION, "message_id": "cast(place as string)", "model_id": "coalesce(model, 'freebuff-unknown')", "time": r"coalesce(row.timestamp, row.createdAt, nullif(regexp_replace(regexp_extract(path, '/chats/([0-9]{4}-[^/]+)/[^/]+$', 1), 'T([0-9]{2})-([0-9]{2})-([0-9]{2})', 'T$1:$2:$3'), ''), cast(modified_ms as string))",
+                 "input": "ceil(heard / 4)", "output": "ceil(characters / 4)", "dedup_key": _FREE_SESSION + " || ':' || turn"},
+    ),
     "cursor": (
         ADAPTERS["cursor"],
         Adapter(
