@@ -1,4 +1,4 @@
-"""Token counts and ids by a public byte-level BPE vocabulary.
+"""Counts and ids of the pieces of texts by a public byte-level BPE vocabulary.
 
 The tokenizers library is the judge of every result. Long texts are split at safe boundaries: in front of a
 single space that follows a non-space and precedes one, where the vocabulary's own splitting rule always cuts.
@@ -96,7 +96,7 @@ class Encoder:
         return bool(self.fast) and _SPECIAL not in part and not _runs_long(part) and _plain(part)
 
     def lengths(self, texts: list[str]) -> list[int]:
-        """Token counts of a batch; ids are dropped at once."""
+        """Counts of a batch; ids are dropped at once."""
         parts: dict[bool, tuple[list[str], list[int]]] = {True: ([], []), False: ([], [])}
         for i, text in enumerate(texts):
             for part in self.parts(text):

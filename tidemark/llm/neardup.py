@@ -3,6 +3,7 @@
 1. Texts of equal words are one node (exact copies).
 2. Each node's shingles of SHINGLE words get an occurrence number. For each of SKETCHES hash orders the PICKED
    smallest ones, in the order in which they stand in the text, are a sketch; equal sketches share a bucket.
+   Of buckets that hold the same nodes one is kept.
 3. In a bucket every node could be paired with four centres (smallest, largest, smallest and largest hash). Each
    node takes the CENTRES ones of them with which it shares most buckets.
 4. A pair is a link where a banded alignment of the words finds an edit similarity (one less the edits' share of
@@ -35,8 +36,8 @@ from tidemark.session import cut_lineage, share_package
 SHINGLE = 5
 SIMILARITY = 0.8
 #: A lone pair at the limit, with a fifth of its words replaced at random, has a third of its shingles in common and
-#: meets in one of 72 sketches of two with a chance of about 0.95; of 32 sketches of three it was 0.23.
-SKETCHES = 72
+#: meets in one of 56 sketches of two with a chance of about 0.9; of 32 sketches of three it was 0.23.
+SKETCHES = 56
 PICKED = 2
 #: Words in a gram of the bound: an edit takes at most so many grams from either text.
 GRAM = 2
@@ -287,12 +288,23 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
+def _different(buckets: DataFrame) -> DataFrame:
+    """bucket, node and times: of buckets that hold the same two or more nodes the first, and how many there are.
+
+    Sets are told by their size and two sums of hashes of their nodes, which are added up before they are shuffled.
+    """
+    low = F.lit((1 << 40) - 1)
+    sets = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64(F.lit(1), "node").bitwiseAND(low)).alias("y")).where("n > 1")
+    first = sets.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket"), F.count("*").alias("times"))
+    return buckets.join(first.select("bucket", "times"), "bucket")
+
+
 def _centred(buckets: DataFrame, most: int = CENTRES) -> DataFrame:
-    """(a, b), a < b: each node with those of its buckets' centres with which it shares most buckets. buckets(bucket, node)."""
+    """(a, b), a < b: each node with those of its buckets' centres with which it shares most buckets. buckets(bucket, node, times)."""
     order = F.xxhash64("node")
     stats = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.array(F.min("node"), F.max("node"), F.min_by("node", order), F.max_by("node", order)).alias("centres")).where("n > 1")
-    met = buckets.join(stats, "bucket").select("node", F.explode(F.array_distinct("centres")).alias("c")).where("node <> c")
-    counted = met.groupBy("node", "c").agg(F.count("*").alias("n"))
+    met = buckets.join(stats, "bucket").select("node", "times", F.explode(F.array_distinct("centres")).alias("c")).where("node <> c")
+    counted = met.groupBy("node", "c").agg(F.sum("times").alias("n"))
     best = counted.groupBy("node").agg(F.expr(f"slice(array_sort(collect_list(struct(-n as n, c))), 1, {most})").alias("best")).select("node", F.explode("best.c").alias("c"))
     return best.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
 
@@ -409,7 +421,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     exact = rows.groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     heads = cut_lineage(rows.select("node", "marks", "least").dropDuplicates(["node"]).where(F.size("marks") > 0), "heads")
     buckets = heads.select("node", F.explode("marks").alias("bucket"))
-    met = cut_lineage(buckets.join(buckets.groupBy("bucket").count().where("count > 1").select("bucket"), "bucket"), "met")
+    met = cut_lineage(_different(buckets), "met")
     pairs = cut_lineage(_centred(met), "pairs")
     wanted = met.select("node").distinct().join(exact.select("node", "rep"), "node").select(F.coalesce("rep", F.lit(_NO_ID)).alias("id"))
     named = source.withColumn("id", F.coalesce("id", F.lit(_NO_ID)))
