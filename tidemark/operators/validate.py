@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 CHANGE, UNITS, COST, EPSILON = 0.01, 100, 0.10, 1e-6
+#: Days after today that a clock may be ahead.
+DAYS_AHEAD = 2
 
 
 def broken(rows: DataFrame, key: list[str], rules: dict[str, Column]) -> DataFrame:
@@ -20,7 +22,7 @@ def field_rules(clients: list[str]) -> dict[str, Column]:
 
 def future(days: DataFrame, today: str, key: list[str]) -> DataFrame:
     """Days later than two days after today."""
-    return days.where(F.col("date").cast("date") > F.date_add(F.lit(today).cast("date"), 2)).select(*key, "date")
+    return days.where(F.col("date").cast("date") > F.date_add(F.lit(today).cast("date"), DAYS_AHEAD)).select(*key, "date")
 
 
 def differs(told: Column, found: Column, least: float) -> Column:
