@@ -195,3 +195,20 @@ def test_chats_without_counts_are_estimated(spark, tmp_path):
     found = sorted((r["session_id"], r["model_id"], r["provider_id"], r["input"], r["output"], r["timestamp_ms"]) for r in adapters.facts(spark, "freebuff", str(tmp_path)).collect())
     session = "manicode/p/2026-01-02T03-04-05.678Z"
     assert found == [(session, "deepseek-v3", "deepseek", 0, 2, 1_767_398_400_000), (session, "deepseek-v3", "deepseek", 4, 1, 1_767_323_045_678)]
+
+
+def test_a_report_tells_its_device_times_and_revisions(spark, sf_dir):
+    from tidemark.plans.catalogue import _sessions
+    from tidemark.operators import intervals
+    from tidemark.sources.facts import event_facts
+
+    facts = event_facts(spark, sf_dir)
+    times = intervals.time_metrics(_sessions(spark, sf_dir))
+    told = json.loads(sinks.payload(facts, "2026-01-01T00:00:00Z", "1", {"id": "d", "name": "laptop"}, times, {"view": 3, "gone": 9}, {"click": ("2024-01-01", "2024-01-31")}).first()["payload"])
+    assert list(told) == ["meta", "device", "summary", "years", "contributions", "timeMetrics", "clientManifest"]
+    assert told["device"] == {"id": "d", "name": "laptop"} and told["timeMetrics"]["sessionCount"] == times.first()["sessions"] > 0
+    manifest = {c["client"]: c for c in told["clientManifest"]["clients"]}
+    assert list(manifest) == sorted({r["client"] for r in facts.select("client").distinct().collect()}) and manifest["view"]["parserRevision"] == 3
+    assert manifest["click"] == {"client": "click", "parserRevision": 1, "coverage": {"mode": "full", "start": "2024-01-01", "end": "2024-01-31", "missingData": "tombstone"}} and "coverage" not in manifest["view"]
+    plain = json.loads(sinks.payload(facts, "2026-01-01T00:00:00Z", "1").first()["payload"])
+    assert list(plain) == ["meta", "summary", "years", "contributions"]

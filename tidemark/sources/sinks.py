@@ -13,8 +13,13 @@ from tidemark.session import cut_lineage
 SHARDS = 256
 
 
-def payload(facts: DataFrame, generated_at: str, version: str) -> DataFrame:
-    """The report of all facts as one JSON document: meta, summary, years and days with their clients. It grows with days, never with rows."""
+def payload(facts: DataFrame, generated_at: str, version: str, device: dict[str, str] | None = None, times: DataFrame | None = None, revisions: dict[str, int] | None = None, coverage: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """The report of all facts as one JSON document: meta, summary, years and days with their clients. It grows with days, never with rows.
+
+    device: what tells the sending device; times: the one row of intervals.time_metrics; revisions: of the adapters,
+    by client, of which those in the facts are told; coverage: by client the first and last day that the report tells
+    in full. What is not given is not in the document.
+    """
     flat = facts.groupBy("date", "client", "model_id").agg(*agg.measures())
     days = flat.groupBy("date").agg(F.sum("units").alias("units"), F.round(F.sum("cost"), 6).alias("cost"), F.sum("messages").alias("messages"), F.sort_array(F.collect_list(F.struct("client", F.col("model_id").alias("modelId"), "units", "cost", "messages"))).alias("clients"))
     years = flat.groupBy(F.substring("date", 1, 4).alias("year")).agg(F.sum("units").alias("totalUnits"), F.round(F.sum("cost"), 6).alias("totalCost"), F.struct(F.min("date").alias("start"), F.max("date").alias("end")).alias("range"))
@@ -22,7 +27,22 @@ def payload(facts: DataFrame, generated_at: str, version: str) -> DataFrame:
     all_years = years.agg(F.sort_array(F.collect_list(F.struct("year", "totalUnits", "totalCost", "range"))).alias("years"))
     meta = F.struct(F.lit(generated_at).alias("generatedAt"), F.lit(version).alias("version"), F.struct("start", "end").alias("dateRange"))
     summary = F.struct(F.col("units").alias("totalUnits"), F.col("cost").alias("totalCost"), F.col("n").alias("totalDays"))
-    return all_days.join(all_years).select(F.to_json(F.struct(meta.alias("meta"), summary.alias("summary"), "years", "contributions")).alias("payload"))
+    whole, parts = all_days.join(all_years), [meta.alias("meta")]
+    if device:
+        parts.append(F.struct(*[F.lit(v).alias(k) for k, v in device.items()]).alias("device"))
+    parts += [summary.alias("summary"), F.col("years"), F.col("contributions")]
+    if times is not None:
+        names = {"active_ms": "totalActiveTimeMs", "longest_ms": "longestContinuousMs", "max_concurrent": "maxConcurrentSessions", "sessions": "sessionCount"}
+        whole = whole.join(times.select(F.struct(*[F.col(c).alias(n) for c, n in names.items()]).alias("timeMetrics")))
+        parts.append(F.col("timeMetrics"))
+    if revisions:
+        told = F.create_map(*[x for c, r in sorted(revisions.items()) for x in (F.lit(c), F.lit(r))])
+        spans = F.create_map(*[x for c, (first, last) in sorted((coverage or {}).items()) for x in (F.lit(c), F.struct(F.lit("full").alias("mode"), F.lit(first).alias("start"), F.lit(last).alias("end"), F.lit("tombstone").alias("missingData")))]) if coverage else None
+        entry = F.struct("client", F.coalesce(F.element_at(told, F.col("client")), F.lit(1)).alias("parserRevision"), *([F.element_at(spans, F.col("client")).alias("coverage")] if coverage else []))
+        clients = flat.select("client").distinct().agg(F.sort_array(F.collect_list(entry)).alias("clients") if not coverage else F.array_sort(F.collect_list(entry), lambda x, y: F.when(x["client"] < y["client"], -1).otherwise(1)).alias("clients"))
+        whole = whole.join(clients.select(F.struct(F.lit(1).alias("schemaVersion"), "clients").alias("clientManifest")))
+        parts.append(F.col("clientManifest"))
+    return whole.select(F.to_json(F.struct(*parts)).alias("payload"))
 
 
 def pretty(document: DataFrame) -> DataFrame:
