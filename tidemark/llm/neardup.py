@@ -36,8 +36,8 @@ from tidemark.session import cut_lineage, share_package
 SHINGLE = 5
 SIMILARITY = 0.8
 #: A lone pair at the limit, with a fifth of its words replaced at random, has a third of its shingles in common and
-#: meets in one of 56 sketches of two with a chance of about 0.9; of 32 sketches of three it was 0.23.
-SKETCHES = 56
+#: meets in one of 48 sketches of two with a chance of about 0.85; of 32 sketches of three it was 0.23.
+SKETCHES = 48
 PICKED = 2
 #: Words in a gram of the bound: an edit takes at most so many grams from either text.
 GRAM = 2
@@ -401,15 +401,17 @@ def _across(buckets: DataFrame, roots: DataFrame, heads: DataFrame, texts: DataF
     sizes = rooted.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("classes"), F.max_by("root", F.struct("n", "root")).alias("largest"), F.max("n").alias("most")).where("classes > 1")
     members = cut_lineage(rooted.join(mixed, "bucket"), "members")
+    # rows are dealt without their texts, which join them on the way to their blocks and are written once
+    sized = cut_lineage(members.join(texts.select("node", F.octet_length("text").alias("size")), "node").withColumn("h", F.xxhash64("node")), "sized")
+    bytes_ = sized.groupBy("bucket").agg(F.sum("size").alias("bytes"), F.sum(F.when(F.col("root") != F.col("largest"), F.col("size"))).alias("bytes_asking"))
+    parts = lambda n, size: F.greatest(F.ceil(n / block), F.ceil(F.col(size) / block_bytes))
+    cut = sized.join(bytes_, "bucket").withColumn("n_all", parts(F.col("n"), "bytes")).withColumn("n_asking", parts(F.col("n") - F.col("most"), "bytes_asking"))
+    asked = cut.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_asking") - 1)).alias("i"), F.expr("pmod(h, n_all)").alias("j"), "node", "root", F.lit(False).alias("asks"))
+    asking = cut.where("root <> largest").select("bucket", F.expr("pmod(h, n_asking)").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_all") - 1)).alias("j"), "node", "root", F.lit(True).alias("asks"))
     shared = members.groupBy("node").agg(F.sort_array(F.collect_list("bucket")).alias("shared"))
     held = shared.join(heads.select("node", "least"), "node").join(texts, "node")
-    drawn = cut_lineage(members.join(held, "node").withColumn("h", F.xxhash64("node")).withColumn("size", F.octet_length("text")), "drawn")
-    bytes_ = drawn.groupBy("bucket").agg(F.sum("size").alias("bytes"), F.sum(F.when(F.col("root") != F.col("largest"), F.col("size"))).alias("bytes_asking"))
-    parts = lambda n, size: F.greatest(F.ceil(n / block), F.ceil(F.col(size) / block_bytes))
-    cut = drawn.join(bytes_, "bucket").withColumn("n_all", parts(F.col("n"), "bytes")).withColumn("n_asking", parts(F.col("n") - F.col("most"), "bytes_asking")).withColumn("earlier", F.expr("filter(shared, s -> s < bucket)"))
-    asked = cut.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_asking") - 1)).alias("i"), F.expr("pmod(h, n_all)").alias("j"), "node", "root", "least", F.lit(False).alias("asks"), "earlier", "text")
-    asking = cut.where("root <> largest").select("bucket", F.expr("pmod(h, n_asking)").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_all") - 1)).alias("j"), "node", "root", "least", F.lit(True).alias("asks"), "earlier", "text")
-    dealt = asked.union(asking).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    placed = asked.union(asking).join(held, "node").select("bucket", "i", "j", "node", "root", "least", "asks", F.expr("filter(shared, s -> s < bucket)").alias("earlier"), "text")
+    dealt = placed.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     return dealt.mapInArrow(run, "a binary, b binary").distinct()
 
 
