@@ -76,3 +76,33 @@ def test_nothing_sent_changes_nothing(spark):
     assert sb.submitted(none, none, ["a"], "2024-01-31")[0].count() == 0
     first, _ = sb.submitted(none, rows, ["a"], "2024-01-31")
     assert first.count() == 1 and tuple(sb.totals(first).first()) == (1, 5, "2024-01-01", "2024-01-01", 1, "a")
+
+
+def _exchanges(frame):
+    """Shuffles in a frame's plan, before any of it runs."""
+    return frame._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_a_batch_is_dealt_out_once(spark):
+    """Rows go by user once, and coverage to them; nothing is written or run on the way."""
+    rows = spark.createDataFrame([(1, 0, DAYS[0], "a", 5, 1, ""), (None, 1, None, None, None, None, "")], ROW)
+    spans = spark.createDataFrame([(1, 1, "a", DAYS[0], DAYS[1])], COVER)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        spark.sparkContext.setJobGroup("batch", "a batch of submissions")
+        found, refused = sb.submitted(rows, rows, ["a"], "2024-01-31", None, spans)
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("batch")
+        assert _exchanges(found) == 2
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_null_rows_stay_and_match_nothing(spark):
+    stored = [(None, 1, DAYS[0], "a", 20, 1, ""), (1, None, DAYS[0], "a", 20, 1, ""), (1, 2, None, "a", 20, 1, ""), (1, 2, DAYS[0], None, 20, 1, ""), (1, 2, DAYS[0], "a", None, 1, ""), (1, 1, None, "a", 20, 1, ""), (1, 2, DAYS[1], "a", 20, 1, "")]
+    sent = [(1, 1, DAYS[0], "a", 20, 1, ""), (None, 1, DAYS[0], "a", 20, 1, ""), (1, None, DAYS[0], "a", 20, 1, ""), (1, 1, DAYS[1], "a", 15, 1, ""), (1, 1, DAYS[1], "a", 5, 3, "")]
+    found, refused = sb.submitted(spark.createDataFrame(stored, ROW), spark.createDataFrame(sent, ROW), ["a"], "2024-01-31")
+    # the last stored row is the twin of two sent ones that add up
+    assert sorted((tuple(r) for r in found.collect()), key=repr) == sorted([s[:6] for s in stored[:-1]] + [(1, 1, DAYS[0], "a", 20, 1), (1, 1, DAYS[1], "a", 20, 3)], key=repr)
+    assert refused.count() == 0

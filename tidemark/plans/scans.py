@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tidemark.functions import formats as fm, names
 from tidemark.operators import changes as ch, intervals as iv, matching, merge as mg, profile as pf, submission as sb, trees, validate as vd
 from tidemark.plans.catalogue import _D, _E, query
-from tidemark.session import table
+from tidemark.session import cut_lineage, table
 from tidemark.sources.facts import event_facts, warehouse_days
 
 # Two snapshots of all events: by the last digit of the id some are gone, new, rewritten, under another key, or copies of each other
@@ -172,14 +172,22 @@ select date, units, cost, case when date not between '1996-06-15' and '1997-06-1
 _SPANS = [("R", "1994-01-01", "1994-06-30"), ("N", "1997-01-01", "1997-03-31")]
 
 
-def _submission(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    d = warehouse_days(spark, sf_dir).select("user_id", "device", "date", "client", "units")
+def _submission(d: DataFrame) -> tuple[DataFrame, DataFrame]:
     stored = d.withColumn("device", F.expr("if(user_id % 2 = 0, 0, device)")).groupBy("user_id", "device", "date", "client").agg(F.sum("units").alias("units")).withColumn("revision", F.col("user_id") % 3)
     sent = d.where("device in (1, 2)").withColumns({"client": F.expr("case when user_id % 11 = 0 then 'X' when user_id % 7 = 0 and client = 'A' then 'B' else client end"), "units": F.expr("units + case when user_id % 5 = 0 then -1 when user_id % 5 < 3 then 1 else 0 end"), "revision": F.col("user_id") % 4})
     spans = sent.select("user_id", "device").distinct().withColumn("s", F.explode(F.array(*[F.struct(F.lit(c).alias("client"), F.lit(a).alias("start"), F.lit(b).alias("end")) for c, a, b in _SPANS]))).select("user_id", "device", "s.*")
     return sb.submitted(stored, sent, ["R", "A", "N"], "2010-01-01", {"B": "A"}, spans, least=20)
 
 
+def _day_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warehouse_days(spark, sf_dir).select("user_id", "device", "date", "client", "units")
+
+
+def _after_submission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # what is stored, sent and covered all come from the same days, which are joined once
+    return _submission(cut_lineage(_day_units(spark, sf_dir), "days"))[0]
+
+
 _SUBMISSION = f"""with {_D}, st as (select user_id, case when user_id % 2 = 0 then 0 else device end as device, date, client, cast(sum(units) as bigint) as units, user_id % 3 as revision from d group by 1, 2, 3, 4),
 sent as (select user_id, device, date, case when user_id % 11 = 0 then 'X' when user_id % 7 = 0 and client = 'A' then 'A' else client end as client, units + case when user_id % 5 = 0 then -1 when user_id % 5 < 3 then 1 else 0 end as units, user_id % 4 as revision from d where device in (1, 2)),
 bad as (select distinct user_id, device from sent where client = 'X' or units < 0), n as (select user_id, device, date, client, cast(sum(units) as bigint) as units, max(revision) as revision from sent where (user_id, device) not in (from bad) group by 1, 2, 3, 4),
@@ -191,6 +199,6 @@ g as (select coalesce(s.user_id, i.user_id) as user_id, coalesce(s.device, i.dev
  from th s full join pa i on s.user_id = i.user_id and s.device = i.device and s.date = i.date and s.client = i.client),
 af as (select user_id, device, date, client, case when keep then su else iu end as units, case when keep then sr else ir end as revision from g where ir is not null or su > 0),
 fin as (select * from af union all select * from re where not exists (select 1 from af where af.units >= 20 and af.user_id = re.user_id and af.date = re.date and af.client = re.client and af.units = re.units))"""
-query("submission_rows", f"{_SUBMISSION} select * from fin")(lambda spark, sf: _submission(spark, sf)[0])
-query("submissions_refused", f"{_SUBMISSION} select user_id, device, concat_ws(',', case when bool_or(client = 'X') then 'client' end, case when bool_or(units < 0) then 'units' end) as reasons from sent where (user_id, device) in (from bad) group by 1, 2")(lambda spark, sf: _submission(spark, sf)[1])
-query("totals_after_submission", f"{_SUBMISSION} select user_id, cast(sum(units) as bigint) as units, min(date) as first_date, max(date) as last_date, count(distinct date) as days, string_agg(distinct client, ',' order by client) as clients from fin group by 1")(lambda spark, sf: sb.totals(_submission(spark, sf)[0]))
+query("submission_rows", f"{_SUBMISSION} select * from fin")(_after_submission)
+query("submissions_refused", f"{_SUBMISSION} select user_id, device, concat_ws(',', case when bool_or(client = 'X') then 'client' end, case when bool_or(units < 0) then 'units' end) as reasons from sent where (user_id, device) in (from bad) group by 1, 2")(lambda spark, sf: _submission(_day_units(spark, sf))[1])
+query("totals_after_submission", f"{_SUBMISSION} select user_id, cast(sum(units) as bigint) as units, min(date) as first_date, max(date) as last_date, count(distinct date) as days, string_agg(distinct client, ',' order by client) as clients from fin group by 1")(lambda spark, sf: sb.totals(_after_submission(spark, sf)))
