@@ -106,3 +106,9 @@ def test_null_rows_stay_and_match_nothing(spark):
     # the last stored row is the twin of two sent ones that add up
     assert sorted((tuple(r) for r in found.collect()), key=repr) == sorted([s[:6] for s in stored[:-1]] + [(1, 1, DAYS[0], "a", 20, 1), (1, 1, DAYS[1], "a", 20, 3)], key=repr)
     assert refused.count() == 0
+
+
+def test_totals_need_no_shuffle_of_their_own(spark):
+    rows = spark.createDataFrame([(1, 0, DAYS[0], "a", 5, 1, ""), (1, 1, DAYS[0], "a", 7, 1, "")], ROW)
+    totals = sb.totals(sb.submitted(rows, rows.where("device = 1"), ["a"], "2024-01-31")[0])
+    assert _exchanges(totals) == 1 and [tuple(r) for r in totals.collect()] == [(1, 12, DAYS[0], DAYS[0], 1, "a")]
