@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import submission as sb
 
@@ -112,3 +113,11 @@ def test_totals_need_no_shuffle_of_their_own(spark):
     rows = spark.createDataFrame([(1, 0, DAYS[0], "a", 5, 1, ""), (1, 1, DAYS[0], "a", 7, 1, "")], ROW)
     totals = sb.totals(sb.submitted(rows, rows.where("device = 1"), ["a"], "2024-01-31")[0])
     assert _exchanges(totals) == 1 and [tuple(r) for r in totals.collect()] == [(1, 12, DAYS[0], DAYS[0], 1, "a")]
+
+
+def test_refused_are_told_from_what_was_sent_alone(spark):
+    """Neither what is stored is read, nor a row after the batch made."""
+    rows = spark.createDataFrame([(1, 1, DAYS[0], "c", -5, 1, "")], ROW)
+    unreadable = rows.withColumn("units", F.raise_error(F.lit("stored rows were read")).cast("long"))
+    refused = sb.submitted(unreadable, rows, ["a"], "2024-01-31")[1]
+    assert _exchanges(refused) == 1 and [tuple(r) for r in refused.collect()] == [(1, 1, "client,units")]
