@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import submission as sb
+from tidemark.plans import scans
 
 ROW = "user_id long, device long, date string, client string, units long, revision long, note string"
 COVER = "user_id long, device long, client string, start string, end string"
@@ -121,3 +122,22 @@ def test_refused_are_told_from_what_was_sent_alone(spark):
     unreadable = rows.withColumn("units", F.raise_error(F.lit("stored rows were read")).cast("long"))
     refused = sb.submitted(unreadable, rows, ["a"], "2024-01-31")[1]
     assert _exchanges(refused) == 1 and [tuple(r) for r in refused.collect()] == [(1, 1, "client,units")]
+
+
+def test_stored_rows_that_repeat_add_up_in_their_place(spark):
+    stored = [(1, 0, DAYS[0], "a", 5, 1, ""), (1, 0, DAYS[0], "a", 7, 2, ""), (2, 1, DAYS[0], "a", 4, 1, ""), (2, 1, DAYS[0], "a", 5, 1, ""), (2, 1, DAYS[1], "a", 0, 1, ""), (2, 1, DAYS[1], "a", 0, 1, ""), (2, 2, DAYS[0], "a", 6, 1, ""), (2, 2, DAYS[0], "a", 4, 1, "")]
+    sent = [(2, 1, DAYS[0], "a", 6, 1, ""), (2, 1, DAYS[0], "a", 4, 1, "")]
+    found = sb.submitted(spark.createDataFrame(stored, ROW), spark.createDataFrame(sent, ROW), ["a"], "2024-01-31")[0]
+    # the last two stored rows are together the twin of the two sent ones
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 0, DAYS[0], "a", 12, 2), (2, 1, DAYS[0], "a", 10, 1)]
+
+
+def test_the_query_deals_stored_rows_out_once(spark):
+    """Of three shuffles one is of all rows, and two of the covered days; what is stored needs none before."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        days = spark.createDataFrame([(1, 1, DAYS[0], "A", 5)], "user_id long, device long, date string, client string, units long")
+        assert _exchanges(sb.totals(scans._submission(days)[0])) == 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

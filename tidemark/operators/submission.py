@@ -5,8 +5,9 @@ submissions of a batch are handled at once. No rule looks beyond a user, so stor
 once, together, and each step is a window over rows that already lie in one place.
 
 Defined results: a submission with a faulty row is refused whole, and changes nothing. Repeated rows of a day and
-client add up, with the largest revision. Rows of devices that do not submit change only by adoption and as twins.
-Stored rows are unique by user, device, date and client. Null users or devices submit nothing.
+client add up, with the largest revision, stored ones among themselves as sent ones, so neither side needs a shuffle
+before the one by user. Rows of devices that do not submit change only by adoption and as twins. Null users or devices
+submit nothing.
 """
 
 from __future__ import annotations
@@ -61,19 +62,19 @@ def submitted(stored: DataFrame, incoming: DataFrame, clients: list[str], today:
         claimed = F.coalesce(F.exists("spans", lambda s: (s["device"] == F.col("device")) & (s["client"] == F.col("client")) & F.col("date").between(s["start"], s["end"])), F.lit(False))
     rows = rows.select(*ROW, "sent", claimed.alias("claimed"))
     rows = rows.withColumns({"floor": F.max(F.when(~F.col("sent"), F.col("revision"))).over(Window.partitionBy(*OWNER, "client")), "sender": F.max("sent").over(device)})
-    # guard: the sent rows of a key as one, against its stored row
+    # guard: the sent rows of a key as one, against its stored rows as one; each is told at its first row
     key, later = Window.partitionBy("user_id", "date", "client", "device"), F.col("sent")
     rows = rows.withColumns({
-        "s_units": F.max(F.when(~later, F.col("units"))).over(key), "s_revision": F.max(F.when(~later, F.col("revision"))).over(key),
+        "s_units": F.sum(F.when(~later, F.col("units"))).over(key), "s_revision": F.max(F.when(~later, F.col("revision"))).over(key),
         "i_units": F.sum(F.when(later, F.col("units"))).over(key), "i_revision": F.max(F.when(later, F.col("revision"))).over(key), "named": F.max("sent").over(key),
-        "head": ~F.lag("sent", 1, False).over(key.orderBy("sent")),
+        "head": ~F.lag("sent").over(key.orderBy("sent")).eqNullSafe(later),
     })
     passing = F.col("named") & (F.col("floor").isNull() | F.coalesce(F.col("i_revision") >= F.col("floor"), F.lit(False)))
     rows = rows.withColumn("passing", passing).withColumns({c: F.when(F.col("passing"), F.col(c)) for c in ("i_units", "i_revision")})
     rows = rows.withColumn("keep", F.coalesce(F.col("s_revision").isNotNull() & (F.col("i_revision").isNull() | (F.col("i_revision") < F.col("s_revision")) | ((F.col("i_revision") == F.col("s_revision")) & (F.col("i_units") < F.col("s_units")))), F.lit(False)))
     gone = "sender and claimed and not named"
-    rows = rows.where(f"not sender or not sent and keep and not ({gone}) and (i_revision is not null or units > 0) or sent and head and passing and not keep and (i_revision is not null or i_units > 0)")
-    after = rows.select(*KEYS, F.when(later, F.col("i_units")).otherwise(F.col("units")).alias("units"), F.when(later, F.col("i_revision")).otherwise(F.col("revision")).alias("revision"), "sender")
+    rows = rows.where(f"head and (not sender or not sent and keep and not ({gone}) and (i_revision is not null or s_units > 0) or sent and passing and not keep and (i_revision is not null or i_units > 0))")
+    after = rows.select(*KEYS, F.when(later, F.col("i_units")).otherwise(F.col("s_units")).alias("units"), F.when(later, F.col("i_revision")).otherwise(F.col("s_revision")).alias("revision"), "sender")
     # twins
     own = F.collect_set(F.when(F.col("sender") & (F.col("units") >= least), F.col("units"))).over(Window.partitionBy("user_id", "date", "client"))
     twin = F.expr("not sender and device is not null and date is not null and client is not null") & F.coalesce(F.array_contains("own", F.col("units")), F.lit(False))
