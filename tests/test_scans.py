@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import changes as ch
+from tidemark.sources.facts import warehouse_days
 from tidemark.streaming import tables
 
 ROWS = "id long, content string, updated long, kind string"
@@ -153,3 +154,10 @@ def test_any_cut_into_batches_equals_one(spark, tmp_path):
     schema, merge = "id long, units long, updated_ms long, extra string", tables.incoming_wins("id", ["units"])
     whole = list(stream(spark, tmp_path / "one", [rows], schema, ["id"], merge))[-1]
     assert list(stream(spark, tmp_path / "many", [rows[:7], rows[7:8], rows[8:]], schema, ["id"], merge))[-1] == whole
+
+
+def test_lines_are_narrow_before_they_meet_orders(spark, sf_dir):
+    """What the join shuffles are the days' own columns, not those that they are made of."""
+    plan = warehouse_days(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Join Inner", 1)
+    assert all(made in below and made not in above for made in ("l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_shipdate"))

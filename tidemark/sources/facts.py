@@ -32,15 +32,15 @@ def event_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def warehouse_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem and orders as stored day rows: (user, device, date, client) with units and cost."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice", "l_discount", "l_shipdate")
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        F.col("o_custkey").alias("user_id"),
+    """lineitem and orders as stored day rows: (user, device, date, client) with units and cost; lines are made narrow before they are joined."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
         (F.col("l_suppkey") % 5).alias("device"),
-        F.date_format("l_shipdate", "yyyy-MM-dd").alias("date"),
+        F.to_date("l_shipdate").alias("day"),
         F.col("l_returnflag").alias("client"),
         F.col("l_linestatus").alias("model_id"),
         F.col("l_quantity").cast("long").alias("units"),
         (F.col("l_extendedprice").cast("decimal(18,4)") * (1 - F.col("l_discount").cast("decimal(5,2)"))).cast("decimal(18,4)").alias("cost"),
     )
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("user_id"), "device", F.date_format("day", "yyyy-MM-dd").alias("date"), "client", "model_id", "units", "cost")
